@@ -109,7 +109,7 @@ def consolidation_report(df: DataFrame, column: str, method: str) -> DataFrame:
     those alone and a frequent value costs one row per task.
     """
     new = standard_expr(df, column, method.lower())
-    values = df.select(col(column).alias("old"), new.alias("new")).groupBy("old", "new").agg()
+    values = df.select(col(column).alias("old"), new.alias("new")).distinct()
     return values.agg(
         F.lit(column).alias("column"),
         F.count("old").alias("before"),

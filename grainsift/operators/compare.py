@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cells import cell_equal, cell_score, match_form
+from ..functions.frames import side_by_side
 from ..functions.schema import col, groupable, require, same_family, type_of
 from .dedup import remove_duplicates
 from .ordinal import ROWS_PER_BUCKET, with_ordinal
@@ -132,9 +133,13 @@ def golden_report(
     left = left.withColumn("__h", F.explode(left_hashes))
     right = right.withColumn("__h", F.explode(right_hashes))
     pairs = left.join(right, (left["__h"] == right["__h"]) & (matches >= needed))
-    found = pairs.agg(F.count_distinct("__golden")).scalar()
-    total = golden.agg(F.count_distinct(col(key)).alias("golden_rows"))
-    return total.withColumn("found", F.coalesce(found, F.lit(0).cast("bigint")))
+    both = side_by_side({
+        "total": golden.agg(F.count_distinct(col(key)).alias("n")),
+        "found": pairs.agg(F.count_distinct("__golden").alias("n")),
+    })
+    return both.select(
+        F.col("total.n").alias("golden_rows"), F.col("found.n").alias("found")
+    )
 
 
 def _group_hashes(prefix: str, own: list, types: list[tuple], groups: int, dates: bool) -> Column:

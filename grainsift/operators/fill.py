@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.frames import side_by_side
 from ..functions.numbers import missing, number
 from ..functions.schema import col, is_text, require, type_of, typed_literal
 from .ordinal import forward_fill_column
@@ -39,6 +40,9 @@ def fill_missing(
     Mean and median turn a text column into numbers, with cells that are no number
     filled too; a text column without any number is refused. ``forward_fill`` needs
     ``order_by``. ``approx`` accepts an approximate median.
+
+    Mean, median and mode are found at once by a small job and enter the plan as a
+    literal, so that later uses of the result do not compute them again.
     """
     require(df, column)
     strategy = strategy.lower()
@@ -46,12 +50,14 @@ def fill_missing(
         _refuse_pure_text(df, column)
         x = number(df, column)
         if strategy == "mean":
-            fill = mean_value(df, column).scalar()
+            found = mean_value(df, column).first()["mean"]
         else:
-            fill = F.lit(quantiles(df, column, [0.5], approx=approx)[0]).cast("double")
-        return df.withColumn(column, F.coalesce(x, fill))
+            found = quantiles(df, column, [0.5], approx=approx)[0]
+        return df.withColumn(column, F.coalesce(x, F.lit(found).cast("double")))
     if strategy == "mode":
-        return df.withColumn(column, _filled(df, column, mode_value(df, column).select("mode").scalar()))
+        row = mode_value(df, column).first()
+        fill = F.lit(row["mode"] if row else None).cast(type_of(df, column))
+        return df.withColumn(column, _filled(df, column, fill))
     if strategy == "constant":
         if value is None:
             raise ValueError("strategy 'constant' needs a value")
@@ -74,13 +80,14 @@ def _refuse_pure_text(df: DataFrame, column: str) -> None:
 
 def fill_report(df: DataFrame, column: str, strategy: str, value: object = None, **options) -> DataFrame:
     """One row: missing cells before, filled cells and remaining missing cells."""
-    before = df.agg(F.count_if(missing(df, column))).scalar()
     filled = fill_missing(df, column, strategy, value, **options)
-    left = F.count_if(missing(filled, column)).alias("remaining")
-    report = filled.agg(left).withColumn("missing_before", before)
-    return report.select(
+    both = side_by_side({
+        "b": df.agg(F.count_if(missing(df, column)).alias("n")),
+        "a": filled.agg(F.count_if(missing(filled, column)).alias("n")),
+    })
+    return both.select(
         F.lit(column).alias("column"),
-        "missing_before",
-        (F.col("missing_before") - F.col("remaining")).alias("filled"),
-        "remaining",
+        F.col("b.n").alias("missing_before"),
+        (F.col("b.n") - F.col("a.n")).alias("filled"),
+        F.col("a.n").alias("remaining"),
     )

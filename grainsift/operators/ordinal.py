@@ -35,6 +35,16 @@ class _Cut:
     key_type: T.StructType
 
 
+@dataclass
+class _Bucketed:
+    """Rows with key, bucket and number of copies."""
+
+    rows: DataFrame
+    total: int
+    several: bool  # more than one bucket
+    collapsed: bool  # some rows stand for several copies
+
+
 def _order_fields(order_by: Sequence[str], nulls_last: bool) -> list[Column]:
     fields = []
     for i, c in enumerate(order_by):
@@ -98,15 +108,15 @@ def _bucket_column(df: DataFrame, cut: _Cut) -> DataFrame:
 
 def _bucketed(
     df: DataFrame, order_by: Sequence[str], nulls_last: bool, rows_per_bucket: int
-) -> tuple[DataFrame, bool, bool]:
-    """Rows with key, bucket and copy count; also: more than one bucket?, copies collapsed?"""
+) -> _Bucketed:
     fields = _order_fields(order_by, nulls_last)
     total = df.count()
     buckets = min(MAX_BUCKETS, -(-total // rows_per_bucket)) if total else 1
     plain = _Cut(F.struct(*fields), [], [], None)
     cut = _cut(df, plain.key, buckets, total) if buckets > 1 else plain
     if not cut.hot:
-        return _bucket_column(df, cut).withColumn(_COPIES, F.lit(1).cast("bigint")), buckets > 1, False
+        placed = _bucket_column(df, cut).withColumn(_COPIES, F.lit(1).cast("bigint"))
+        return _Bucketed(placed, total, buckets > 1, False)
 
     # some order keys are frequent: order by the whole-row hash inside them
     columns = groupable(df, df.columns)
@@ -114,7 +124,7 @@ def _bucketed(
     cut = _cut(tied, F.struct(*fields, F.col(_TIE).alias("tie")), buckets, total)
     if not cut.hot:
         placed = _bucket_column(tied, cut).withColumn(_COPIES, F.lit(1).cast("bigint"))
-        return placed.drop(_TIE), True, False
+        return _Bucketed(placed.drop(_TIE), total, True, False)
 
     # the hash of a hot key marks the rows that may be copies; at most 2 per bucket
     hashes = sorted({k["tie"] for k in cut.hot})
@@ -125,7 +135,8 @@ def _bucketed(
         .groupBy(*[col(c) for c in columns], _TIE)
         .agg(F.count(F.lit(1)).alias(_COPIES))
     )
-    return _bucket_column(rare.unionByName(copies), cut).drop(_TIE), True, True
+    placed = _bucket_column(rare.unionByName(copies), cut).drop(_TIE)
+    return _Bucketed(placed, total, True, True)
 
 
 def _expand(df: DataFrame, first: str | None = None) -> DataFrame:
@@ -157,14 +168,15 @@ def with_ordinal(
     if not order_by:
         raise ValueError("order_by is empty")
     # the descending position is the ascending one counted from the other end
-    rows, several, collapsed = _bucketed(df, order_by, not descending, rows_per_bucket)
+    cut = _bucketed(df, order_by, not descending, rows_per_bucket)
+    rows = cut.rows
     within = Window.partitionBy(_BUCKET).orderBy(_KEY)
     running = F.sum(_COPIES).over(
         within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     placed = rows.withColumn(_START, running - F.col(_COPIES))
-    totals = rows.groupBy(_BUCKET).agg(F.sum(_COPIES).alias("__size"))
-    if several:
+    if cut.several:
+        totals = rows.groupBy(_BUCKET).agg(F.sum(_COPIES).alias("__size"))
         before = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         # one row per bucket, MAX_BUCKETS + 1 at most
         offsets = totals.select(
@@ -173,11 +185,9 @@ def with_ordinal(
         placed = placed.join(F.broadcast(offsets), _BUCKET).withColumn(
             _START, F.col(_START) + F.col("__offset")
         )
-    if collapsed:
+    if cut.collapsed:
         placed = _expand(placed, first=_START)
-    position = F.col(_START)
-    if descending:
-        position = totals.agg(F.sum("__size")).scalar() - 1 - position
+    position = F.lit(cut.total - 1) - F.col(_START) if descending else F.col(_START)
     return placed.select(*[col(c) for c in df.columns], position.cast("bigint").alias(name))
 
 
@@ -193,10 +203,9 @@ def forward_fill_column(
     require(df, column, *order_by, *partition_by)
     if not order_by:
         raise ValueError("order_by is empty")
-    rows, several, collapsed = _bucketed(
-        df, [*partition_by, *order_by], True, rows_per_bucket
-    )
-    if several:
+    cut = _bucketed(df, [*partition_by, *order_by], True, rows_per_bucket)
+    rows = cut.rows
+    if cut.several:
         # one shuffle serves the windows and the join of the carried values below
         rows = rows.repartition(_BUCKET)
     cell = col(column)
@@ -207,7 +216,7 @@ def forward_fill_column(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     filled = F.last(cell, ignorenulls=True).over(upto_here)
-    if several:
+    if cut.several:
         tails = rows.groupBy(_BUCKET).agg(
             F.max_by(
                 F.when(cell.isNotNull(), F.struct(part.alias("part"), cell.alias("value"))),
@@ -222,6 +231,6 @@ def forward_fill_column(
         carried = F.when(F.col("__carry.part").eqNullSafe(part), F.col("__carry.value"))
         filled = F.coalesce("__local", carried)
     out = rows.withColumn(column, filled)
-    if collapsed:
+    if cut.collapsed:
         out = _expand(out)
     return out.select(*[col(c) for c in df.columns])

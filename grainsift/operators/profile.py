@@ -34,14 +34,8 @@ def profile_table(df: DataFrame, *, approx: bool = False) -> DataFrame:
     """
     if approx:
         return _profile_approx(df)
-    cells = df.select(
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(i).alias("position"), _cell_text(df, c).alias("value"))
-                for i, c in enumerate(df.columns)
-            ])
-        ).alias("cell")
-    ).select("cell.*")
+    texts = df.select(*[_cell_text(df, c).alias(str(i)) for i, c in enumerate(df.columns)])
+    cells = texts.unpivot([], texts.columns, "position", "value")
     counts = cells.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
     present = F.col("value").isNotNull()
     per_column = counts.groupBy("position").agg(
@@ -49,6 +43,7 @@ def profile_table(df: DataFrame, *, approx: bool = False) -> DataFrame:
         F.sum(F.when(present, 0).otherwise(F.col("n"))).alias("missing"),
         F.count("value").alias("distinct_values"),
     )
+    per_column = per_column.withColumn("position", F.col("position").cast("int"))
     names = df.sparkSession.createDataFrame(
         [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
         "position int, column string, type string",

@@ -112,10 +112,13 @@ def _violated(df: DataFrame, rule: Rule) -> Column | None:
     return None if compiled is None else compiled[0] & ~compiled[1]
 
 
-def rule_counts(df: DataFrame, rules: Sequence[Rule]) -> list[Column]:
+def rule_counts(
+    df: DataFrame, rules: Sequence[Rule], weight: Column | None = None
+) -> list[Column]:
     """Aggregates ``c0, v0, c1, v1, ...``: rows checked and violations of each rule.
 
     They fit a plain ``agg`` as well as a grouped one (for example per time window).
+    ``weight`` is the number of rows one row stands for.
     """
     out = []
     for i, rule in enumerate(rules):
@@ -123,7 +126,12 @@ def rule_counts(df: DataFrame, rules: Sequence[Rule]) -> list[Column]:
         checked, bad = (F.lit(False), F.lit(False)) if compiled is None else (
             compiled[0], compiled[0] & ~compiled[1]
         )
-        out += [F.count_if(checked).alias(f"c{i}"), F.count_if(bad).alias(f"v{i}")]
+        for name, condition in ((f"c{i}", checked), (f"v{i}", bad)):
+            if weight is None:
+                out.append(F.count_if(condition).alias(name))
+            else:
+                weighed = F.sum(F.when(condition, weight))
+                out.append(F.coalesce(weighed, F.lit(0).cast("bigint")).alias(name))
     return out
 
 
@@ -194,7 +202,9 @@ def invalid_categories(
     return bad if examples is None else bad.orderBy("value").limit(examples)
 
 
-def compliance_share(rules: Sequence[Rule]) -> Column:
+def compliance_share(
+    df: DataFrame, rules: Sequence[Rule], rows: Column, prefix: str = ""
+) -> Column:
     """Mean share of obeying rows over the rules, from the counts of :func:`rule_counts`.
 
     A rule without any row to check adds 0, except not-null on an empty table (1).
@@ -203,19 +213,18 @@ def compliance_share(rules: Sequence[Rule]) -> Column:
         return F.lit(NO_RULES_COMPLIANCE)
     total = F.lit(0.0)
     for i, r in enumerate(rules):
-        share = F.try_divide(F.col(f"c{i}") - F.col(f"v{i}"), F.col(f"c{i}"))
-        total = total + F.coalesce(share, F.lit(0.0))
+        checked, bad = F.col(f"{prefix}c{i}"), F.col(f"{prefix}v{i}")
+        nothing = F.lit(0.0)
+        if r.kind == "not_null" and r.column in df.columns:
+            nothing = F.when(rows == 0, 1.0).otherwise(0.0)
+        total = total + F.coalesce(F.try_divide(checked - bad, checked), nothing)
     return total / F.lit(float(len(rules)))
 
 
 def rules_compliance(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row: the compliance score of the table."""
-    if not rules:
-        return df.agg(F.lit(NO_RULES_COMPLIANCE).alias("compliance"))
     counted = df.agg(F.count(F.lit(1)).alias("rows"), *rule_counts(df, rules))
-    empty_ok = sum(1 for r in rules if r.kind == "not_null" and r.column in df.columns)
-    bonus = F.when(F.col("rows") == 0, F.lit(empty_ok / len(rules))).otherwise(0.0)
-    return counted.select((compliance_share(rules) + bonus).alias("compliance"))
+    return counted.select(compliance_share(df, rules, F.col("rows")).alias("compliance"))
 
 
 def with_violations(df: DataFrame, rules: Sequence[Rule], name: str = "violated_rules") -> DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.frames import side_by_side
 from ..functions.numbers import clamp, missing
-from ..functions.schema import col, groupable
 from .compare import accuracy_by_key, accuracy_by_position, common_columns, golden_report, type_share
-from .rules import NO_RULES_COMPLIANCE, Rule, rules_compliance
+from .dedup import group_sizes
+from .rules import Rule, compliance_share, rule_counts
 
 # The dimensions and their weights.
 WEIGHTS = {
@@ -30,20 +31,19 @@ EFFICIENCY_SLOPE, EFFICIENCY_FLOOR, EFFICIENCY_UNKNOWN = 1.5, 0.1, 0.5
 EFFECT_FACTOR, EFFECT_BONUS, MAX_GAIN, MAX_LOSS, DEAD_ZONE, NO_EFFECT = 2.0, 0.03, 0.15, -0.20, -0.01, 0.001
 
 
-def table_facts(df: DataFrame) -> DataFrame:
-    """One row: rows, missing cells and duplicate rows, from one shuffle of distinct rows."""
-    columns = groupable(df, df.columns)
-    gone = sum((missing(df, c).cast("bigint") for c in columns), F.lit(0).cast("bigint"))
+def table_facts(df: DataFrame, rules: Sequence[Rule] = ()) -> DataFrame:
+    """One row: rows, missing cells, duplicate rows, and the counts of each rule.
+
+    One shuffle of the distinct rows serves all of it.
+    """
     n = F.col("__n")
-    distinct = (
-        df.withColumn("__gone", gone)
-        .groupBy(*[col(c) for c in columns], "__gone")
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
+    distinct = group_sizes(df)
+    gone = sum((missing(df, c).cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
     return distinct.agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(n * F.col("__gone")), F.lit(0)).alias("missing_cells"),
+        F.coalesce(F.sum(n * gone), F.lit(0)).alias("missing_cells"),
         F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicates"),
+        *rule_counts(df, rules, weight=n),
     )
 
 
@@ -73,11 +73,6 @@ def golden_share(report: DataFrame) -> DataFrame:
     )
 
 
-def _one(df: DataFrame) -> Column:
-    """All columns of a one-row table as a struct-valued scalar subquery."""
-    return df.select(F.struct(*[F.col(c) for c in df.columns])).scalar()
-
-
 def score(
     current: DataFrame, truth: DataFrame, baseline: DataFrame, *,
     key: Sequence[str] = (), order_by: Sequence[str] = (),
@@ -87,8 +82,9 @@ def score(
     """One row: the eight dimensions, the composite, and what lies outside the truth.
 
     ``baseline`` is the table before cleaning. Rows are paired by ``key`` or, without
-    one, by position in ``order_by``. Each part is a one-row aggregate read as a
-    scalar subquery, so no table is collected or crossed.
+    one, by position in ``order_by``. Each part is a one-row aggregate; no table is
+    collected or crossed. ``current`` is read three times, so write it out first
+    (:func:`grainsift.session.materialized`) when it is expensive to compute.
     """
     if key:
         accuracy = accuracy_by_key(current, truth, key, **options)
@@ -96,34 +92,24 @@ def score(
         accuracy = accuracy_by_position(current, truth, order_by, **options)
     else:
         raise ValueError("score needs a key or an order_by to pair rows")
-    if rules:
-        compliance = rules_compliance(current, rules).scalar()
-    else:
-        compliance = F.lit(NO_RULES_COMPLIANCE)
-    if golden is None:
-        golden_part = F.lit(1.0)
-    else:
-        golden_part = golden_share(
-            golden_report(current, golden, golden_key or key[0], **options)
-        ).scalar()
-
-    facts = current.sparkSession.range(1).select(
-        _one(table_facts(baseline)).alias("b"),
-        _one(table_facts(current)).alias("c"),
-        _one(table_facts(truth)).alias("t"),
-        _one(accuracy).alias("a"),
-        compliance.alias("r"),
-        golden_part.alias("g"),
-    )
+    tables = {
+        "b": table_facts(baseline), "c": table_facts(current, rules), "t": table_facts(truth),
+        "a": accuracy,
+    }
+    golden_part = F.lit(1.0)
+    if golden is not None:
+        tables["g"] = golden_share(golden_report(current, golden, golden_key or key[0], **options))
+        golden_part = F.col("g.share")
+    facts = side_by_side(tables)
     parts = {
         "missing_fixed": progress(*[F.col(f"{p}.missing_cells") for p in "bct"]),
         "duplicates_removed": progress(*[F.col(f"{p}.duplicates") for p in "bct"]),
         "type_correctness": F.lit(type_share(current, truth)),
         "value_accuracy": F.col("a.accuracy"),
         "data_preservation": preservation(F.col("c.rows"), F.col("t.rows")),
-        "constraint_compliance": F.col("r"),
+        "constraint_compliance": compliance_share(current, rules, F.col("c.rows"), "c."),
         "step_efficiency": F.lit(step_efficiency(steps, budget)),
-        "golden_row_integrity": F.col("g"),
+        "golden_row_integrity": golden_part,
     }
     shared = common_columns(current, truth)
     return facts.select(
@@ -168,9 +154,7 @@ def bounded_effect(gain: Column) -> Column:
 def quality_delta(before: DataFrame, after: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
     """Two score rows as (dimension, before, after, delta, effect); effect only in total."""
     names = [*weights, "composite"]
-    both = before.sparkSession.range(1).select(
-        _one(before.select(*names)).alias("b"), _one(after.select(*names)).alias("a")
-    )
+    both = side_by_side({"b": before.select(*names), "a": after.select(*names)})
     lines = [
         F.struct(
             F.lit(d).alias("dimension"),

@@ -11,7 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.frames import side_by_side
 from ..functions.schema import col
+from ..session import materialized
 from ..operators import columns as C, dedup, fill, rows as R
 
 
@@ -117,18 +119,18 @@ def undo(steps: Sequence[Step], n: int = 1) -> list[Step]:
 
 
 def run(
-    df: DataFrame, steps: Sequence[Step], *, checkpoint_after: Sequence[int] = ()
+    df: DataFrame, steps: Sequence[Step], *, materialize_after: Sequence[str] = ()
 ) -> DataFrame:
     """Fold the steps over the table.
 
-    Steps that read the table to find a fill value read everything before them again;
-    ``checkpoint_after`` names positions whose result is written to the checkpoint
-    folder (``spark.checkpoint.dir``) so that later steps start from there.
+    A step that looks up a fill value reads everything before it, and so does every
+    later use of the result. ``materialize_after`` names operations (such as
+    ``remove_duplicates``) whose result is written to the shared folder once.
     """
-    for i, s in enumerate(effective(steps)):
+    for s in effective(steps):
         df = s.apply(df)
-        if i in checkpoint_after:
-            df = df.checkpoint()
+        if s.op in materialize_after:
+            df = materialized(df, s.op)
     return df
 
 
@@ -148,7 +150,7 @@ class _Lineage:
         self.df, self.steps = df, list(steps)
         self.after = _histories(self.steps)
         self.before = [(), *self.after[:-1]]
-        self.facts: dict[str, Column] = {}  # one-row aggregates by name
+        self.facts: dict[str, DataFrame] = {}  # one-row aggregates by name
         self.rows_in: dict[tuple[int, ...], str] = {}  # where the row count of a history is
         self.cells_in: dict[int, str] = {}  # where the changed cells of a step are
 
@@ -158,7 +160,7 @@ class _Lineage:
             by_base.setdefault(self._base(h), set()).add(h)
         for base in sorted(by_base):
             self._measure(base, by_base[base])
-        one = self.df.sparkSession.range(1).select(*[f.alias(n) for n, f in self.facts.items()])
+        one = side_by_side(self.facts)
         entries = F.array(*[self._entry(i) for i in range(len(self.steps))])
         changed = (
             F.col("e.schema_changed")
@@ -195,7 +197,7 @@ class _Lineage:
                 self.rows_in[base] = name
                 counts.append(F.count(F.lit(1)).alias("rows"))
             if counts:
-                self.facts[name] = changed.agg(F.struct(*counts)).scalar()
+                self.facts[name] = changed.agg(*counts)
 
     def _apply(self, frame: DataFrame, i: int) -> DataFrame:
         return frame if self._kind(i) == "order" else self.steps[i].apply(frame)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.frames import side_by_side
 from ..operators import compare, inject, score as Q
+from ..operators.rules import rules_compliance
 from ..plans import recipe
 from ..plans.recipe import step
 from ..sources import dirty as D
@@ -37,7 +39,9 @@ cleaned AS (SELECT * REPLACE (greatest(least(o_totalprice, 500000), 0) AS o_tota
 
 
 def cleaned(spark, folder):
-    return recipe.run(D.orders_dirty(spark, folder), CLEANING)
+    return recipe.run(
+        D.orders_dirty(spark, folder), CLEANING, materialize_after=["remove_duplicates"]
+    )
 
 
 def _dirty(spark, folder):
@@ -212,10 +216,8 @@ def _progress_query(name: str, dimension: str, fact: str, short: str) -> None:
             "c": cleaned(spark, folder),
             "t": table(spark, folder, "orders"),
         }
-        facts = spark.range(1).select(*[
-            Q.table_facts(df).select(fact).scalar().alias(n) for n, df in tables.items()
-        ])
-        value = Q.progress(F.col("b"), F.col("c"), F.col("t"))
+        facts = side_by_side({n: Q.table_facts(df) for n, df in tables.items()})
+        value = Q.progress(*[F.col(f"{n}.{fact}") for n in "bct"])
         return facts.select(F.round(value, 6).alias(dimension))
 
     query(name, f"""
@@ -233,15 +235,15 @@ SELECT (SELECT count(*) FROM kept) / CAST(count(*) AS DOUBLE) AS data_preservati
 def score_preservation(spark, folder):
     orders = table(spark, folder, "orders")
     kept = orders.filter("o_totalprice > 100000")
-    rows = [df.agg(F.count(F.lit(1))).scalar() for df in (kept, orders)]
-    return spark.range(1).select(Q.preservation(*rows).alias("data_preservation"))
+    rows = side_by_side({
+        n: df.agg(F.count(F.lit(1)).alias("rows")) for n, df in (("c", kept), ("t", orders))
+    })
+    return rows.select(Q.preservation(F.col("c.rows"), F.col("t.rows")).alias("data_preservation"))
 
 
 @query("score_compliance", f"""
 WITH {CLEANED} SELECT round(({compliance_sql('cleaned')}), 6) AS compliance""")
 def score_compliance(spark, folder):
-    from ..operators.rules import rules_compliance
-
     return _rounded(rules_compliance(cleaned(spark, folder), D.ORDER_RULES), "compliance")
 
 
