@@ -1,10 +1,25 @@
-"""Combining one-row tables."""
+"""Small tables: literal rows, and one-row tables side by side."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from .schema import typed_literal
+
+
+def literal_rows(
+    spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str
+) -> DataFrame:
+    """A few literal rows as plan literals, so that no Python worker is started."""
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    structs = [
+        F.struct(*[typed_literal(v, f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
+        for r in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def side_by_side(parts: Mapping[str, DataFrame]) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cells import cell_equal, cell_score, match_form
-from ..functions.frames import side_by_side
+from ..functions.frames import literal_rows, side_by_side
 from ..functions.schema import col, groupable, require, same_family, type_of
 from .dedup import remove_duplicates
 from .ordinal import ROWS_PER_BUCKET, with_ordinal
@@ -37,7 +37,7 @@ def type_report(current: DataFrame, truth: DataFrame) -> DataFrame:
             bool(here and same_family(f.dataType, here)),
         ))
     schema = "column string, truth_type string, current_type string, matches boolean"
-    return truth.sparkSession.createDataFrame(rows, schema)
+    return literal_rows(truth.sparkSession, rows, schema)
 
 
 def type_share(current: DataFrame, truth: DataFrame) -> float:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.frames import literal_rows
 from ..functions.hashing import digest, draw, selected, unit
 from ..functions.numbers import number
 from ..functions.schema import col, is_text, require, type_of
@@ -234,7 +235,7 @@ def add_odd_rows(df: DataFrame, rows: Sequence[dict]) -> DataFrame:
         if unknown := [k for k in r if k not in names]:
             raise ValueError(f"unknown columns {unknown}; available: {names}")
     literal = [tuple(r.get(c) for c in names) for r in rows]
-    return df.unionByName(df.sparkSession.createDataFrame(literal, df.schema))
+    return df.unionByName(literal_rows(df.sparkSession, literal, df.schema))
 
 
 def surviving_rows(df: DataFrame, rows: Sequence[dict], key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.frames import literal_rows
 from ..functions.numbers import missing, number, percent
 from ..functions.schema import col, require, type_of
 from .dedup import duplicate_report
@@ -44,7 +45,8 @@ def profile_table(df: DataFrame, *, approx: bool = False) -> DataFrame:
         F.count("value").alias("distinct_values"),
     )
     per_column = per_column.withColumn("position", F.col("position").cast("int"))
-    names = df.sparkSession.createDataFrame(
+    names = literal_rows(
+        df.sparkSession,
         [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
         "position int, column string, type string",
     )
