@@ -1,4 +1,4 @@
-"""Reproducible pseudo-random choices from row keys.
+"""Reproducible pseudo-random choices from row keys, and row digests.
 
 A choice depends only on the key, the seed and a tag, so it is the same on any
 partitioning and after any task retry, and any SQL engine with ``md5`` can repeat it.
@@ -6,7 +6,11 @@ partitioning and after any task retry, and any SQL engine with ``md5`` can repea
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from .schema import col, is_text, type_of
 
 
 def digest(key: Column, seed: int, tag: str) -> Column:
@@ -27,3 +31,31 @@ def unit(key: Column, seed: int, tag: str) -> Column:
 def selected(key: Column, seed: int, tag: str, rate: float) -> Column:
     """True for about ``rate`` of all keys; never NULL."""
     return F.coalesce(unit(key, seed, tag) < F.lit(float(rate)), F.lit(False))
+
+
+def _exact_text(c: Column, dtype: T.DataType) -> Column | None:
+    """Text that is equal exactly when the cells are; None for nested and other types."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return (c + F.lit(0).cast(dtype)).cast("string")  # adding 0 removes the sign of zero
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("string")  # the printed form repeats when clocks go back
+    if isinstance(dtype, T.BinaryType):
+        return F.hex(c)
+    plain = (T.NumericType, T.BooleanType, T.DateType, T.TimestampNTZType)
+    return c.cast("string") if is_text(dtype) or isinstance(dtype, plain) else None
+
+
+def compact_keys(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Grouping columns that are equal exactly when the named columns are.
+
+    Wide or textual keys become one SHA-256 digest, so that 32 bytes per row are
+    shuffled instead of the row. Cells are written with their length (or as N for
+    NULL), which keeps different rows apart.
+    """
+    types = [type_of(df, n) for n in names]
+    narrow = all(not is_text(t) and not isinstance(t, T.BinaryType) for t in types)
+    texts = [_exact_text(col(n), t) for n, t in zip(names, types)]
+    if (narrow and len(names) <= 4) or any(t is None for t in texts):
+        return [col(n).alias(f"__k{i}") for i, n in enumerate(names)]
+    cells = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("N")) for t in texts]
+    return [F.unhex(F.sha2(F.concat(*cells), 256)).alias("__k0")]

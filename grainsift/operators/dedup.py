@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.hashing import compact_keys
 from ..functions.numbers import percent
 from ..functions.schema import col, groupable
 from .skew import join_unique
@@ -17,10 +18,15 @@ def _keys(df: DataFrame, subset: Sequence[str] | None) -> list[str]:
     return groupable(df, subset if subset else df.columns)
 
 
-def group_sizes(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """One row per distinct key with its row count; copies collapse before the shuffle."""
-    keys = [col(c) for c in _keys(df, subset)]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_N))
+def group_sizes(
+    df: DataFrame, subset: Sequence[str] | None = None, extra: Sequence[Column] = ()
+) -> DataFrame:
+    """The row count ``__n`` of each distinct key, with ``extra`` aggregates per key.
+
+    Copies collapse before the shuffle, and wide keys travel as a digest.
+    """
+    keys = compact_keys(df, _keys(df, subset))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_N), *extra)
 
 
 def duplicate_report(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -42,7 +48,8 @@ def duplicate_members(df: DataFrame, subset: Sequence[str] | None = None) -> Dat
     whole group; frequent keys are salted in the join.
     """
     keys = _keys(df, subset)
-    repeated = group_sizes(df, keys).filter(F.col(_N) > 1).drop(_N)
+    sizes = df.groupBy(*[col(c) for c in keys]).agg(F.count(F.lit(1)).alias(_N))
+    repeated = sizes.filter(F.col(_N) > 1).drop(_N)
     return join_unique(df, repeated, keys, "left_semi")
 
 

@@ -21,7 +21,7 @@ from .skew import HOT_SAMPLES, MAX_BUCKETS, SAMPLES_PER_BUCKET, key_hash
 
 _KEY, _BUCKET, _COPIES, _TIE, _START = "__key", "__bucket", "__copies", "__tie", "__start"
 
-ROWS_PER_BUCKET = 250_000
+ROWS_PER_BUCKET = 50_000
 COPIES_PER_CHUNK = 100_000
 
 

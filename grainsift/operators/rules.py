@@ -112,13 +112,10 @@ def _violated(df: DataFrame, rule: Rule) -> Column | None:
     return None if compiled is None else compiled[0] & ~compiled[1]
 
 
-def rule_counts(
-    df: DataFrame, rules: Sequence[Rule], weight: Column | None = None
-) -> list[Column]:
+def rule_counts(df: DataFrame, rules: Sequence[Rule]) -> list[Column]:
     """Aggregates ``c0, v0, c1, v1, ...``: rows checked and violations of each rule.
 
     They fit a plain ``agg`` as well as a grouped one (for example per time window).
-    ``weight`` is the number of rows one row stands for.
     """
     out = []
     for i, rule in enumerate(rules):
@@ -126,12 +123,7 @@ def rule_counts(
         checked, bad = (F.lit(False), F.lit(False)) if compiled is None else (
             compiled[0], compiled[0] & ~compiled[1]
         )
-        for name, condition in ((f"c{i}", checked), (f"v{i}", bad)):
-            if weight is None:
-                out.append(F.count_if(condition).alias(name))
-            else:
-                weighed = F.sum(F.when(condition, weight))
-                out.append(F.coalesce(weighed, F.lit(0).cast("bigint")).alias(name))
+        out += [F.count_if(checked).alias(f"c{i}"), F.count_if(bad).alias(f"v{i}")]
     return out
 
 
@@ -151,35 +143,32 @@ def counts_to_rows(rules: Sequence[Rule]) -> Column:
 
 
 def rules_report(df: DataFrame, rules: Sequence[Rule], *, only_violated: bool = False) -> DataFrame:
-    """One row per rule: rows checked, violations, pass rate, distinct bad categories."""
+    """One row per rule: rows checked, violations, pass rate, distinct bad categories.
+
+    One scan: rows are counted per combination of bad categories (for most rows there
+    is none), and the few combinations give both the totals and the distinct values.
+    """
     if not rules:
         raise ValueError("no rules given")
-    rows = df.agg(*rule_counts(df, rules)).select(F.explode(counts_to_rows(rules)).alias("r"))
-    rows = rows.select("r.*")
-    bad = _bad_categories(df, rules)
-    if bad is None:
-        rows = rows.withColumn("bad_values", F.lit(None).cast("bigint"))
-    else:
-        per_rule = bad.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
-        n = F.when(F.col("type") == "categorical", F.coalesce("n", F.lit(0)))
-        rows = rows.join(per_rule, "rule_id", "left").withColumn("bad_values", n).drop("n")
+    bad_values = {
+        i: F.when(bad, col(r.column).cast("string")).alias(f"b{i}")
+        for i, r in enumerate(rules)
+        if r.kind == "categorical" and (bad := _violated(df, r)) is not None
+    }
+    grouped = df.groupBy(*bad_values.values()).agg(*rule_counts(df, rules))
+    counts = [f"{kind}{i}" for i in range(len(rules)) for kind in "cv"]
+    totals = grouped.agg(
+        *[F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c) for c in counts],
+        *[F.count_distinct(f"b{i}").alias(f"b{i}") for i in bad_values],
+    )
+    distinct = F.array(*[
+        F.col(f"b{i}") if i in bad_values else F.lit(None).cast("bigint") for i in range(len(rules))
+    ])
+    rows = totals.select(F.explode(F.arrays_zip(counts_to_rows(rules).alias("r"), distinct.alias("n"))).alias("z"))
+    rows = rows.select("z.r.*", F.col("z.n").alias("bad_values"))
     return rows.filter("violations > 0") if only_violated else rows
 
 
-def _bad_categories(df: DataFrame, rules: Sequence[Rule]) -> DataFrame | None:
-    """Distinct values outside each categorical rule, with their row counts."""
-    cells = []
-    for i, r in enumerate(rules):
-        bad = _violated(df, r) if r.kind == "categorical" else None
-        if bad is not None:
-            value = col(r.column).cast("string").alias("value")
-            cells.append(F.when(bad, F.struct(F.lit(i).alias("rule_id"), value)))
-    if not cells:
-        return None
-    bad_cells = df.select(F.explode(F.array(*cells)).alias("c")).filter("c IS NOT NULL")
-    return bad_cells.groupBy("c.rule_id", "c.value").agg(F.count(F.lit(1)).alias("count"))
-
-
 def invalid_categories(
     df: DataFrame, column: str, allowed: Sequence | DataFrame, examples: int | None = None
 ) -> DataFrame:

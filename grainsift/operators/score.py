@@ -34,16 +34,17 @@ EFFECT_FACTOR, EFFECT_BONUS, MAX_GAIN, MAX_LOSS, DEAD_ZONE, NO_EFFECT = 2.0, 0.0
 def table_facts(df: DataFrame, rules: Sequence[Rule] = ()) -> DataFrame:
     """One row: rows, missing cells, duplicate rows, and the counts of each rule.
 
-    One shuffle of the distinct rows serves all of it.
+    One scan and one shuffle of row digests serve all of it.
     """
-    n = F.col("__n")
-    distinct = group_sizes(df)
     gone = sum((missing(df, c).cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
-    return distinct.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(n * gone), F.lit(0)).alias("missing_cells"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicates"),
-        *rule_counts(df, rules, weight=n),
+    counts = [f"{kind}{i}" for i in range(len(rules)) for kind in "cv"]
+    per_row = group_sizes(df, extra=[F.sum(gone).alias("__gone"), *rule_counts(df, rules)])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint"))
+    return per_row.agg(
+        total("__n").alias("rows"),
+        total("__gone").alias("missing_cells"),
+        total(F.col("__n") - 1).alias("duplicates"),
+        *[total(c).alias(c) for c in counts],
     )
 
 

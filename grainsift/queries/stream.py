@@ -13,6 +13,12 @@ from . import sql as S
 from .registry import query
 
 
+def _events(spark, folder):
+    # zone-less times become instants in the session zone; days are cut in UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return table_stream(spark, folder, "events")
+
+
 def _stored(spark, stream):
     work = new_work_dir(spark, "stream")
     X.append_to(stream, f"{work}/out", f"{work}/checkpoint").awaitTermination()
@@ -24,14 +30,14 @@ SELECT event_id, ts, user_id, upper(event_type) AS event_type,
   CASE WHEN value IS NOT NULL THEN greatest(least(value, 1000), 0) END AS value
 FROM events_dirty WHERE event_type <> 'error'""")
 def stream_clean(spark, folder):
-    events = D.events_dirty_from(table_stream(spark, folder, "events"))
+    events = D.events_dirty_from(_events(spark, folder))
     kept = R.remove_rows(C.drop_column(events, "props"), "event_type", "equals", "error")
     return _stored(spark, C.clip(C.standardize(kept, "event_type", "uppercase"), "value", 0, 1000))
 
 
 @query("stream_dedup", "SELECT event_id, ts, user_id, event_type, value FROM events")
 def stream_dedup(spark, folder):
-    events = table_stream(spark, folder, "events").drop("props")
+    events = _events(spark, folder).drop("props")
     # every third event arrives twice
     twice = F.explode(F.sequence(F.lit(0), F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)))
     repeated = events.withColumn("copy", twice).drop("copy")
@@ -44,7 +50,7 @@ SELECT event_id, value, concat_ws(',', CASE WHEN value < 0 OR value > 1000 THEN
   CASE WHEN value IS NULL THEN '1' END) AS violated_rules
 FROM events_dirty WHERE value IS NULL OR value < 0 OR value > 1000""")
 def stream_quarantine(spark, folder):
-    events = D.events_dirty_from(table_stream(spark, folder, "events"))
+    events = D.events_dirty_from(_events(spark, folder))
     bad = rules.quarantine(events, D.EVENT_RULES)[1]
     as_text = F.concat_ws(",", F.transform("violated_rules", lambda i: i.cast("string")))
     return _stored(spark, bad.select("event_id", "value", as_text.alias("violated_rules")))
@@ -61,7 +67,7 @@ FROM events_dirty GROUP BY 1"""
 {_window_sql(1, 'not_null', 'count(*)', 'value IS NULL')})
 SELECT *, round((checked - violations) / CAST(checked AS DOUBLE), 6) AS pass_rate FROM c""")
 def stream_rules_by_window(spark, folder):
-    events = D.events_dirty_from(table_stream(spark, folder, "events"))
+    events = D.events_dirty_from(_events(spark, folder))
     counted = X.windowed_rule_counts(events, D.EVENT_RULES, "ts", "1 day")
     work = new_work_dir(spark, "stream")
     X.upsert_to(counted, f"{work}/out", f"{work}/checkpoint").awaitTermination()
