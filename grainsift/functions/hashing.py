@@ -1,4 +1,4 @@
-"""Reproducible pseudo-random choices from row keys, and row digests.
+"""Reproducible pseudo-random choices from row keys, and short keys for long texts.
 
 A choice depends only on the key, the seed and a tag, so it is the same on any
 partitioning and after any task retry, and any SQL engine with ``md5`` can repeat it.
@@ -33,29 +33,35 @@ def selected(key: Column, seed: int, tag: str, rate: float) -> Column:
     return F.coalesce(unit(key, seed, tag) < F.lit(float(rate)), F.lit(False))
 
 
-def _exact_text(c: Column, dtype: T.DataType) -> Column | None:
-    """Text that is equal exactly when the cells are; None for nested and other types."""
+LONG_TEXT = 64
+
+
+def compact_text(text: Column) -> Column:
+    """Text of at most 65 characters that is equal exactly when the texts are.
+
+    Longer texts become ``#`` and their SHA-256; with 65 characters that form cannot
+    be mistaken for a text that was left alone.
+    """
+    return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
+
+
+def distinct_text(c: Column, dtype: T.DataType) -> Column:
+    """Any cell as short text that is equal exactly when the cells are."""
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return (c + F.lit(0).cast(dtype)).cast("string")  # adding 0 removes the sign of zero
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("string")  # the printed form repeats when clocks go back
-    if isinstance(dtype, T.BinaryType):
-        return F.hex(c)
-    plain = (T.NumericType, T.BooleanType, T.DateType, T.TimestampNTZType)
-    return c.cast("string") if is_text(dtype) or isinstance(dtype, plain) else None
+        c = c + F.lit(0).cast(dtype)  # removes the sign of zero
+    elif isinstance(dtype, T.TimestampType):
+        c = F.unix_micros(c)  # the printed form repeats when clocks go back
+    elif isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+        c = F.to_json(c, {"ignoreNullFields": "false"})
+    return compact_text(c.cast("string"))
 
 
 def compact_keys(df: DataFrame, names: Sequence[str]) -> list[Column]:
-    """Grouping columns that are equal exactly when the named columns are.
+    """Grouping columns ``__k0, __k1, ...`` for the named ones, with long texts shortened.
 
-    Wide or textual keys become one SHA-256 digest, so that 32 bytes per row are
-    shuffled instead of the row. Cells are written with their length (or as N for
-    NULL), which keeps different rows apart.
+    Whole documents would otherwise be shuffled just to be compared.
     """
-    types = [type_of(df, n) for n in names]
-    narrow = all(not is_text(t) and not isinstance(t, T.BinaryType) for t in types)
-    texts = [_exact_text(col(n), t) for n, t in zip(names, types)]
-    if (narrow and len(names) <= 4) or any(t is None for t in texts):
-        return [col(n).alias(f"__k{i}") for i, n in enumerate(names)]
-    cells = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("N")) for t in texts]
-    return [F.unhex(F.sha2(F.concat(*cells), 256)).alias("__k0")]
+    return [
+        (compact_text(col(n)) if is_text(type_of(df, n)) else col(n)).alias(f"__k{i}")
+        for i, n in enumerate(names)
+    ]

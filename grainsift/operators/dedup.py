@@ -23,7 +23,7 @@ def group_sizes(
 ) -> DataFrame:
     """The row count ``__n`` of each distinct key, with ``extra`` aggregates per key.
 
-    Copies collapse before the shuffle, and wide keys travel as a digest.
+    Copies collapse before the shuffle, and long texts travel as a digest.
     """
     keys = compact_keys(df, _keys(df, subset))
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_N), *extra)

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.frames import literal_rows
+from ..functions.hashing import distinct_text
 from ..functions.numbers import missing, number, percent
-from ..functions.schema import col, require, type_of
+from ..functions.schema import col, is_number, require, type_of
 from .dedup import duplicate_report
 from .quantiles import quantiles
 
@@ -17,14 +18,10 @@ TOP_VALUES = 10  # fixed value: length of the frequency list
 OUTLIER_EXAMPLES = 15  # fixed value: outlier values shown
 IQR_FACTOR = 1.5  # fixed value: whisker length
 
-_LONG_TEXT = 64  # longer texts are counted by their SHA-256, which is shorter to shuffle
-
 
 def _cell_text(df: DataFrame, name: str) -> Column:
     """Cell as text for counting distinct values; missing cells are NULL."""
-    text = col(name).cast("string")
-    text = F.when(F.length(text) > _LONG_TEXT, F.sha2(text, 256)).otherwise(text)
-    return F.when(~missing(df, name), text)
+    return F.when(~missing(df, name), distinct_text(col(name), type_of(df, name)))
 
 
 def profile_table(df: DataFrame, *, approx: bool = False) -> DataFrame:
@@ -106,6 +103,14 @@ def profile_numeric(df: DataFrame, column: str, *, approx: bool = False) -> Data
     )
 
 
+def profile_column(df: DataFrame, column: str, *, approx: bool = False) -> DataFrame:
+    """Statistics of a numeric column, or counts and distinct values of any other."""
+    require(df, column)
+    if is_number(type_of(df, column)):
+        return profile_numeric(df, column, approx=approx)
+    return profile_table(df.select(col(column)), approx=approx).drop("position")
+
+
 def top_values(df: DataFrame, column: str, n: int = TOP_VALUES) -> DataFrame:
     """The most frequent values with their counts, ties in value order."""
     require(df, column)

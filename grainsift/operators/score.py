@@ -34,7 +34,7 @@ EFFECT_FACTOR, EFFECT_BONUS, MAX_GAIN, MAX_LOSS, DEAD_ZONE, NO_EFFECT = 2.0, 0.0
 def table_facts(df: DataFrame, rules: Sequence[Rule] = ()) -> DataFrame:
     """One row: rows, missing cells, duplicate rows, and the counts of each rule.
 
-    One scan and one shuffle of row digests serve all of it.
+    One scan and one shuffle serve all of it.
     """
     gone = sum((missing(df, c).cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
     counts = [f"{kind}{i}" for i in range(len(rules)) for kind in "cv"]
