@@ -6,6 +6,7 @@ partitioning and after any task retry, and any SQL engine with ``md5`` can repea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -29,20 +30,27 @@ def unit(key: Column, seed: int, tag: str) -> Column:
 
 
 def selected(key: Column, seed: int, tag: str, rate: float) -> Column:
-    """True for about ``rate`` of all keys; never NULL."""
-    return F.coalesce(unit(key, seed, tag) < F.lit(float(rate)), F.lit(False))
+    """True where :func:`unit` is below ``rate``; never NULL.
+
+    Eight hex digits compare like the numbers they stand for, so nothing is converted.
+    """
+    bound = math.ceil(rate * 2**32)
+    if bound >= 2**32:
+        return key.isNotNull()
+    below = F.substring(digest(key, seed, tag), 1, 8) < F.lit(f"{max(bound, 0):08x}")
+    return key.isNotNull() & below
 
 
 LONG_TEXT = 64
 
 
 def compact_text(text: Column) -> Column:
-    """Text of at most 65 characters that is equal exactly when the texts are.
+    """Text of at most 65 bytes that is equal exactly when the texts are.
 
-    Longer texts become ``#`` and their SHA-256; with 65 characters that form cannot
-    be mistaken for a text that was left alone.
+    Longer texts become ``#`` and their SHA-256; with 65 bytes that form cannot be
+    mistaken for a text that was left alone.
     """
-    return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
+    return F.when(F.octet_length(text) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
 
 
 def distinct_text(c: Column, dtype: T.DataType) -> Column:

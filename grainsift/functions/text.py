@@ -6,13 +6,13 @@ import re
 
 from pyspark.sql import Column, SparkSession, functions as F
 
-# White space at either end, including the four ASCII separators.
-_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# every character that counts as white space, including the ASCII separators
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, _ENDS, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def title(c: Column) -> Column:

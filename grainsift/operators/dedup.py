@@ -47,10 +47,11 @@ def duplicate_members(df: DataFrame, subset: Sequence[str] | None = None) -> Dat
     Keys are counted with partial aggregation and joined back, so no task holds a
     whole group; frequent keys are salted in the join.
     """
-    keys = _keys(df, subset)
-    sizes = df.groupBy(*[col(c) for c in keys]).agg(F.count(F.lit(1)).alias(_N))
-    repeated = sizes.filter(F.col(_N) > 1).drop(_N)
-    return join_unique(df, repeated, keys, "left_semi")
+    keys = compact_keys(df, _keys(df, subset))
+    names = [f"__k{i}" for i in range(len(keys))]
+    repeated = group_sizes(df, subset).filter(F.col(_N) > 1).select(*names)
+    keyed = df.select("*", *keys)
+    return join_unique(keyed, repeated, names, "left_semi").drop(*names)
 
 
 def remove_duplicates(
@@ -82,7 +83,5 @@ def remove_duplicates(
 def _unrepeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key occurs once; the row travels with its key, so no join is needed."""
     row = F.struct(*[col(c) for c in df.columns])
-    counted = df.groupBy(*[col(c).alias(f"__k{i}") for i, c in enumerate(keys)]).agg(
-        F.count(F.lit(1)).alias(_N), F.first(row).alias("__row")
-    )
+    counted = group_sizes(df, keys, extra=[F.first(row).alias("__row")])
     return counted.filter(F.col(_N) == 1).select("__row.*")

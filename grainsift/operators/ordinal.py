@@ -90,7 +90,10 @@ def _literal_array(df: DataFrame, keys: list, key_type: T.DataType) -> Column:
 
 
 def _bucket_column(df: DataFrame, cut: _Cut) -> DataFrame:
-    """Add the key and the number of bounds at or below it (a binary search)."""
+    """Add the key and the number of bounds at or below it.
+
+    A binary search: about 15 comparisons per row for the largest number of buckets.
+    """
     df = df.withColumn(_KEY, cut.key)
     n = len(cut.bounds)
     if n == 0:

@@ -11,8 +11,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.hashing import distinct_text
 from ..functions.numbers import missing, number
-from ..functions.schema import col, require
+from ..functions.schema import col, require, type_of
 from ..functions.text import java_pattern
 
 NO_RULES_COMPLIANCE = 0.8  # fixed value: compliance of a table without rules
@@ -151,7 +152,7 @@ def rules_report(df: DataFrame, rules: Sequence[Rule], *, only_violated: bool =
     if not rules:
         raise ValueError("no rules given")
     bad_values = {
-        i: F.when(bad, col(r.column).cast("string")).alias(f"b{i}")
+        i: F.when(bad, distinct_text(col(r.column), type_of(df, r.column))).alias(f"b{i}")
         for i, r in enumerate(rules)
         if r.kind == "categorical" and (bad := _violated(df, r)) is not None
     }

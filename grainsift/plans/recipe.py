@@ -140,14 +140,23 @@ def lineage(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     Consecutive column steps are counted together: each keeps its old column beside
     the new one, so one pass serves all steps up to the next one that removes rows.
     """
-    return _Lineage(df, steps).table()
+    return _Lineage(df, steps, ()).table()
+
+
+def run_with_log(
+    df: DataFrame, steps: Sequence[Step], *, materialize_after: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """The results of :func:`run` and :func:`lineage`, sharing what is materialised."""
+    logged = _Lineage(df, steps, materialize_after)
+    return logged.frame(logged.after[-1]), logged.table()
 
 
 class _Lineage:
-    def __init__(self, df: DataFrame, steps: Sequence[Step]):
+    def __init__(self, df: DataFrame, steps: Sequence[Step], materialize_after: Sequence[str]):
         if not steps:
             raise ValueError("no steps given")
-        self.df, self.steps = df, list(steps)
+        self.steps, self.materialize_after = list(steps), materialize_after
+        self.frames: dict[tuple[int, ...], DataFrame] = {(): df}
         self.after = _histories(self.steps)
         self.before = [(), *self.after[:-1]]
         self.facts: dict[str, DataFrame] = {}  # one-row aggregates by name
@@ -186,9 +195,7 @@ class _Lineage:
 
         The longest history contains the others unless an undo branched off.
         """
-        frame = self.df
-        for i in base:
-            frame = self._apply(frame, i)
+        frame = self.frame(base)
         leaves = [h for h in histories if not any(o != h and o[: len(h)] == h for o in histories)]
         for h in sorted(leaves):
             name = f"f{len(self.facts)}"
@@ -199,15 +206,22 @@ class _Lineage:
             if counts:
                 self.facts[name] = changed.agg(*counts)
 
-    def _apply(self, frame: DataFrame, i: int) -> DataFrame:
-        return frame if self._kind(i) == "order" else self.steps[i].apply(frame)
+    def frame(self, history: tuple[int, ...]) -> DataFrame:
+        """The table after the steps of a history."""
+        if history not in self.frames:
+            s = self.steps[history[-1]]
+            made = s.apply(self.frame(history[:-1]))
+            self.frames[history] = (
+                materialized(made, s.op) if s.op in self.materialize_after else made
+            )
+        return self.frames[history]
 
     def _counting(self, frame: DataFrame, tail: Sequence[int], name: str):
         """The steps applied, with a 0/1 column per column step for a changed cell."""
         counts = []
         for i in tail:
             if self._kind(i) != "column" or i in self.cells_in:
-                frame = self._apply(frame, i)
+                frame = self.steps[i].apply(frame)
                 continue
             self.cells_in[i] = name
             cell = col(self.steps[i].args["column"])

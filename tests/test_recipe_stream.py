@@ -48,6 +48,12 @@ def test_log(spark):
     assert tuple(summary) == (5, 1, 4, 0, -1)
 
 
+def test_run_with_log_shares_materialised_tables(spark, rows_of):
+    result, log = recipe.run_with_log(small(spark), STEPS, materialize_after=["remove_rows"])
+    assert rows_of(result) == rows_of(recipe.run(small(spark), STEPS))
+    assert rows_of(log) == rows_of(recipe.lineage(small(spark), STEPS))
+
+
 def test_log_with_branches_after_undo(spark):
     steps = [
         step("clip", column="x", lower=0, upper=6),
