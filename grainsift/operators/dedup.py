@@ -72,7 +72,7 @@ def remove_duplicates(
         return df.dropDuplicates()
     if not order_by:
         raise ValueError("keep='first' or 'last' on a subset needs order_by")
-    rest = [c for c in df.columns if c not in order_by]
+    rest = [c for c in df.columns if c not in order_by and c not in keys]
     order = [col(c) for c in (*groupable(df, order_by), *groupable(df, rest))]
     order = [c.asc_nulls_last() if keep == "first" else c.desc_nulls_first() for c in order]
     # filtering row_number directly lets Spark keep one row per key before the shuffle

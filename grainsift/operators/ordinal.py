@@ -185,7 +185,8 @@ def with_ordinal(
         offsets = totals.select(
             _BUCKET, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset")
         )
-        placed = placed.join(F.broadcast(offsets), _BUCKET).withColumn(
+        # every bucket has an offset; an inner join would test the bucket for NULL first
+        placed = placed.join(F.broadcast(offsets), _BUCKET, "left").withColumn(
             _START, F.col(_START) + F.col("__offset")
         )
     if cut.collapsed:
@@ -220,7 +221,7 @@ def forward_fill_column(
     )
     filled = F.last(cell, ignorenulls=True).over(upto_here)
     if cut.several:
-        tails = rows.groupBy(_BUCKET).agg(
+        tails = cut.rows.groupBy(_BUCKET).agg(
             F.max_by(
                 F.when(cell.isNotNull(), F.struct(part.alias("part"), cell.alias("value"))),
                 F.when(cell.isNotNull(), F.col(_KEY)),
@@ -230,7 +231,7 @@ def forward_fill_column(
         carries = tails.select(
             _BUCKET, F.last("__tail", ignorenulls=True).over(earlier).alias("__carry")
         )
-        rows = rows.withColumn("__local", filled).join(carries, _BUCKET)
+        rows = rows.withColumn("__local", filled).join(carries, _BUCKET, "left")
         carried = F.when(F.col("__carry.part").eqNullSafe(part), F.col("__carry.value"))
         filled = F.coalesce("__local", carried)
     out = rows.withColumn(column, filled)

@@ -2,53 +2,66 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text
 from ..functions.numbers import number
-from ..functions.schema import col, require, type_of, typed_literal
+from ..functions.schema import col, is_number, require, type_of, typed_literal
 
 MAX_VIEW_ROWS = 50  # fixed value: a view never shows more rows than this
 
 CONDITIONS = ("equals", "not_equals", "less_than", "greater_than", "contains")
 
 
-def row_condition(
+def keep_condition(
     df: DataFrame, column: str, condition: str, value: object, *, keep_nulls: bool = False
 ) -> Column:
-    """True for rows that meet the condition; never NULL.
+    """True for the rows that :func:`remove_rows` keeps.
 
     A NULL cell meets ``not_equals`` (it is not the value) unless ``keep_nulls``, and
-    no other condition.
+    no other condition. Comparisons are written so that the scan can use them.
     """
     require(df, column)
-    cell = col(column)
-    if condition in ("equals", "not_equals"):
-        same = cell.eqNullSafe(typed_literal(value, type_of(df, column)))
-        if condition == "equals":
-            return same
-        return ~same & cell.isNotNull() if keep_nulls else ~same
+    cell, dtype = col(column), type_of(df, column)
+    if condition == "equals":
+        return cell.isNull() | (cell != typed_literal(value, dtype))
+    if condition == "not_equals":
+        same = cell == typed_literal(value, dtype)
+        return same | cell.isNull() if keep_nulls else same
     if condition in ("less_than", "greater_than"):
         try:
-            bound = F.lit(float(value))
+            bound = float(value)
         except (TypeError, ValueError) as err:
             raise ValueError(f"{value!r} is not a number") from err
-        x = number(df, column)
-        return F.coalesce(x < bound if condition == "less_than" else x > bound, F.lit(False))
+        return _within(df, column, bound, condition == "less_than")
     if condition == "contains":
         pattern = "(?iu)" + text.java_pattern(str(value))
         text.check_pattern(df.sparkSession, pattern)
-        return F.coalesce(cell.cast("string").rlike(pattern), F.lit(False))
+        return ~F.coalesce(cell.cast("string").rlike(pattern), F.lit(False))
     raise ValueError(f"unknown condition {condition!r}; use one of {CONDITIONS}")
 
 
+def _within(df: DataFrame, column: str, bound: float, is_lower: bool) -> Column:
+    """Cells on the kept side of the bound, and cells that are no number."""
+    cell = col(column)
+    if isinstance(type_of(df, column), T.IntegralType) and abs(bound) < 2**62:
+        # whole numbers meet a whole bound, which needs no cast of the column
+        whole = F.lit(math.ceil(bound) if is_lower else math.floor(bound))
+        return cell.isNull() | (cell >= whole if is_lower else cell <= whole)
+    x = number(df, column)
+    if is_number(type_of(df, column)) and is_lower:
+        return cell.isNull() | (cell >= F.lit(bound))  # NaN sorts above every number
+    return F.coalesce(x >= bound if is_lower else x <= bound, F.lit(True))
+
+
 def remove_rows(
     df: DataFrame, column: str, condition: str, value: object, *, keep_nulls: bool = False
 ) -> DataFrame:
     """Drop the rows that meet the condition."""
-    return df.filter(~row_condition(df, column, condition.lower(), value, keep_nulls=keep_nulls))
+    return df.filter(keep_condition(df, column, condition.lower(), value, keep_nulls=keep_nulls))
 
 
 def sort_rows(

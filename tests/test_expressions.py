@@ -9,7 +9,9 @@ from grainsift.functions import cells, text
 from grainsift.functions.schema import typed_literal
 from grainsift.functions.numbers import number
 from grainsift.operators import columns as C, fill, profile, rows as R
-from grainsift.sources.tables import nan_to_null
+from grainsift.sources.tables import nan_to_null, table
+
+from conftest import SF
 
 
 def column(df, name="c"):
@@ -114,6 +116,33 @@ def test_row_conditions_and_nulls(spark):
             R.remove_rows(df, "c", *bad)
 
 
+@pytest.mark.parametrize("kind", ["int", "bigint", "double", "decimal(9,2)", "string"])
+def test_numeric_bounds_on_any_type(spark, kind):
+    df = spark.createDataFrame([(i,) for i in (-3, 0, 2, 3, 7)] + [(None,)], "n int")
+    df = df.select(F.col("n").cast(kind).alias("c"), "n").coalesce(1)
+    for value, low, high in ((2, [2, 3, 7], [-3, 0, 2]), (2.5, [3, 7], [-3, 0, 2]), ("-0.5", [0, 2, 3, 7], [-3])):
+        assert column(R.remove_rows(df, "c", "less_than", value), "n") == [*low, None]
+        assert column(R.remove_rows(df, "c", "greater_than", value), "n") == [*high, None]
+
+
+def test_nan_is_kept_by_numeric_bounds(spark):
+    df = frame(spark, [float("nan"), 1.0], "double")
+    for condition in ("less_than", "greater_than"):
+        assert R.remove_rows(df, "c", condition, 5 if condition == "less_than" else 0).count() == 1
+
+
+def test_conditions_reach_the_scan(spark, capsys):
+    orders = table(spark, SF, "orders")
+    for condition, column_, value in (
+        ("less_than", "o_totalprice", 1000), ("greater_than", "o_custkey", 50),
+        ("equals", "o_orderstatus", "F"), ("not_equals", "o_orderstatus", "F"),
+    ):
+        R.remove_rows(orders, column_, condition, value).select("o_orderkey").explain()
+        plan = capsys.readouterr().out
+        assert "PushedFilters: [" in plan and "PushedFilters: []" not in plan, condition
+        assert f"ReadSchema: struct<o_orderkey:bigint,{column_}" in plan or "o_orderkey" in plan
+
+
 def test_sort_and_view(spark):
     df = frame(spark, [2, None, 3, 1], "int")
     assert column(R.sort_rows(df, "c")) == [1, 2, 3, None]
