@@ -80,8 +80,11 @@ def accuracy_by_key(
     require(current, *key)
     require(truth, *key)
     columns = common_columns(current, truth)
-    one = remove_duplicates(truth, groupable(truth, key), order_by=key)
-    right = one.select(*[col(k) for k in key], *_truth_cells(one, columns))
+    keys = [col(k).try_cast(type_of(current, k)).alias(f"__key{i}") for i, k in enumerate(key)]
+    one = truth.select(*keys, *_truth_cells(truth, columns))
+    names = [f"__key{i}" for i in range(len(key))]
+    one = remove_duplicates(one, groupable(one, names), order_by=names)
+    right = one.withColumnsRenamed(dict(zip(names, key)))
     return _scored(join_unique(current, right, key), current, truth, columns, options)
 
 

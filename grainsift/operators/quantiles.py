@@ -52,13 +52,18 @@ class _Range:
     def __init__(self, inside: int):
         self.low, self.high, self.below, self.inside = None, None, 0, inside
 
-    def contains(self) -> Column:
-        x, inside = F.col("x"), F.lit(True)
-        if self.low is not None:
-            inside = inside & (x > self.low)
-        if self.high is not None:
-            inside = inside & (x < self.high)
-        return inside
+    def ends(self) -> tuple[float | None, float | None]:
+        return self.low, self.high
+
+
+def _inside(ends: tuple[float | None, float | None]) -> Column:
+    low, high = ends
+    x, inside = F.col("x"), F.lit(True)
+    if low is not None:
+        inside = inside & (x > low)
+    if high is not None:
+        inside = inside & (x < high)
+    return inside
 
 
 def values_at_ranks(x: DataFrame, ranks: set[int], n: int, max_values: int) -> dict[int, float]:
@@ -67,29 +72,44 @@ def values_at_ranks(x: DataFrame, ranks: set[int], n: int, max_values: int) -> d
     found: dict[int, float] = {}
     while wide := [r for r in ranges if r not in found and ranges[r].inside > max_values]:
         cuts = _cut_values(x, {r: ranges[r] for r in wide})
-        counts = _counts(x, {r: (ranges[r], *cuts[r]) for r in wide})
+        counts = _counts(x, {(ranges[r].ends(), cuts[r]) for r in wide})
         for r in wide:
-            _narrow(r, ranges[r], cuts[r], counts[r], found)
-    for r in ranges:
-        if r not in found:
-            found[r] = _value_inside(x, ranges[r], r - ranges[r].below)
+            _narrow(r, ranges[r], cuts[r], counts[ranges[r].ends(), cuts[r]], found)
+    final: dict[tuple, list[int]] = {}
+    for r in ranges.keys() - found.keys():
+        final.setdefault((ranges[r].ends(), ranges[r].below), []).append(r)
+    for (ends, below), members in final.items():
+        found |= _values_inside(x, ends, below, members)
     return found
 
 
 def _cut_values(x: DataFrame, ranges: dict[int, _Range]) -> dict[int, tuple[float, float]]:
-    aggs = []
+    """Two values around each rank; ranks in one range share one sketch."""
+    slack = 2 / ACCURACY
+    wanted: dict[tuple, list[int]] = {}
     for r, rng in ranges.items():
-        at, slack = (r - rng.below + 0.5) / rng.inside, 2 / ACCURACY
-        around = [max(0.0, at - slack), min(1.0, at + slack)]
-        aggs.append(F.percentile_approx(F.when(rng.contains(), F.col("x")), around, ACCURACY))
-    row = x.agg(*aggs).first()
-    return {r: tuple(row[i]) for i, r in enumerate(ranges)}
-
-
-def _counts(x: DataFrame, cuts: dict[int, tuple[_Range, float, float]]) -> dict[int, tuple]:
+        wanted.setdefault(rng.ends(), []).append(r)
     aggs = []
-    for rng, low, high in cuts.values():
-        v, inside = F.col("x"), rng.contains()
+    for ends, members in wanted.items():
+        around = []
+        for r in members:
+            # coarse rounding gives neighbouring ranks the same cut
+            at = round((r - ranges[r].below + 0.5) / ranges[r].inside, 6)
+            around += [max(0.0, at - slack), min(1.0, at + slack)]
+        aggs.append(F.percentile_approx(F.when(_inside(ends), F.col("x")), around, ACCURACY))
+    row = x.agg(*aggs).first()
+    return {
+        r: (row[i][2 * m], row[i][2 * m + 1])
+        for i, members in enumerate(wanted.values())
+        for m, r in enumerate(members)
+    }
+
+
+def _counts(x: DataFrame, cuts: set[tuple]) -> dict[tuple, tuple]:
+    """Rows under, at and between each pair of cut values, inside their range."""
+    aggs, v = [], F.col("x")
+    for ends, (low, high) in cuts:
+        inside = _inside(ends)
         aggs += [
             F.count_if(inside & (v < low)),
             F.count_if(v == low),
@@ -97,7 +117,7 @@ def _counts(x: DataFrame, cuts: dict[int, tuple[_Range, float, float]]) -> dict[
             F.count_if((v == high) & (v > low)),
         ]
     row = list(x.agg(*aggs).first())
-    return {r: tuple(row[4 * i : 4 * i + 4]) for i, r in enumerate(cuts)}
+    return {cut: tuple(row[4 * i : 4 * i + 4]) for i, cut in enumerate(cuts)}
 
 
 def _narrow(r: int, rng: _Range, cut: tuple, counts: tuple, found: dict) -> None:
@@ -117,12 +137,16 @@ def _narrow(r: int, rng: _Range, cut: tuple, counts: tuple, found: dict) -> None
         rng.low, rng.below, rng.inside = high, rng.below + below, rng.inside - below
 
 
-def _value_inside(x: DataFrame, rng: _Range, local: int) -> float:
+def _values_inside(x: DataFrame, ends: tuple, below: int, ranks: list[int]) -> dict[int, float]:
     """Final step on at most ``max_values`` rows, copies collapsed."""
-    counted = x.filter(rng.contains()).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    counted = x.filter(_inside(ends)).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(
         Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = counted.withColumn("upto", upto)
-    hit = (F.col("upto") > local) & (F.col("upto") - F.col("n") <= local)
-    return placed.filter(hit).first()["x"]
+    placed = counted.withColumn("upto", F.lit(below) + upto)
+    wanted = F.array(*[F.lit(r) for r in ranks])
+    covers = F.exists(wanted, lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("n") <= r))
+    rows = placed.filter(covers).collect()  # one row per rank at most
+    return {
+        r: row["x"] for r in ranks for row in rows if row["upto"] - row["n"] <= r < row["upto"]
+    }

@@ -47,18 +47,25 @@ def windowed_rule_counts(
     return rows.select("window_start", "r.*")
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write a stream to a parquet folder, taking all input there is now."""
+ALL_AVAILABLE = {"availableNow": True}
+
+
+def append_to(
+    stream: DataFrame, path: str, checkpoint: str, trigger: dict = ALL_AVAILABLE
+) -> StreamingQuery:
+    """Write a stream to a parquet folder; by default take all input there is now."""
     return (
         stream.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
-def upsert_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def upsert_to(
+    stream: DataFrame, path: str, checkpoint: str, trigger: dict = ALL_AVAILABLE
+) -> StreamingQuery:
     """Write changed rows of an aggregation, one folder per batch.
 
     A batch that is repeated after a failure replaces its own folder, so results are
@@ -68,7 +75,7 @@ def upsert_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         stream.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(_folder_writer(path))
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 

@@ -51,6 +51,27 @@ def test_repeated_keys_do_not_multiply(spark):
     assert tuple(compare.accuracy_by_key(current, truth, ["k"]).first()) == (12, 11.0, pytest.approx(11 / 12))
 
 
+def test_keys_of_another_type(spark):
+    truth = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    current = spark.createDataFrame([("1", "a"), ("x", "b"), (None, "c")], "k string, v string")
+    assert tuple(compare.accuracy_by_key(current, truth, ["k"]).first()) == (2, 2.0, 1.0)
+    back = compare.accuracy_by_key(truth, current, ["k"]).first()
+    assert tuple(back) == (2, 2.0, 1.0)
+
+
+def test_long_texts_are_told_apart(spark):
+    import hashlib
+
+    long = "x" * 70
+    mark = "#" + hashlib.sha256(long.encode()).hexdigest()
+    texts = [long, long, mark, mark[1:], "x" * 64, "x" * 65, "é" * 40, None, None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    row = dedup.duplicate_report(df).first()
+    assert (row["rows"], row["duplicates"], row["members"], row["groups"]) == (10, 2, 4, 2)
+    assert sorted(r[0] or "" for r in dedup.duplicate_members(df).collect()) == ["", "", long, long]
+    assert dedup.remove_duplicates(df, keep="none").count() == 6
+
+
 def test_keyed_accuracy_with_a_hot_key(spark, monkeypatch):
     truth = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     current = spark.range(9000).select(
