@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +54,10 @@ def free_name(columns: Sequence[str], wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def small_batches(batches: Iterable, rows: int = 1000) -> Iterator:
+    """The same rows in batches of at most ``rows``, which bounds what a task holds at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..queries.registry import Builder, Query
-from . import decontaminate, pieces, tokenfile
+from . import decontaminate, pieces, substrings, tokenfile
 
 QUERIES: dict[str, Query] = {}
 
@@ -48,3 +48,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.token_table(table(spark, folder, "documents", "doc_id", "text"),
                                  public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_repeated_passages")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
