@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..queries.registry import Builder, Query
-from . import decontaminate, pieces, substrings, tokenfile
+from . import decontaminate, jaccard, pieces, substrings, tokenfile
 
 QUERIES: dict[str, Query] = {}
 
@@ -54,3 +54,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     cut = substrings.remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op3_jaccard_join")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_groups(table(spark, folder, "documents", "doc_id", "text"))
