@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..queries.registry import Builder, Query
-from . import decontaminate, jaccard, pieces, substrings, tokenfile
+from . import decontaminate, jaccard, pieces, quality, substrings, tokenfile, vectors
 
 QUERIES: dict[str, Query] = {}
 
@@ -59,3 +59,17 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_jaccard_join")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_groups(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    labels = table(spark, folder, "labels", "doc_id", "quality").filter(~quality.held_out())
+    scored = quality.score(docs, quality.train(docs, labels), drop_text=True)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op1_embedding_neardup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings", "vec_id", "embedding"))
