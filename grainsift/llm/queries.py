@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..queries.registry import Builder, Query
-from . import decontaminate, jaccard, pieces, quality, substrings, tokenfile, vectors
+from . import decontaminate, jaccard, mainhtml, pieces, quality, substrings, tokenfile, vectors
 
 QUERIES: dict[str, Query] = {}
 
@@ -73,3 +73,10 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_embedding_neardup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+@query("op10_main_text")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages", "page_id", "url", "html")
+    found = mainhtml.extract(pages, mainhtml.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
