@@ -192,7 +192,7 @@ def fit_weights(pages: list[Page]) -> dict[str, float]:
     for kind in {*inside, *outside}:
         w = math.log((inside[kind] + 0.5) / total_in) - math.log((outside[kind] + 0.5) / total_out)
         if kind[0] == "<":
-            weights[kind] = min(max(w / 4, -1.5), -0.1)
+            weights[kind] = min(max(w / 4, -0.5), -0.1)
         elif kind == "text alone":
             weights[kind] = 1.0  # nothing but names and tags tells the places of such a page apart
         elif kind == "text in":
