@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..queries.registry import Builder, Query
-from . import decontaminate, jaccard, mainhtml, pieces, quality, substrings, tokenfile, vectors
+from . import decontaminate, jaccard, licences, mainhtml, pieces, quality, secretscan, substrings, tokenfile, vectors
 
 QUERIES: dict[str, Query] = {}
 
@@ -80,3 +80,22 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages", "page_id", "url", "html")
     found = mainhtml.extract(pages, mainhtml.train(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = secretscan.scan(table(spark, folder, "documents", "doc_id", "text"), secretscan.train())
+    spans = F.transform(F.arrays_zip("starts", "ends"), lambda s: F.concat_ws("-", s["starts"], s["ends"]))
+    return found.select(
+        "doc_id", "n_candidates", F.size("starts").cast("bigint").alias("n_secrets"), F.array_join(spans, ",").alias("spans"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("masked_sha256"))
+
+
+@query("op9_licences")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    found = licences.scan(docs, licences.train(docs))
+    families = F.array_sort(F.array_distinct(F.transform("licences", lambda s: s["family"])))
+    return found.select("doc_id", F.size("licences").cast("bigint").alias("n_licences"),
+                        F.array_join(families, ",").alias("families"),
+                        F.array_join(F.transform("licences", lambda s: s["line"].cast("string")), ",").alias("lines"))
