@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_arrow, small_batches, stored
+from .common import free_name, map_arrow, small_batches, stored
 from .components import components
 from .fingerprints import window_hashes, word_hashes
 
@@ -260,3 +260,32 @@ def link_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_co
     groups = components(links.union(same.filter("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))))
     return (counted.join(groups, counted.doc_id == groups.id, "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+
+
+def keep_first(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_column: str = "doc_id",
+               text_column: str = "text") -> DataFrame:
+    """The documents that represent their group, with their own columns.
+
+    A group keeps the document with its smallest id. Of several rows with that id the one with
+    the least hash of its columns stays, and of complete copies one. Rows with an empty set or
+    a null id are groups of their own and stay. Texts are moved once, for the join with the
+    ids that lose a row.
+    """
+    groups = link_groups(docs, size, percent, id_column, text_column)
+    id_, first, best, copies = (free_name(docs.columns, n) for n in ("id", "first", "best", "copies"))
+    key, mark = F.col(id_column).cast("bigint"), F.xxhash64(*docs.columns)
+    empty = F.trim(F.coalesce(F.col(text_column).cast("string"), F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
+    rows = (docs.filter(~empty).select(key.alias(id_), mark.alias(best)).groupBy(id_, best).agg(F.count("*").alias("n"))
+            .groupBy(id_).agg(F.min(F.struct(best, "n")).alias("one"), F.count("*").alias("kinds")))
+    ids = groups.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias(first))
+    losing = stored(
+        ids.join(rows, ids.doc_id == rows[id_]).filter((F.col(first) != F.col(id_)) | (F.col("kinds") > 1) | (F.col("one.n") > 1))
+        .select(id_, first, F.col(f"one.{best}").alias(best), F.col("one.n").alias(copies)), "losing")
+    stays = (F.col(first) == F.col(id_)) & (mark == F.col(best))
+    kept = (docs.join(losing, key == F.col(id_), "left")
+            .filter(F.col(id_).isNull() | empty | (stays & (F.col(copies) == 1))).select(*docs.columns))
+    whole = losing.filter((F.col(first) == F.col(id_)) & (F.col(copies) > 1))
+    if whole.isEmpty():
+        return kept
+    same = docs.join(whole, key == F.col(id_)).filter(~empty & stays).dropDuplicates([id_]).select(*docs.columns)
+    return kept.unionByName(same)
