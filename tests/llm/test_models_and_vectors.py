@@ -1,0 +1,203 @@
+"""Trained operators on held-out rows, pages and vectors against plain versions."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF
+from grainsift.llm import licences, mainhtml, quality, secretscan, vectors
+
+BIG = "/root/testdata/sf0.1"
+
+
+def test_quality_on_held_out_rows(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{BIG}/labels.parquet")
+    model = quality.train(docs, labels.filter(~quality.held_out()))
+    scored = quality.score(docs, model).join(labels, "doc_id").filter(quality.held_out())
+    right = scored.agg(F.avg(((F.col("score") >= 0.3).cast("int") == F.col("quality")).cast("int"))).first()[0]
+    assert right > 0.98
+
+
+def test_quality_odd_rows(spark, docs, texts):
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts if i is not None] + [(3, None), (None, 1)], "doc_id bigint, quality int")
+    scored = quality.score(docs, quality.train(docs, labels), "score_")
+    rows = scored.collect()
+    assert len(rows) == len(texts) and all(0 <= r.score_ <= 1 for r in rows)
+    assert len({r.score_ for r in rows if not (r.text or "").strip()}) == 1
+    assert quality.keep_good(docs, labels, 0.0).columns == docs.columns
+    none = quality.train(docs, labels.limit(0))
+    assert {r.score_ for r in quality.score(docs, none, "score_").collect()} == {0.5}
+    assert quality.score(docs.limit(0), none, "score_").count() == 0
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(80, 3))
+    y = np.sign(x @ [1.0, -2.0, 0.5] + 0.3)
+    w, b = quality.descend([(np.arange(3), row) for row in x], y, 1.0, 300, 3, 0)
+    loss = lambda w, b: 0.5 * (w @ w + b * b) + np.maximum(0, 1 - y * (x @ w + b)).sum()
+    best = loss(w, b)
+    for _ in range(300):
+        assert loss(w + rng.normal(size=3) * 0.05, b + rng.normal() * 0.05) >= best - 1e-3
+
+
+def test_secrets_held_out_findings():
+    findings = secretscan.labelled_findings(3000, seed=9)
+    forest = secretscan.train(findings[::2], trees=15)
+    x = np.array([secretscan.describe(*f[:3]) for f in findings[1::2]])
+    y = np.array([f[3] for f in findings[1::2]])
+    score = sum(t.predict(x) for t in forest) / len(forest)
+    assert ((score >= 0.5) == y).mean() > 0.98
+
+
+def test_secret_scan(spark, docs):
+    key = "9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c"
+    rows = [(1, f'x token = "{key}" y'), (2, f"commit {key} merged"), (3, None), (4, ""), (5, "plain words only " * 4000),
+            (6, f'a token = "{key}" b token = "{key}"'), (6, f'a token = "{key}" b token = "{key}"'), (7, 'token = "your_token_here"')]
+    table = spark.createDataFrame([(*r, 5) for r in rows], "doc_id bigint, text string, n_candidates int")
+    out = secretscan.scan(table, secretscan.train(), names=("c_", "s_", "e_")).orderBy("doc_id").collect()
+    assert [r.text for r in out][:2] == ['x token = "[secret]" y', rows[1][1]]
+    assert [len(r.s_) for r in out] == [1, 0, 0, 0, 0, 2, 2, 0]
+    assert [r.text for r in out][2:4] == [None, ""]
+    assert secretscan.scan(table.limit(0), secretscan.train([]), names=("c_", "s_", "e_")).count() == 0
+    assert secretscan.scan(docs, secretscan.train()).count() == docs.count()
+
+
+def plain_family(paragraph, model):
+    words = licences.words_of(paragraph)
+    seen = {g for n in (1, 2) for g in licences.n_grams(words, n)} & model.weights.keys()
+    logits = np.array(model.bias) + sum((np.array(model.weights[g]) for g in sorted(seen)), np.zeros(len(model.bias)))
+    best = int(logits.argmax())
+    if model.families[best] == licences.UNKNOWN or 1 / np.exp(logits - logits.max()).sum() < licences.PROBABILITY:
+        return None
+    triples = licences.n_grams(words, 3)
+    fits = any(len(triples & set(t)) >= licences.CONTAINMENT * len(t) for t in model.triples[model.families[best]])
+    return model.families[best] if fits else None
+
+
+def test_licences_equal_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = licences.train(docs)
+    notices = [t for ts in licences.TEMPLATES.values() for t in ts]
+    own = [(10**9 + i, f"Some words.\n{t}\nMIT is a school.\n{t.upper()}") for i, t in enumerate(notices)]
+    own += [(1, None), (2, ""), (3, "\n\n"), (4, "license " * 3000), (5, "The license of the driver was public."), (5, "The license of the driver was public.")]
+    table = docs.union(spark.createDataFrame(own, "doc_id bigint, text string")).withColumn("line", F.lit(1))
+    found = 0
+    for r in licences.scan(table, model).collect():
+        wanted = [(i, f) for i, p in enumerate((r.text or "").split("\n")) if (f := plain_family(p, model))]
+        assert [(x.line, x.family) for x in r.licences] == wanted
+        found += len(wanted)
+    assert found > 2 * 0.9 * len(notices)
+    assert licences.scan(table.limit(0), model).count() == 0
+
+
+def test_licence_plan_has_no_python(spark, capsys):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = licences.fit(["some other words here", "nothing of that kind at all"])
+    licences.scan(docs, model).explain()
+    plan = capsys.readouterr().out
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+PAGE = ("<html><head><title>x</title></head><body class='single-post'><div id='header'><h1>Site</h1></div><ul class='menu'><li>a<li>b</ul>"
+        "<div class='content'><h2>Title here</h2><p>First para with &eacute; and &nbsp; space.<p>Second <b>para</b> is<br>this one long."
+        "<div class='ad'>Buy this now please</div><ul><li>item one<li>item two</ul><p>End.</p></div>"
+        "<div id='comments'><p>I think this is great and a long comment with many words</p></div><div class='sidebar'>side things</div>"
+        "<form>Your mail <input></form><footer>c 2020</footer><script>var a='</p>';</script></body></html>")
+
+
+def test_main_text_of_layouts(spark):
+    weights = mainhtml.fit_weights([mainhtml.read_page(p) for p in mainhtml.layouts()])
+    assert mainhtml.main_text(PAGE, weights) == (
+        "Title here\nFirst para with é and space.\nSecond para is this one long.\nitem one\nitem two\nEnd.")
+    for page in mainhtml.layouts():
+        assert mainhtml.main_text(page, weights).startswith("a title\nword word")
+        assert "buy" not in mainhtml.main_text(page, weights) and "cookies" not in mainhtml.main_text(page, weights)
+    for odd, text in (("", ""), (None, ""), ("<p>", ""), ("<!-- open", ""), ("<script>x", ""), ("<article>a", "a"), ("no tags", "no tags")):
+        assert mainhtml.main_text(odd, weights) == text
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "<p>" + "long text " * 50_000)]
+    table = spark.createDataFrame([(*r, "t") for r in rows], "page_id bigint, url string, html string, text string")
+    out = mainhtml.extract(table, mainhtml.train(table)).collect()
+    assert sorted(len(r.text) for r in out)[::3] == [0, 10 * 50_000 - 1]
+    assert mainhtml.extract(table.limit(0), weights).count() == 0
+
+
+def test_main_text_of_marked_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r.text for r in mainhtml.extract(pages, mainhtml.train(pages)).collect()}
+    import html
+    import re
+
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("</?b>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", inner)]
+        assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_best_region_is_the_best():
+    rng = random.Random(2)
+    for _ in range(200):
+        s = [rng.uniform(-1, 1) for _ in range(rng.randint(0, 12))]
+        a, b = mainhtml.best_region(s)
+        assert math.isclose(sum(s[a:b]), max([0.0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i, len(s) + 1))]), abs_tol=1e-9)
+
+
+def plain_links(rows, least):
+    unit = {k: None for k in range(len(rows))}
+    for k, (i, v) in enumerate(rows):
+        if i is not None and v and None not in v and all(map(math.isfinite, v)) and any(v):
+            x = np.zeros(8)
+            x[: len(v)] = v
+            unit[k] = x / np.linalg.norm(x)
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    n = [0] * len(rows)
+    for a in range(len(rows)):
+        for b in range(a):
+            if unit[a] is not None and unit[b] is not None and unit[a] @ unit[b] >= least:
+                n[a] += 1
+                n[b] += 1
+                x, y = find(rows[a][0]), find(rows[b][0])
+                parent[max(x, y)] = min(x, y)
+    return [(i, n[k], None if i is None else find(i)) for k, (i, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("block,cell_size", [(2048, 256), (7, 12)])
+def test_near_duplicate_vectors(spark, block, cell_size):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(9, 8))
+    rows = [(k, (centres[k % 9] * rng.uniform(0.5, 2) + rng.normal(size=8) * rng.choice([0.0, 0.15, 0.5])).tolist()) for k in range(220)]
+    rows += [(300 + k, rows[4][1]) for k in range(30)]
+    rows += [(400, None), (401, []), (402, [0.0] * 8), (403, [1.0, None] * 4), (404, [math.nan] * 8), (405, [math.inf] + [1.0] * 7),
+             (406, [1.0, 2.0]), (407, [2.0, 4.0]), (None, rows[0][1]), (4, rows[4][1])]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, size int")
+    got = vectors.near_duplicates(table, 0.9, cell_size=cell_size, visits=8, block=block).collect()
+    wanted = plain_links(rows, 0.9)
+    found = sum(r.n_links for r in got) / max(1, sum(n for _, n, _ in wanted))
+    assert 0.99 <= found <= 1
+    if found == 1:
+        assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == sorted(wanted, key=repr)
+        assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
+
+
+def test_recall_of_vectors_in_a_table(spark):
+    table = spark.read.parquet("/root/testdata/check_h/embeddings.parquet")
+    got = vectors.near_duplicates(table).agg(F.sum("n_links")).first()[0]
+    x = np.array([r.embedding for r in table.collect()], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert got >= 0.9 * ((x @ x.T >= 0.9).sum() - len(x))
+
+
+def test_no_vectors(spark):
+    table = spark.createDataFrame([(1, None), (None, None)], "vec_id bigint, embedding array<float>")
+    assert vectors.near_duplicates(table).count() == 2
+    assert vectors.near_duplicates(table.limit(0)).count() == 0
