@@ -136,3 +136,18 @@ def test_order_is_required(spark):
         with_ordinal(spark.range(3), [])
     with pytest.raises(ValueError):
         forward_fill_column(spark.range(3), "id", [])
+
+
+def test_one_order_on_every_path(spark, rows_of):
+    """Ties, copies and long texts: equal results for all partitionings and bucket sizes."""
+    base = spark.range(600).select(
+        (F.col("id") % 5).alias("k"), F.concat(F.lit("x" * 80), (F.col("id") % 3).cast("string")).alias("t"),
+        F.when(F.col("id") % 4 != 0, (F.col("id") % 9).cast("double")).otherwise(float("nan")).alias("v"))
+    seen = {name: set() for name in ("position", "text", "fill")}
+    for parts in (1, 3, 7):
+        for rows in (40, 150, 10_000):
+            df = base.repartition(parts, "v")
+            seen["position"].add(str(rows_of(with_ordinal(df, ["k"], rows_per_bucket=rows))))
+            seen["text"].add(str(rows_of(with_ordinal(df, ["t"], descending=True, rows_per_bucket=rows))))
+            seen["fill"].add(str(rows_of(forward_fill_column(df, "v", ["k"], rows_per_bucket=rows))))
+    assert all(len(results) == 1 for results in seen.values())
