@@ -9,8 +9,11 @@ from pyspark.sql import Column, functions as F
 
 from .text import strip
 
-# The four spellings used in dirty data; no text fits two of them.
-DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM-dd-yyyy", "dd MMM yyyy")
+# The four spellings used in dirty data, and the two standard forms with a
+# time of day; no text fits two of them.
+DATE_FORMATS = (
+    "yyyy-MM-dd", "dd/MM/yyyy", "MM-dd-yyyy", "dd MMM yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
+_STANDARD = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
 
 # Text shape of each pattern letter run; used to skip parsers that cannot match.
 _SHAPES = {
@@ -31,7 +34,9 @@ def parse_timestamp(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
 
 
 def _parse_one(text: Column, fmt: str) -> Column:
-    if re.search(r"[HhKkamsSnN]", re.sub(r"'[^']*'", "", fmt)):
+    if fmt in _STANDARD:
+        parsed = text.try_cast("timestamp_ntz")  # no session time zone takes part
+    elif re.search(r"[HhKkamsSnN]", re.sub(r"'[^']*'", "", fmt)):
         parsed = F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
     else:
         # the date parser does not touch the session time zone
@@ -44,9 +49,11 @@ def _parse_one(text: Column, fmt: str) -> Column:
 def _shape(fmt: str) -> str | None:
     """The format as a regular expression; None when it has letters not listed above."""
     out = []
-    for match in re.finditer(r"([A-Za-z])\1*|[^A-Za-z]", fmt):
+    for match in re.finditer(r"'([A-Za-z]+)'|([A-Za-z])\2*|[^A-Za-z]", fmt):
         piece = match.group(0)
-        if piece in _SHAPES:
+        if match.group(1):
+            out.append(match.group(1))
+        elif piece in _SHAPES:
             out.append(_SHAPES[piece])
         elif piece.isalpha() or piece == "'":
             return None

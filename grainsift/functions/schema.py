@@ -37,6 +37,10 @@ def is_number(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
 
+def is_time(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def is_fractional(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType))
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import numbers, text
 from ..functions.dates import DATE_FORMATS, parse_timestamp
-from ..functions.schema import col, is_text, require, type_of, typed_literal
+from ..functions.schema import col, is_text, is_time, require, type_of, typed_literal
 
 
 def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
@@ -117,20 +118,41 @@ def consolidation_report(df: DataFrame, column: str, method: str) -> DataFrame:
     ).withColumn("consolidated", F.col("before") - F.col("after"))
 
 
-def clip(df: DataFrame, column: str, lower: float, upper: float) -> DataFrame:
-    """Limit numbers to [lower, upper]; text that is no number becomes NULL."""
-    lower, upper = float(lower), float(upper)
-    if lower > upper:
+def _clip_bounds(lower: object, upper: object, dtype: T.DataType) -> tuple[Column | None, Column | None]:
+    if not is_time(dtype) and float(lower) > float(upper) or is_time(dtype) and lower > upper:
         raise ValueError("lower bound is above the upper bound")
-    return df.withColumn(column, numbers.clamp(numbers.number(df, column), lower, upper))
+    return numbers.bound_literal(lower, dtype, True), numbers.bound_literal(upper, dtype, False)
 
 
-def clip_report(df: DataFrame, column: str, lower: float, upper: float) -> DataFrame:
-    """One row: how many numbers lie outside [lower, upper]."""
-    x = numbers.number(df, column)
+def _is_whole(bound: object) -> bool:
+    return math.isinf(float(bound)) or float(bound).is_integer()
+
+
+def clip(df: DataFrame, column: str, lower: object, upper: object) -> DataFrame:
+    """Limit numbers or times to [lower, upper]; text that is no number becomes NULL.
+
+    The type stays, and so do cells inside the bounds, unless a whole-number column meets
+    a fractional bound (then it becomes DOUBLE) or the column is text.
+    """
+    dtype = type_of(df, column)
+    low, high = _clip_bounds(lower, upper, dtype)
+    exact = isinstance(dtype, T.IntegralType) and _is_whole(lower) and _is_whole(upper)
+    if exact or isinstance(dtype, T.DecimalType) or is_time(dtype):
+        x = col(column)
+        if low is not None:
+            x = F.when(x < low, low).otherwise(x)
+        if high is not None:
+            x = F.when(x > high, high).otherwise(x)
+        return df.withColumn(column, x.cast(dtype))
+    limited = numbers.clamp(numbers.number(df, column), float(lower), float(upper))
+    return df.withColumn(column, limited.cast("float") if isinstance(dtype, T.FloatType) else limited)
+
+
+def clip_report(df: DataFrame, column: str, lower: object, upper: object) -> DataFrame:
+    """One row: how many cells lie outside [lower, upper]."""
     return df.agg(
         F.lit(column).alias("column"),
-        F.count_if((x < float(lower)) | (x > float(upper))).alias("clipped"),
+        F.count_if(~numbers.inside(df, column, lower, upper)).alias("clipped"),
     )
 
 

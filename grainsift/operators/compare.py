@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.cells import cell_equal, cell_score, match_form
 from ..functions.frames import literal_rows, side_by_side
 from ..functions.schema import col, groupable, require, same_family, type_of
+from ..session import materialized
 from .dedup import remove_duplicates
 from .ordinal import ROWS_PER_BUCKET, with_ordinal
 from .skew import join_unique
@@ -117,13 +118,16 @@ def golden_report(
     if not shared:
         total = golden.agg(F.count(F.lit(1)).alias("golden_rows"))
         return total.withColumn("found", F.lit(0).cast("bigint"))
+    # written once: it is counted, measured and joined, and its size then decides the join
+    golden = materialized(golden.select(*[col(c) for c in shared]), "golden")
+    shared = _selective_first(golden, shared)
     needed = math.floor(len(shared) * GOLDEN_SHARE + 1e-9) + 1
     groups = len(shared) - needed + 1
     types = [(type_of(golden, c), type_of(current, c)) for c in shared]
 
     left = current.select(*[col(c).alias(f"__c{i}") for i, c in enumerate(shared)])
     right = golden.select(
-        col(key).alias("__golden"), *[col(c).alias(f"__g{i}") for i, c in enumerate(shared)]
+        F.monotonically_increasing_id().alias("__golden"), *[col(c).alias(f"__g{i}") for i, c in enumerate(shared)]
     )
     equal = [
         cell_equal(F.col(f"__g{i}"), g, F.col(f"__c{i}"), c, **options)
@@ -137,7 +141,7 @@ def golden_report(
     right = right.withColumn("__h", F.explode(right_hashes))
     pairs = left.join(right, (left["__h"] == right["__h"]) & (matches >= needed))
     both = side_by_side({
-        "total": golden.agg(F.count_distinct(col(key)).alias("n")),
+        "total": golden.agg(F.count(F.lit(1)).alias("n")),
         "found": pairs.agg(F.count_distinct("__golden").alias("n")),
     })
     return both.select(
@@ -145,6 +149,18 @@ def golden_report(
     )
 
 
+def _selective_first(golden: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns by falling number of golden values, so that each group gets a selective one.
+
+    Groups take columns in turn; a group of constant columns alone would join everything.
+    """
+    distinct = golden.agg(*[
+        F.approx_count_distinct(F.coalesce(col(c).cast("string"), F.lit(""))).alias(f"d{i}") for i, c in enumerate(columns)
+    ]).first()
+    order = sorted(range(len(columns)), key=lambda i: (-distinct[i], i))
+    return [columns[i] for i in order]
+
+
 def _group_hashes(prefix: str, own: list, types: list[tuple], groups: int, dates: bool) -> Column:
     """One hash per column group over a form in which equal cells are identical."""
     cells = [match_form(F.col(f"{prefix}{i}"), t, types[i], dates=dates) for i, t in enumerate(own)]

@@ -81,7 +81,17 @@ def remove_duplicates(
 
 
 def _unrepeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key occurs once; the row travels with its key, so no join is needed."""
-    row = F.struct(*[col(c) for c in df.columns])
-    counted = group_sizes(df, keys, extra=[F.first(row).alias("__row")])
-    return counted.filter(F.col(_N) == 1).select("__row.*")
+    """Rows whose key occurs once: keys are counted alone and joined back.
+
+    Counting moves compact keys only and collapses copies first; of the keys that are left
+    each meets one row, so the join has no hot key.
+    """
+    compact = compact_keys(df, keys)
+    names = [f"__k{i}" for i in range(len(compact))]
+    single = group_sizes(df, keys).filter(F.col(_N) == 1).drop(_N)
+    single = single.withColumnsRenamed({n: f"__s{i}" for i, n in enumerate(names)})
+    same = None
+    for i, n in enumerate(names):
+        equal = F.col(n).eqNullSafe(F.col(f"__s{i}"))
+        same = equal if same is None else same & equal
+    return df.select("*", *compact).join(single, same, "left_semi").drop(*names)

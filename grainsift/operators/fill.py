@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.frames import side_by_side
 from ..functions.numbers import missing, number
@@ -38,7 +38,8 @@ def fill_missing(
     """Fill missing cells by mean, median, mode, constant or forward_fill.
 
     Mean and median turn a text column into numbers, with cells that are no number
-    filled too; a text column without any number is refused. ``forward_fill`` needs
+    filled too; a text column without any number is refused. Cells that are present
+    keep their value exactly: BIGINT is widened to DECIMAL, not to DOUBLE. ``forward_fill`` needs
     ``order_by``. ``approx`` accepts an approximate median.
 
     Mean, median and mode are found at once by a small job and enter the plan as a
@@ -53,7 +54,7 @@ def fill_missing(
             found = mean_value(df, column).first()["mean"]
         else:
             found = quantiles(df, column, [0.5], approx=approx)[0]
-        return df.withColumn(column, F.coalesce(x, F.lit(found).cast("double")))
+        return df.withColumn(column, F.coalesce(*_widened(df, column, x, found)))
     if strategy == "mode":
         row = mode_value(df, column).first()
         fill = F.lit(row["mode"] if row else None).cast(type_of(df, column))
@@ -67,6 +68,20 @@ def fill_missing(
     raise ValueError(f"unknown strategy {strategy!r}; use one of {STRATEGIES}")
 
 
+def _widened(df: DataFrame, column: str, x: Column, found: float | None) -> tuple[Column, Column]:
+    """Cell and fill value in one type that keeps every cell that is present.
+
+    Decimals keep their type (the fill value is rounded to their scale), BIGINT becomes a
+    decimal with ten places; all else fits DOUBLE without loss.
+    """
+    dtype = type_of(df, column)
+    if isinstance(dtype, T.DecimalType):
+        return col(column), F.lit(found).cast("double").cast(dtype)
+    if isinstance(dtype, T.LongType):
+        return col(column).cast("decimal(29,10)"), F.lit(found).cast("double").cast("decimal(29,10)")
+    return x, F.lit(found).cast("double")
+
+
 def _filled(df: DataFrame, column: str, fill: Column) -> Column:
     return F.when(missing(df, column), fill).otherwise(col(column))
 

@@ -66,6 +66,15 @@ def spelled_sign(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("+"), F.lit(" positive")), F.lit("-"), F.lit(" negative"))
 
 
+def without_second_letter(c: Column) -> Column:
+    """A misspelling by rule: the second character is lost."""
+    return F.concat(F.left(c, F.lit(1)), F.substring(c, 3, 2**31 - 1))
+
+
+def without_spaces(c: Column) -> Column:
+    return F.replace(c, F.lit(" "), F.lit(""))
+
+
 def currency_text(column: str, rate: float, symbol: str = "$") -> Injection:
     """Numbers turned into text with a currency symbol; the column becomes text."""
 
@@ -231,6 +240,8 @@ def inject_near_duplicates(
 def add_odd_rows(df: DataFrame, rows: Sequence[dict]) -> DataFrame:
     """Append given valid-but-odd rows, which a careful cleaning must keep."""
     names = df.columns
+    if not rows:
+        return df
     for r in rows:
         if unknown := [k for k in r if k not in names]:
             raise ValueError(f"unknown columns {unknown}; available: {names}")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.frames import literal_rows
 from ..functions.hashing import distinct_text
-from ..functions.numbers import missing, number, percent
+from ..functions.numbers import comparable, missing, number, percent
 from ..functions.schema import col, is_number, require, type_of
 from .dedup import duplicate_report
 from .quantiles import quantiles
@@ -84,8 +84,12 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 
 def profile_numeric(df: DataFrame, column: str, *, approx: bool = False) -> DataFrame:
-    """One row: counts, distinct values, min, max, mean, sample deviation, median."""
-    x = number(df, column)
+    """One row: counts, distinct values, min, max, mean, sample deviation, median.
+
+    Distinct values, min and max are those of the column's own type; ``approx`` estimates
+    the distinct count and the median.
+    """
+    x, exact = number(df, column), comparable(df, column)
     median = quantiles(df, column, [0.5], approx=approx)[0]
     rows = F.count(F.lit(1))
     return df.agg(
@@ -94,9 +98,9 @@ def profile_numeric(df: DataFrame, column: str, *, approx: bool = False) -> Data
         F.count(x).alias("non_null"),
         (rows - F.count(x)).alias("missing"),
         percent(rows - F.count(x), rows).alias("missing_pct"),
-        F.count_distinct(x).alias("distinct_values"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
+        (F.approx_count_distinct(exact) if approx else F.count_distinct(exact)).alias("distinct_values"),
+        F.min(exact).alias("min"),
+        F.max(exact).alias("max"),
         F.avg(x).alias("mean"),
         F.stddev_samp(x).alias("std"),
         F.lit(median).cast("double").alias("median"),

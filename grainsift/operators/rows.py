@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text
-from ..functions.numbers import number
-from ..functions.schema import col, is_number, require, type_of, typed_literal
+from ..functions.numbers import bound_literal, number
+from ..functions.schema import col, is_fractional, is_number, is_time, require, type_of, typed_literal
 
-MAX_VIEW_ROWS = 50  # fixed value: a view never shows more rows than this
+MAX_VIEW_ROWS = 50  # fixed value: the largest view
 
 CONDITIONS = ("equals", "not_equals", "less_than", "greater_than", "contains")
 
@@ -32,11 +31,7 @@ def keep_condition(
         same = cell == typed_literal(value, dtype)
         return same | cell.isNull() if keep_nulls else same
     if condition in ("less_than", "greater_than"):
-        try:
-            bound = float(value)
-        except (TypeError, ValueError) as err:
-            raise ValueError(f"{value!r} is not a number") from err
-        return _within(df, column, bound, condition == "less_than")
+        return _within(df, column, value, condition == "less_than")
     if condition == "contains":
         pattern = "(?iu)" + text.java_pattern(str(value))
         text.check_pattern(df.sparkSession, pattern)
@@ -44,17 +39,25 @@ def keep_condition(
     raise ValueError(f"unknown condition {condition!r}; use one of {CONDITIONS}")
 
 
-def _within(df: DataFrame, column: str, bound: float, is_lower: bool) -> Column:
-    """Cells on the kept side of the bound, and cells that are no number."""
-    cell = col(column)
-    if isinstance(type_of(df, column), T.IntegralType) and abs(bound) < 2**62:
-        # whole numbers meet a whole bound, which needs no cast of the column
-        whole = F.lit(math.ceil(bound) if is_lower else math.floor(bound))
-        return cell.isNull() | (cell >= whole if is_lower else cell <= whole)
+def _within(df: DataFrame, column: str, bound: object, is_lower: bool) -> Column:
+    """Cells on the kept side of the bound, and cells that are missing or no number.
+
+    Numbers, dates and timestamps meet the bound in their own type, which lets a scan use it.
+    """
+    cell, dtype = col(column), type_of(df, column)
+    if not is_time(dtype):
+        try:
+            float(bound)
+        except (TypeError, ValueError) as err:
+            raise ValueError(f"{bound!r} is not a number") from err
+    limit = bound_literal(bound, dtype, is_lower)
+    if limit is None:  # nothing lies beyond an endless bound on its own side
+        limit = F.lit(float(bound))
+    if is_time(dtype) or is_number(dtype) and (is_lower or not is_fractional(dtype) or isinstance(dtype, T.DecimalType)):
+        # NaN sorts above every number
+        return cell.isNull() | (cell >= limit if is_lower else cell <= limit)
     x = number(df, column)
-    if is_number(type_of(df, column)) and is_lower:
-        return cell.isNull() | (cell >= F.lit(bound))  # NaN sorts above every number
-    return F.coalesce(x >= bound if is_lower else x <= bound, F.lit(True))
+    return F.coalesce(x >= limit if is_lower else x <= limit, F.lit(True))
 
 
 def remove_rows(
@@ -77,9 +80,9 @@ def sort_rows(
 
 
 def view_rows(df: DataFrame, n: int = 10, order_by: Sequence[str] = ()) -> DataFrame:
-    """The first ``n`` rows (at most 50) in the given order."""
-    if n < 0:
-        raise ValueError("n must not be negative")
+    """The first ``n`` rows in the given order; more than 50 are refused."""
+    if not 0 <= n <= MAX_VIEW_ROWS:
+        raise ValueError(f"n must be from 0 to {MAX_VIEW_ROWS}")
     require(df, *order_by)
     ordered = df.orderBy(*[col(c).asc_nulls_last() for c in order_by]) if order_by else df
-    return ordered.limit(min(n, MAX_VIEW_ROWS))
+    return ordered.limit(n)

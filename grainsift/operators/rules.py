@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.dates import parse_timestamp
 from ..functions.hashing import distinct_text
-from ..functions.numbers import missing, number
-from ..functions.schema import col, require, type_of
+from ..functions.numbers import comparable, inside, missing, number
+from ..functions.schema import col, is_number, is_text, is_time, require, type_of
 from ..functions.text import java_pattern
 
 NO_RULES_COMPLIANCE = 0.8  # fixed value: compliance of a table without rules
@@ -35,8 +36,8 @@ class Rule:
 
     kind: str
     column: str = ""
-    low: float = float("-inf")
-    high: float = float("inf")
+    low: object = float("-inf")
+    high: object = float("inf")
     pattern: str = ""
     allowed: tuple = ()
     column_a: str = ""
@@ -52,8 +53,9 @@ class Rule:
         return [self.column_a, self.column_b] if self.kind == "cross_column" else [self.column]
 
 
-def value_range(column: str, low: float = float("-inf"), high: float = float("inf"), description: str = "") -> Rule:
-    return Rule("range", column, low=float(low), high=float(high), description=description)
+def value_range(column: str, low: object = float("-inf"), high: object = float("inf"), description: str = "") -> Rule:
+    """Numbers, dates or timestamps from ``low`` to ``high``; compared in the type of the column."""
+    return Rule("range", column, low=low, high=high, description=description)
 
 
 def not_null(column: str, description: str = "") -> Rule:
@@ -78,9 +80,9 @@ def rule_from_dict(d: dict) -> Rule:
     same = {"column", "pattern", "column_a", "column_b", "relation", "description"}
     fields = {k: v for k, v in d.items() if k in same}
     if "min" in d:
-        fields["low"] = float(d["min"])
+        fields["low"] = d["min"]
     if "max" in d:
-        fields["high"] = float(d["max"])
+        fields["high"] = d["max"]
     if "allowed_values" in d:
         fields["allowed"] = tuple(d["allowed_values"])
     return Rule(d["type"], **fields)
@@ -91,8 +93,8 @@ def checked_and_ok(df: DataFrame, rule: Rule) -> tuple[Column, Column] | None:
     if any(c not in df.columns for c in rule.columns()):
         return None
     if rule.kind == "range":
-        x = number(df, rule.column)
-        return x.isNotNull(), (x >= rule.low) & (x <= rule.high)
+        ok = inside(df, rule.column, rule.low, rule.high)
+        return ok.isNotNull(), ok
     if rule.kind == "not_null":
         return F.lit(True), ~missing(df, rule.column)
     if rule.kind == "pattern":
@@ -103,11 +105,36 @@ def checked_and_ok(df: DataFrame, rule: Rule) -> tuple[Column, Column] | None:
     if rule.kind == "cross_column":
         if rule.relation not in RELATIONS:
             raise ValueError(f"unknown relation {rule.relation!r}; use one of {list(RELATIONS)}")
-        a, b = number(df, rule.column_a), number(df, rule.column_b)
-        return a.isNotNull() & b.isNotNull(), RELATIONS[rule.relation](a, b)
+        return _related(df, rule)
     raise ValueError(f"unknown rule kind {rule.kind!r}")
 
 
+def _related(df: DataFrame, rule: Rule) -> tuple[Column, Column]:
+    """A cross-column rule in the common type of its columns.
+
+    Numbers meet as numbers and times as times; text is read as whatever the other side
+    is, and two texts as numbers or else as dates. Anything else has no common order.
+    """
+    names, compare = (rule.column_a, rule.column_b), RELATIONS[rule.relation]
+    types = [type_of(df, n) for n in names]
+    times = [is_time(t) for t in types]
+    texts = [is_text(t) for t in types]
+    numbers = [is_number(t) or isinstance(t, T.BooleanType) for t in types]
+    if any(times):
+        if not all(time or text for time, text in zip(times, texts)):
+            raise ValueError(f"columns {names} of types {[t.simpleString() for t in types]} cannot be compared")
+        a, b = (col(n).cast("timestamp_ntz") if time else parse_timestamp(col(n)) for n, time in zip(names, times))
+    elif all(numbers) or any(numbers) and any(texts):
+        a, b = (comparable(df, n) for n in names)
+    elif all(texts):
+        (a, b), (s, t) = [number(df, n) for n in names], [parse_timestamp(col(n)) for n in names]
+        are_numbers, are_times = a.isNotNull() & b.isNotNull(), s.isNotNull() & t.isNotNull()
+        return are_numbers | are_times, F.when(are_numbers, compare(a, b)).otherwise(compare(s, t))
+    else:
+        raise ValueError(f"columns {names} of types {[t.simpleString() for t in types]} cannot be compared")
+    return a.isNotNull() & b.isNotNull(), compare(a, b)
+
+
 def _violated(df: DataFrame, rule: Rule) -> Column | None:
     compiled = checked_and_ok(df, rule)
     return None if compiled is None else compiled[0] & ~compiled[1]

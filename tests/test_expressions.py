@@ -148,7 +148,9 @@ def test_sort_and_view(spark):
     assert column(R.sort_rows(df, "c")) == [1, 2, 3, None]
     assert column(R.sort_rows(df, "c", "desc")) == [3, 2, 1, None]
     assert column(R.view_rows(df, 2, ["c"])) == [1, 2]
-    assert R.view_rows(spark.range(200), 100, ["id"]).count() == 50
+    assert R.view_rows(spark.range(200), 50, ["id"]).count() == 50
+    with pytest.raises(ValueError):
+        R.view_rows(spark.range(200), 51)
     with pytest.raises(ValueError):
         R.view_rows(df, -3)
 

@@ -169,7 +169,7 @@ def _clean_table(spark, name):
     base = spark.range(2000)
     if name == "customer_records":
         return base.select(
-            F.concat(F.lit("P "), i.cast("string")).alias("name"), F.format_string("p%d@x.org", i).alias("email"),
+            i.alias("customer_id"), F.concat(F.lit("P "), i.cast("string")).alias("name"), F.format_string("p%d@x.org", i).alias("email"),
             (i % 80).alias("age"), F.lit("Chicago").alias("city"), F.lit("2023-01-15").alias("signup_date"))
     if name == "sales_transactions":
         return base.select(
@@ -212,3 +212,21 @@ def test_dirty_orders_have_the_specified_errors(spark):
 def test_from_rows(spark):
     df = from_rows(spark, [{"a": 1}, {"b": "x"}], "a int, b string")
     assert [tuple(r) for r in df.collect()] == [(1, None), (None, "x")]
+
+
+def test_rules_keep_types(spark):
+    big = 2**53
+    df = spark.sql(f"""SELECT CAST({big} + id AS BIGINT) AS n, CAST({big} + id AS DECIMAL(38,0)) AS d,
+      DATE'2024-01-01' + CAST(id AS INT) AS a, '2024-01-02 00:00:00' AS b, array(id) AS xs FROM range(3)""")
+    counts = lambda rule: tuple(R.rules_report(df, [rule]).select("checked", "violations").first())
+    assert counts(R.value_range("n", high=big)) == (3, 2) and counts(R.value_range("d", low=big + 1)) == (3, 1)
+    assert counts(R.value_range("a", "2024-01-02", "2024-01-02")) == (3, 2)
+    assert counts(R.cross_column("a", "b", "greater_or_equal")) == (3, 1)
+    for rule in (R.value_range("xs", 0, 1), R.cross_column("a", "n"), R.value_range("a", 1, 2)):
+        with pytest.raises(ValueError):
+            R.rules_report(df, [rule])
+
+
+def test_no_odd_rows(spark):
+    df = spark.range(3)
+    assert I.add_odd_rows(df, []) is df
