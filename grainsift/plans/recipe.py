@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.cells import cell_equal
 from ..functions.frames import side_by_side
 from ..functions.schema import col
 from ..operators import columns as C, dedup, fill, rows as R
@@ -109,13 +110,10 @@ def _histories(steps: Sequence[Step]) -> list[tuple[int, ...]]:
 
 
 def undo(steps: Sequence[Step], n: int = 1) -> list[Step]:
-    """The recipe without its last ``n`` steps that change data."""
-    kept = list(steps)
-    for _ in range(n):
-        data = [i for i, s in enumerate(kept) if s.operation().kind != "read"]
-        if data:
-            del kept[data[-1]]
-    return kept
+    """The recipe without its last ``n`` steps that change data; ``undo`` steps in it are resolved first."""
+    left = _histories(steps)[-1] if steps else ()
+    gone = {i for h in _histories(steps) for i in h} - set(left[: max(0, len(left) - n)])
+    return [s for i, s in enumerate(steps) if i not in gone and not (s.op == UNDO and s.function is None)]
 
 
 def run(
@@ -137,6 +135,10 @@ def run(
 def lineage(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     """One row per step: op, command, modified, rows before and after, changed cells.
 
+    Cells of a column whose type changes are compared by value; the new type alone counts
+    as a modification, not as changed cells. What a custom step does to cells is not known:
+    its changed cells are NULL, and so is ``modified`` unless the number of rows changes.
+
     Consecutive column steps are counted together: each keeps its old column beside
     the new one, so one pass serves all steps up to the next one that removes rows.
     """
@@ -173,8 +175,8 @@ class _Lineage:
         entries = F.array(*[self._entry(i) for i in range(len(self.steps))])
         changed = (
             F.col("e.schema_changed")
-            | (F.col("e.cells_changed") > 0)
             | (F.col("e.rows_before") != F.col("e.rows_after"))
+            | (F.col("e.cells_changed") > 0)  # NULL for a custom step: not known
         )
         return one.select(F.explode(entries).alias("e")).select(
             "e.step", "e.op", "e.command", changed.alias("modified"),
@@ -228,11 +230,10 @@ class _Lineage:
             frame = frame.withColumn(f"__old{i}", cell)
             old_type = frame.schema[f"__old{i}"].dataType
             frame = self.steps[i].apply(frame)
-            new, old = cell, F.col(f"__old{i}")
-            retyped = frame.schema[self.steps[i].args["column"]].dataType != old_type
-            if retyped:
-                new, old = new.cast("string"), old.cast("string")
-            hit = F.when(new.eqNullSafe(old), 0).otherwise(1)
+            old, new_type = F.col(f"__old{i}"), frame.schema[self.steps[i].args["column"]].dataType
+            retyped = new_type != old_type
+            same = cell_equal(old, old_type, cell, new_type, dates=True) if retyped else cell.eqNullSafe(old)
+            hit = F.when(same, 0).otherwise(1)
             frame = frame.withColumn(f"__hit{i}", hit).drop(f"__old{i}")
             counts.append(F.coalesce(F.sum(f"__hit{i}"), F.lit(0)).alias(f"c{i}"))
             counts.append(F.lit(retyped).alias(f"t{i}"))
@@ -247,6 +248,8 @@ class _Lineage:
         if kind == "column":
             cells = F.col(f"{self.cells_in[i]}.c{i}")
             schema_changed = F.col(f"{self.cells_in[i]}.t{i}")
+        if kind == "custom":
+            cells = F.lit(None).cast("bigint")  # the function may rewrite any cell
         if kind == UNDO:
             rows_before = F.lit(-1).cast("bigint")
         return F.struct(
@@ -266,7 +269,7 @@ def lineage_summary(log: DataFrame) -> DataFrame:
     delta = F.when(~undone, F.col("rows_after") - F.col("rows_before")).otherwise(0)
     return log.agg(
         F.count(F.lit(1)).alias("steps"),
-        F.count_if(~F.col("modified")).alias("read_only_steps"),
+        F.count_if(~F.col("modified")).alias("read_only_steps"),  # steps of unknown effect are in neither
         F.count_if("modified").alias("modifying_steps"),
         F.count_if(undone).alias("undo_steps"),
         F.coalesce(F.sum(delta), F.lit(0)).alias("row_delta"),

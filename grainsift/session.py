@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("grainsift")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -21,22 +21,27 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    name_local_folder(session)
+    return session
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder; on a cluster a
-    machine-local folder would be lost with its machine.
-    """
+    """The folder all executors can reach, as named by ``spark.checkpoint.dir``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="grainsift-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return configured
+
+
+def name_local_folder(spark: SparkSession) -> None:
+    """Name a temporary folder where a session of one machine has none set, as in tests.
+
+    On a cluster nothing is set: such a folder would be lost with its machine.
+    """
+    master = spark.sparkContext.master
+    one_machine = master.startswith("local") and not master.startswith("local-cluster")
+    if one_machine and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="grainsift-"))
 
 
 def new_work_dir(spark: SparkSession, label: str) -> str:

@@ -17,7 +17,10 @@ from ..operators.rules import Rule, counts_to_rows, rule_counts
 
 
 def event_time(stream: DataFrame, column: str) -> DataFrame:
-    """Cast a zone-less timestamp so that it can carry a watermark."""
+    """Cast a zone-less timestamp so that it can carry a watermark.
+
+    The times are taken as they are read in the session time zone; the zone is not changed.
+    """
     require(stream, column)
     return stream.withColumn(column, col(column).cast("timestamp"))
 
@@ -25,7 +28,10 @@ def event_time(stream: DataFrame, column: str) -> DataFrame:
 def dedup_stream(
     stream: DataFrame, keys: Sequence[str], time_column: str, delay: str = "1 hour"
 ) -> DataFrame:
-    """Drop rows whose keys were seen within ``delay``; state older than that is freed."""
+    """Drop rows whose keys were seen within ``delay``; state older than that is freed.
+
+    State is kept by key: all rows of a key in a micro-batch meet in the task of that key.
+    """
     require(stream, *keys)
     timed = event_time(stream, time_column).withWatermark(time_column, delay)
     return timed.dropDuplicatesWithinWatermark(list(keys))
@@ -93,3 +99,12 @@ def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     newest = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
     kept = rows.withColumn("__n", F.row_number().over(newest)).filter("__n = 1")
     return kept.drop("__n", "batch_id")
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], target: str) -> None:
+    """Write the newest row per key to ``target`` as one batch, older than any to come.
+
+    A reader moves to the new folder; the old one can then be deleted as a whole, so
+    :func:`latest` need not read every batch ever written.
+    """
+    latest(spark, path, keys).write.mode("errorifexists").parquet(f"{target}/batch_id=-1")
