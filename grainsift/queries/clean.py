@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import numbers
 from ..operators import columns as C, dedup, fill, ordinal, rows as R
@@ -12,6 +12,12 @@ from . import sql as S
 from .registry import query
 
 WITH_ORDERS = f"WITH {S.ORDERS_DIRTY}"
+BIG_OFFSET = 2**53 + 1  # keys beyond it are not all numbers of type DOUBLE
+BIG = f"(o_orderkey + {BIG_OFFSET})"
+
+
+def _big_keys(spark, folder):
+    return table(spark, folder, "orders").withColumn("o_orderkey", F.col("o_orderkey") + BIG_OFFSET)
 
 
 # --- filling -----------------------------------------------------------------
@@ -182,10 +188,9 @@ def regex_replace(spark, folder):
 
 
 @query("regex_replace_text", r"""
-SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS text FROM documents""")
+SELECT * REPLACE (regexp_replace(text, '\s+', ' ', 'g') AS text) FROM documents""")
 def regex_replace_text(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    return C.regex_replace(documents, "text", r"\s+", " ")
+    return C.regex_replace(table(spark, folder, "documents"), "text", r"\s+", " ")
 
 
 @query("cells_changed", r"""
@@ -197,10 +202,9 @@ def cells_changed(spark, folder):
     )
 
 
-@query("std_lower", "SELECT c_custkey, lower(c_name) AS c_name FROM customer")
+@query("std_lower", "SELECT * REPLACE (lower(c_name) AS c_name) FROM customer")
 def std_lower(spark, folder):
-    customers = table(spark, folder, "customer").select("c_custkey", "c_name")
-    return C.standardize(customers, "c_name", "lowercase")
+    return C.standardize(table(spark, folder, "customer"), "c_name", "lowercase")
 
 
 @query("std_upper", "SELECT * REPLACE (upper(p_name) AS p_name) FROM part")
@@ -292,6 +296,66 @@ def sort_nulls_last(spark, folder):
     return R.sort_rows(placed, "o_totalprice", "desc", ["o_orderkey"])
 
 
+@query("rows_remove_before_date", "SELECT * FROM orders WHERE NOT o_orderdate < TIMESTAMP '1998-01-01'")
+def rows_remove_before_date(spark, folder):
+    return R.remove_rows(table(spark, folder, "orders"), "o_orderdate", "less_than", "1998-01-01")
+
+
+@query("clip_bigint", f"""
+SELECT * REPLACE (greatest(least(CAST({BIG} AS BIGINT), 9007199254760001), 9007199254741003) AS o_orderkey) FROM orders""")
+def clip_bigint(spark, folder):
+    return C.clip(_big_keys(spark, folder), "o_orderkey", 9007199254741003, 9007199254760001)
+
+
+@query("fill_median_bigint", f"""
+WITH b AS (SELECT * REPLACE (CASE WHEN o_orderkey % 10 <> 3 THEN CAST({BIG} AS BIGINT) END AS o_orderkey) FROM orders)
+SELECT * REPLACE (coalesce(CAST(o_orderkey AS DECIMAL(29,10)),
+  CAST(CAST((SELECT quantile_cont(CAST(o_orderkey AS DOUBLE), 0.5) FROM b) AS BIGINT) AS DECIMAL(29,10))) AS o_orderkey) FROM b""")
+def fill_median_bigint(spark, folder):
+    orders = table(spark, folder, "orders")
+    gaps = orders.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 10 != 3, F.col("o_orderkey") + BIG_OFFSET))
+    return fill.fill_missing(gaps, "o_orderkey", "median")
+
+
+@query("sort_rows", f"""{WITH_ORDERS}
+SELECT * FROM orders_dirty ORDER BY o_totalprice DESC NULLS LAST, o_orderkey DESC""")
+def sort_rows(spark, folder):
+    return R.sort_rows(D.orders_dirty(spark, folder), "o_totalprice", "desc", ["o_orderkey"])
+
+
+@query("row_ordinal_ties", """
+SELECT *, min(position) OVER (PARTITION BY o_orderdate) AS first_of_day,
+  max(position) OVER (PARTITION BY o_orderdate) AS last_of_day
+FROM (SELECT o_orderdate, row_number() OVER (ORDER BY o_orderdate) - 1 AS position FROM orders) AS p""")
+def row_ordinal_ties(spark, folder):
+    """Many buckets and tied keys: positions of each day, whatever rows they belong to."""
+    placed = ordinal.with_ordinal(table(spark, folder, "orders"), ["o_orderdate"], "position", rows_per_bucket=500)
+    day = Window.partitionBy("o_orderdate")
+    return placed.select("o_orderdate", "position", F.min("position").over(day).alias("first_of_day"),
+                         F.max("position").over(day).alias("last_of_day"))
+
+
+@query("row_ordinal_copies", f"""{WITH_ORDERS}
+SELECT *, row_number() OVER (ORDER BY o_orderstatus, o_custkey % 3, o_orderkey) - 1 AS position
+FROM (SELECT o_orderstatus, o_custkey % 3 AS o_custkey, CAST(1 AS BIGINT) AS o_orderkey FROM orders_dirty) AS d""")
+def row_ordinal_copies(spark, folder):
+    """A few rows with thousands of complete copies each, over many buckets."""
+    few = D.orders_dirty(spark, folder).select(
+        "o_orderstatus", (F.col("o_custkey") % 3).alias("o_custkey"), F.lit(1).cast("bigint").alias("o_orderkey"))
+    return ordinal.with_ordinal(few, ["o_orderstatus", "o_custkey"], "position", rows_per_bucket=400)
+
+
+@query("fill_forward_ties", "SELECT event_id, user_id FROM events")
+def fill_forward_ties(spark, folder):
+    """Equal order keys in many buckets: a table filled from two partitionings is the same."""
+    events = table(spark, folder, "events").withColumn("v", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    filled = [ordinal.forward_fill_column(e, "v", ["user_id"], rows_per_bucket=n)
+              for e, n in ((events, 300), (events.repartition(7, "props"), 900))]
+    both = filled[0].select("event_id", "user_id", F.col("v").alias("a")).join(
+        filled[1].select("event_id", F.col("v").alias("b")), "event_id")
+    return both.filter(F.col("a").eqNullSafe(F.col("b"))).select("event_id", "user_id")
+
+
 @query("row_ordinal", """
 SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS _ord FROM orders""")
 def row_ordinal(spark, folder):

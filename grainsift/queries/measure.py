@@ -9,6 +9,7 @@ from ..operators import compare, inject, score as Q
 from ..operators.rules import rules_compliance
 from ..plans import recipe
 from ..plans.recipe import step
+from ..session import materialized
 from ..sources import dirty as D
 from ..sources.tables import table
 from . import sql as S
@@ -44,6 +45,26 @@ def cleaned(spark, folder):
     )
 
 
+HALF_STEPS = 30
+# A table that is only half clean: some copies and gaps are left, some rows are lost, some
+# prices break their rule, a third of the rows are damaged and one column is text.
+HALF = """half_once AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus,
+    CASE WHEN o_orderkey % 20 = 3 THEN NULL WHEN o_orderkey % 11 = 0 THEN -5.0
+         WHEN o_orderkey % 3 = 0 THEN o_totalprice * 3 ELSE o_totalprice END AS o_totalprice,
+    strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM cleaned WHERE o_orderkey % 8 <> 1),
+half AS (SELECT * FROM half_once UNION ALL SELECT * FROM half_once WHERE o_orderkey % 24 = 8)"""
+
+
+def half_cleaned(spark, folder):
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    damaged = cleaned(spark, folder).filter(k % 8 != 1).select(
+        "o_orderkey", "o_custkey", F.when(k % 3 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.when(k % 20 == 3, None).when(k % 11 == 0, -5.0).when(k % 3 == 0, price * 3).otherwise(price).alias("o_totalprice"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority")
+    twice = F.sequence(F.lit(0), F.when(k % 24 == 8, 1).otherwise(0))
+    return damaged.withColumn("__copy", F.explode(twice)).drop("__copy")
+
+
 def _dirty(spark, folder):
     return D.orders_dirty(spark, folder).drop("price_text", "date_text")
 
@@ -121,6 +142,14 @@ def score_accuracy_positional(spark, folder):
     return r.withColumns({"matched": F.round("matched", 4), "accuracy": F.round("accuracy", 6)})
 
 
+@query("score_accuracy_positional_ties", """
+SELECT count(*) * 6 AS cells, CAST(count(*) * 6 AS DOUBLE) AS matched, CAST(1 AS DOUBLE) AS accuracy FROM orders""")
+def score_accuracy_positional_ties(spark, folder):
+    """A table against itself, in another partitioning and by a key with many ties."""
+    orders = table(spark, folder, "orders")
+    return compare.accuracy_by_position(orders.repartition(5, "o_custkey"), orders, ["o_orderdate"], rows_per_bucket=700)
+
+
 _GOLDEN = f"""golden AS (SELECT * FROM orders
   ORDER BY {S.digest('o_orderkey', 42, 'golden')}, o_orderkey LIMIT 15)"""
 
@@ -156,13 +185,13 @@ def _progress_sql(field: str) -> str:
       greatest(b.{field} - c.{field}, 0) / CAST(b.{field} - t.{field} AS DOUBLE)) ELSE 1.0 END"""
 
 
-def _score_sql(current: str, steps: int) -> str:
+def _score_sql(current: str, steps: int, types: str = "1.0") -> str:
     """CTEs ending in ``s``: one row with all dimensions of ``current``."""
-    efficiency = Q.step_efficiency(steps, BUDGET)
+    efficiency = {0: "0.5", 9: "1.0", 30: "0.6"}[steps]
     return f"""{_facts_sql('b', 'orders_dirty')}, {_facts_sql('c', current)}, {_facts_sql('t', 'orders')},
 a AS ({_keyed_sql(current)}), {_GOLDEN},
 s AS (SELECT {_progress_sql('m')} AS missing_fixed, {_progress_sql('d')} AS duplicates_removed,
-  1.0 AS type_correctness, a.matched / a.cells AS value_accuracy,
+  {types} AS type_correctness, a.matched / a.cells AS value_accuracy,
   least(1.0, c.n / CAST(t.n AS DOUBLE)) AS data_preservation,
   ({compliance_sql(current)}) AS constraint_compliance,
   {efficiency} AS step_efficiency, ({_found_sql(current)}) / 15.0 AS golden_row_integrity,
@@ -170,17 +199,20 @@ s AS (SELECT {_progress_sql('m')} AS missing_fixed, {_progress_sql('d')} AS dupl
 FROM b, c, t, a)"""
 
 
-_COMPOSITE = "least(0.999, greatest(0.001, " + " + ".join(
-    f"{d} * CAST({w} AS DOUBLE)" for d, w in Q.WEIGHTS.items()
-) + "))"
-_DIMENSIONS = ", ".join(f"round(CAST({d} AS DOUBLE), 6) AS {d}" for d in Q.WEIGHTS)
+_SQL_WEIGHTS = {
+    "missing_fixed": 0.2, "duplicates_removed": 0.15, "type_correctness": 0.15, "value_accuracy": 0.2,
+    "data_preservation": 0.1, "constraint_compliance": 0.1, "step_efficiency": 0.05, "golden_row_integrity": 0.05}
+_COMPOSITE = """least(0.999, greatest(0.001, 0.2::DOUBLE * missing_fixed + 0.15::DOUBLE * duplicates_removed
+  + 0.15::DOUBLE * type_correctness + 0.2::DOUBLE * value_accuracy + 0.1::DOUBLE * data_preservation
+  + 0.1::DOUBLE * constraint_compliance + 0.05::DOUBLE * step_efficiency + 0.05::DOUBLE * golden_row_integrity))"""
+_DIMENSIONS = ", ".join(f"round(CAST({d} AS DOUBLE), 6) AS {d}" for d in _SQL_WEIGHTS)
 
 
-def _score(spark, folder, current, steps=len(CLEANING)):
+def _score(spark, folder, current, steps=len(CLEANING), **options):
     return Q.score(
         current, table(spark, folder, "orders"), D.orders_dirty(spark, folder),
         key=["o_orderkey"], rules=D.ORDER_RULES, golden=_golden(spark, folder),
-        steps=steps, budget=BUDGET,
+        steps=steps, budget=BUDGET, **options,
     )
 
 
@@ -193,9 +225,20 @@ def score_composite(spark, folder):
     return _rounded(s, *Q.WEIGHTS, "composite")
 
 
+@query("score_half_cleaned", f"""
+WITH {CLEANED}, {HALF}, {_score_sql('half', HALF_STEPS, types='5 / 6.0')}
+SELECT {_DIMENSIONS}, CAST(greatest(extra, 0) AS BIGINT) AS extra_rows, 0 AS dropped_columns,
+  0 AS extra_columns, round({_COMPOSITE}, 6) AS composite FROM s""".replace(
+    "t.o_orderdate IS NOT DISTINCT FROM c.o_orderdate", "t.o_orderdate IS NOT DISTINCT FROM CAST(c.o_orderdate AS TIMESTAMP)"))
+def score_half_cleaned(spark, folder):
+    """Every dimension lies strictly between 0 and 1."""
+    current = materialized(half_cleaned(spark, folder), "half")
+    return _rounded(_score(spark, folder, current, HALF_STEPS, dates=True), *Q.WEIGHTS, "composite")
+
+
 _REPORT_LINES = " UNION ALL ".join(
     f"""SELECT '{d}' AS dimension, CAST({w} AS DOUBLE) AS weight, round(CAST({d} AS DOUBLE), 6) AS score,
-    round({d} * CAST({w} AS DOUBLE), 6) AS weighted FROM s""" for d, w in Q.WEIGHTS.items()
+    round({d} * CAST({w} AS DOUBLE), 6) AS weighted FROM s""" for d, w in _SQL_WEIGHTS.items()
 )
 
 
@@ -213,7 +256,7 @@ def _progress_query(name: str, dimension: str, fact: str, short: str) -> None:
     def build(spark, folder):
         tables = {
             "b": D.orders_dirty(spark, folder),
-            "c": cleaned(spark, folder),
+            "c": half_cleaned(spark, folder),
             "t": table(spark, folder, "orders"),
         }
         facts = side_by_side({n: Q.table_facts(df) for n, df in tables.items()})
@@ -221,7 +264,7 @@ def _progress_query(name: str, dimension: str, fact: str, short: str) -> None:
         return facts.select(F.round(value, 6).alias(dimension))
 
     query(name, f"""
-WITH {CLEANED}, {_facts_sql('b', 'orders_dirty')}, {_facts_sql('c', 'cleaned')}, {_facts_sql('t', 'orders')}
+WITH {CLEANED}, {HALF}, {_facts_sql('b', 'orders_dirty')}, {_facts_sql('c', 'half')}, {_facts_sql('t', 'orders')}
 SELECT round(CAST({_progress_sql(short)} AS DOUBLE), 6) AS {dimension} FROM b, c, t""")(build)
 
 
@@ -230,14 +273,11 @@ _progress_query("score_duplicates", "duplicates_removed", "duplicates", "d")
 
 
 @query("score_preservation", f"""
-WITH {S.ORDERS_DIRTY}, kept AS (SELECT * FROM orders WHERE o_totalprice > 100000)
-SELECT (SELECT count(*) FROM kept) / CAST(count(*) AS DOUBLE) AS data_preservation FROM orders""")
+WITH {CLEANED}, {HALF}
+SELECT (SELECT count(*) FROM half) / CAST(count(*) AS DOUBLE) AS data_preservation FROM orders""")
 def score_preservation(spark, folder):
-    orders = table(spark, folder, "orders")
-    kept = orders.filter("o_totalprice > 100000")
-    rows = side_by_side({
-        n: df.agg(F.count(F.lit(1)).alias("rows")) for n, df in (("c", kept), ("t", orders))
-    })
+    tables = {"c": half_cleaned(spark, folder), "t": table(spark, folder, "orders")}
+    rows = side_by_side({n: df.agg(F.count(F.lit(1)).alias("rows")) for n, df in tables.items()})
     return rows.select(Q.preservation(F.col("c.rows"), F.col("t.rows")).alias("data_preservation"))
 
 
@@ -251,7 +291,7 @@ _EFFECT = """CASE WHEN after - before > 0 THEN least(0.15, (after - before) * 2
   WHEN after - before < -0.01 THEN greatest(-0.20, (after - before) * 2) ELSE 0.001 END"""
 _DELTA_LINES = " UNION ALL ".join(
     f"SELECT '{d}' AS dimension, CAST(s0.{d} AS DOUBLE) AS before, CAST(s.{d} AS DOUBLE) AS after FROM s0, s"
-    for d in Q.WEIGHTS
+    for d in _SQL_WEIGHTS
 )
 
 
@@ -276,6 +316,29 @@ def quality_delta(spark, folder):
     return _rounded(Q.quality_delta(before, after), "before", "after", "delta", "effect")
 
 
+RETYPED = [
+    step("fill_missing", column="o_orderkey", strategy="mean"),
+    step("fix_dtype", column="o_custkey", target="float"),
+    step("clip", column="o_custkey", lower=0, upper=1000),
+    step("undo"), step("undo"),
+]
+
+
+@query("lineage_retyped", """
+WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 7 = 2) AS gaps,
+  count(*) FILTER (WHERE o_custkey > 1000) AS above FROM orders)
+SELECT 1 AS step, 'fill_missing' AS op, true AS modified, n AS rows_before, n AS rows_after, gaps AS cells_changed FROM n
+UNION ALL SELECT 2, 'fix_dtype', true, n, n, 0 FROM n
+UNION ALL SELECT 3, 'clip', above > 0, n, n, above FROM n
+UNION ALL SELECT 4, 'undo', true, -1, n, 0 FROM n
+UNION ALL SELECT 5, 'undo', true, -1, n, 0 FROM n""")
+def lineage_retyped(spark, folder):
+    """Retyped columns are compared by value: only gaps and clipped cells count as changed."""
+    orders = table(spark, folder, "orders")
+    gaps = orders.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 7 != 2, F.col("o_orderkey")))
+    return recipe.lineage(gaps, RETYPED).drop("command")
+
+
 # --- recipes and lineage -----------------------------------------------------
 
 

@@ -67,6 +67,14 @@ def profile_numeric(spark, folder):
     })
 
 
+@query("profile_bigint", """
+SELECT 'o_orderkey' AS "column", 'bigint' AS type, count(*) AS non_null, count(DISTINCT o_orderkey) AS distinct_values,
+  min(o_orderkey) + 9007199254740993 AS min, max(o_orderkey) + 9007199254740993 AS max FROM orders""")
+def profile_bigint(spark, folder):
+    orders = table(spark, folder, "orders").withColumn("o_orderkey", F.col("o_orderkey") + 2**53 + 1)
+    return P.profile_numeric(orders, "o_orderkey").select("column", "type", "non_null", "distinct_values", "min", "max")
+
+
 @query("profile_topk", f"""
 WITH {S.ORDERS_DIRTY}
 SELECT o_orderpriority AS value, count(*) AS count FROM orders_dirty

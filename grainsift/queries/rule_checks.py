@@ -110,12 +110,39 @@ def rules_bad_examples(spark, folder):
 
 @query("rules_unknown_keys", """
 SELECT o_custkey AS value, count(*) AS count FROM orders
-WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) GROUP BY 1""")
+WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1""")
 def rules_unknown_keys(spark, folder):
-    allowed = table(spark, folder, "customer").filter("c_acctbal >= 0").select("c_custkey")
+    allowed = table(spark, folder, "supplier").select("s_suppkey")
     return R.invalid_categories(table(spark, folder, "orders"), "o_custkey", allowed)
 
 
+_DATE_ROWS = """SELECT 0 AS rule_id, 'cross_column' AS type, 'l_shipdate,o_orderdate' AS "column", count(*) AS checked,
+  count(*) FILTER (WHERE NOT l_shipdate > o_orderdate) AS violations FROM j
+UNION ALL SELECT 1, 'range', 'l_shipdate', count(*),
+  count(*) FILTER (WHERE l_shipdate < TIMESTAMP '1996-01-01' OR l_shipdate > TIMESTAMP '2000-12-31') FROM j"""
+
+
+@query("rules_cross_column_dates", f"""
+WITH j AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey), c AS ({_DATE_ROWS})
+SELECT *, round((checked - violations) / CAST(checked AS DOUBLE), 6) AS pass_rate FROM c WHERE rule_id = 0""")
+def rules_cross_column_dates(spark, folder):
+    return _date_report(spark, folder, R.cross_column("l_shipdate", "o_orderdate"))
+
+
+@query("rules_range_dates", f"""
+WITH j AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey), c AS ({_DATE_ROWS})
+SELECT * REPLACE (0 AS rule_id), round((checked - violations) / CAST(checked AS DOUBLE), 6) AS pass_rate FROM c WHERE rule_id = 1""")
+def rules_range_dates(spark, folder):
+    return _date_report(spark, folder, R.value_range("l_shipdate", "1996-01-01", "2000-12-31"))
+
+
+def _date_report(spark, folder, rule):
+    lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    report = R.rules_report(joined, [rule]).drop("bad_values")
+    return report.withColumn("pass_rate", F.round("pass_rate", 6))
+
+
 _BROKEN = f"""SELECT *, concat_ws(',',
   CASE WHEN o_totalprice < 0 OR o_totalprice > 500000 THEN '0' END,
   CASE WHEN o_orderkey IS NULL THEN '1' END,

@@ -14,30 +14,32 @@ from .registry import query
 
 
 def _events(spark, folder):
-    # zone-less times become instants in the session zone; days are cut in UTC
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Zone-less times become instants in the session zone and are cut into days there."""
+    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        spark = spark.newSession()  # the caller's own zone stays as it is
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return table_stream(spark, folder, "events")
 
 
 def _stored(spark, stream):
-    work = new_work_dir(spark, "stream")
+    spark, work = stream.sparkSession, new_work_dir(spark, "stream")
     X.append_to(stream, f"{work}/out", f"{work}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{work}/out")
 
 
 @query("stream_clean", f"""WITH {S.EVENTS_DIRTY}
 SELECT event_id, ts, user_id, upper(event_type) AS event_type,
-  CASE WHEN value IS NOT NULL THEN greatest(least(value, 1000), 0) END AS value
+  CASE WHEN value IS NOT NULL THEN greatest(least(value, 1000), 0) END AS value, props
 FROM events_dirty WHERE event_type <> 'error'""")
 def stream_clean(spark, folder):
     events = D.events_dirty_from(_events(spark, folder))
-    kept = R.remove_rows(C.drop_column(events, "props"), "event_type", "equals", "error")
+    kept = R.remove_rows(events, "event_type", "equals", "error")
     return _stored(spark, C.clip(C.standardize(kept, "event_type", "uppercase"), "value", 0, 1000))
 
 
-@query("stream_dedup", "SELECT event_id, ts, user_id, event_type, value FROM events")
+@query("stream_dedup", "SELECT * FROM events")
 def stream_dedup(spark, folder):
-    events = _events(spark, folder).drop("props")
+    events = _events(spark, folder)
     # every third event arrives twice
     twice = F.explode(F.sequence(F.lit(0), F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)))
     repeated = events.withColumn("copy", twice).drop("copy")
@@ -69,7 +71,8 @@ SELECT *, round((checked - violations) / CAST(checked AS DOUBLE), 6) AS pass_rat
 def stream_rules_by_window(spark, folder):
     events = D.events_dirty_from(_events(spark, folder))
     counted = X.windowed_rule_counts(events, D.EVENT_RULES, "ts", "1 day")
-    work = new_work_dir(spark, "stream")
+    spark, work = counted.sparkSession, new_work_dir(spark, "stream")
     X.upsert_to(counted, f"{work}/out", f"{work}/checkpoint").awaitTermination()
-    rows = X.latest(spark, f"{work}/out", ["window_start", "rule_id"])
+    X.compact(spark, f"{work}/out", ["window_start", "rule_id"], f"{work}/compact")
+    rows = X.latest(spark, f"{work}/compact", ["window_start", "rule_id"])
     return rows.withColumn("pass_rate", F.round("pass_rate", 6))
