@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..session import name_local_folder, new_work_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -28,17 +31,11 @@ def map_arrow(df: DataFrame, work: Callable, schema: str) -> DataFrame:
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the one that ``spark.checkpoint.dir`` names.
 
-    A plain local session without that setting gets a temporary folder; a cluster must
-    name a folder that all executors share.
+    A session of one machine without that setting gets a temporary folder, as in tests; a
+    cluster must name a folder that all executors share.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    name_local_folder(spark)
+    return new_work_dir(spark, label)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -61,3 +58,65 @@ def small_batches(batches: Iterable, rows: int = 1000) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def few_hashes(rows: DataFrame, column: str, limit: int) -> DataFrame:
+    """At most ``limit`` hashes (h) of a column, the least ones or nearly: a choice by value alone.
+
+    Rows are thinned by their hash where they lie, so that no more than about twice the limit
+    is sent on from all tasks together.
+    """
+    hashes = rows.select(F.xxhash64(column).alias("h")).filter("h is not null").distinct()
+    n = rows.count()
+    if n > 4 * limit:
+        hashes = hashes.filter(F.pmod("h", F.lit(1 << 30)) < int(2 * limit / n * (1 << 30)))
+    return hashes.orderBy("h").limit(limit)
+
+
+BLOOM_BITS = 1 << 26  # at most 8 MB
+
+
+class Bloom:
+    """Four bits for each key (bigint) in a filter of a power of two bits."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.astype(np.int64).view(np.uint64)
+        out = np.ones(len(keys), bool)
+        for shift in (0, 16, 32, 48):
+            at = ((keys >> np.uint64(shift)) ^ (keys << np.uint64(64 - shift) if shift else np.uint64(0))) & np.uint64(self.bits - 1)
+            out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+def key_filter(keys: DataFrame) -> Bloom:
+    """A filter of hashed keys (one bigint column); its size is bounded whatever their number."""
+    name = keys.columns[0]
+    n, bits = keys.count(), 1 << 16
+    while bits < min(12 * n, BLOOM_BITS):
+        bits *= 2
+    turned = [F.shiftrightunsigned(name, s).bitwiseXOR(F.shiftleft(name, 64 - s)) if s else F.col(name) for s in (0, 16, 32, 48)]
+    places = keys.select(F.explode(F.array(*[t.bitwiseAND(F.lit(bits - 1)) for t in turned])).alias("at"))
+    words = (places.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())  # bits / 64 rows at most
+    table = np.zeros(bits // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return Bloom(table.view(np.uint64), bits)
+
+
+def _maybe_batches(batches, bloom, inside):
+    for batch in batches:
+        may = bloom.value.may_hold(batch.column(batch.num_columns - 1).to_numpy())
+        yield batch.filter(pa.array(may if inside else ~may))
+
+
+def maybe_rows(rows: DataFrame, keys: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose last column (a hashed key) may be among the keys, or those that are not.
+
+    Only rows that may be are worth moving for a join; a full filter changes no result.
+    """
+    keys = keys.toDF("key")
+    bloom = rows.sparkSession.sparkContext.broadcast(key_filter(keys))  # 8 MB at most
+    return map_arrow(rows, functools.partial(_maybe_batches, bloom=bloom, inside=inside), rows.schema)

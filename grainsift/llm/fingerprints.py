@@ -66,6 +66,14 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
         return mixed((sums[width:] - sums[:-width]) * down[: n - width + 1] + np.uint64(width))
 
 
+def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of the runs of words from each start to before each end."""
+    up, down = _powers(len(hashes) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:len(hashes)], dtype=np.uint64)))
+        return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     """best (np.minimum or np.maximum) over each run of ``width`` values."""
     size = 1

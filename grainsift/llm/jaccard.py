@@ -3,19 +3,22 @@
 A document's set holds the fingerprints of its distinct runs of ``size`` words. Two documents
 link when 100 * |intersection| >= percent * |union|.
 
-1. Equal sets are one class, represented by the smallest id; it needs no comparison.
-2. Tokens are put into one order: by how often they occur anywhere, then by fingerprint.
-   Occurrences are counted over all documents in ``CELLS`` counters that tokens share, a
-   table of fixed size. Any order gives the same links; this one keeps frequent passages out
-   of the index. Linked sets share a token among the first few of each (the prefix).
+1. Equal sets are one node, named by a fingerprint; they need no comparison.
+2. Tokens are put into one order: a quarter of them, chosen by their fingerprint, is counted
+   exactly over all documents (counts stop at ``MANY``) and goes first, rare ones before
+   frequent ones; the others follow by fingerprint. Linked sets share a token among the first
+   few of each (the prefix). A set whose prefix holds only tokens that occur once is done.
 3. The index lists of the prefix tokens are ordered by set size and position. Entries of one
    size and position are a block: a block whose size or whose remaining tokens cannot reach
    the overlap any more is skipped as a whole.
-4. In a long list all sets are compared with the first one alone. Sets that belong to one
-   group by then have their answers derived from it: they are not compared with each other
-   again. Only what is still apart after that, and all of the short lists, is compared in
-   full.
-5. Candidates are verified on the whole sets. Groups are the connected components.
+4. In a long list all sets are compared with one of them, the one with the fewest tokens
+   before the shared one, which tends to be the middle of a family of similar sets. Sets that
+   belong to one group by then have their answers derived from it: they are not compared with
+   each other again.
+5. Candidates are verified on the whole sets. Where long lists still hold several groups, the
+   sets of such lists form families. A family is cut into blocks of bounded size, and each
+   pair of blocks is compared in one task by a product of its membership matrices, which
+   yields a row for each set, never pairs. Groups are the connected components.
 
 No link between different groups is missed; links inside a group that follow from the group
 need not be verified, since the result is the group of each document.
@@ -35,15 +38,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import free_name, map_arrow, small_batches, stored
+from .common import free_name, key_filter, map_arrow, small_batches, stored
 from .components import components
 from .fingerprints import window_hashes, word_hashes
 
 SIZE, PERCENT = 4, 85
-CELLS = 1 << 18
+COUNTED = 4  # one token of so many is counted
+MANY = 1000
 LONG_LIST = 4
+BLOCK, MATRIX_TOKENS = 256, 4096
 
-SETS = "doc_id bigint, n_shingles bigint, set_1 bigint, set_2 bigint"
+SETS = "doc_id bigint, n_shingles bigint, n_counted int, node bigint"
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -64,45 +69,93 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
-def _sets_batches(batches, size, cells):
-    """A row for each document; in set_1 and n_shingles of rows without id and sets, the counters."""
-    counts = np.zeros(cells, np.int64)
-    for batch in small_batches(batches):
-        sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
-        counts += np.bincount((np.concatenate(sets) % np.uint64(cells)).astype(np.int64), minlength=cells)
-        n = [len(s) for s in sets]
-        d = np.array([np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets])
-        yield _set_rows(batch.column(0), n, d[:, 0], pa.array(d[:, 1]))
-    at = np.flatnonzero(counts)
-    for k in range(0, len(at), 50_000):
-        part = at[k:k + 50_000]
-        yield _set_rows(pa.nulls(len(part), pa.int64()), counts[part], part, pa.nulls(len(part), pa.int64()))
+def node_of(s: np.ndarray) -> int:
+    """The fingerprint of a whole set: equal sets are one node."""
+    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _set_rows(ids, n, one, two):
-    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(one, pa.int64()), two],
-                                      ["doc_id", "n_shingles", "set_1", "set_2"])
+def _sets_batches(batches, size):
+    for batch in small_batches(batches):
+        sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
+        n_counted = [int((s % np.uint64(COUNTED) == 0).sum()) for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(n_counted, pa.int32()),
+             pa.array([node_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "n_counted", "node"])
 
 
-def _prefix_batches(batches, size, percent, shared):
-    counts = shared.value
+def _token_batches(batches, size, percent):
+    """The counted tokens of each set and, if these are too few for its prefix, the next ones."""
     for batch in small_batches(batches):
-        ids, lengths, sets, tokens = [], [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
+        nodes, tokens = [], []
+        for text in batch.column(0).to_pylist():
             s = shingles(text, size)
             if len(s):
-                often = counts[(s % np.uint64(len(counts))).astype(np.int64)]
-                order = np.lexsort((s, often))[:prefix_length(len(s), percent)]
-                ids.append(i)
-                lengths.append(len(s))
-                sets.append(np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
-                tokens.append(s[order].view(np.int64))
-        d = np.array(sets).reshape(-1, 2)
-        ends = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
-        flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
+                counted = s % np.uint64(COUNTED) == 0
+                short = prefix_length(len(s), percent) - int(counted.sum())
+                tokens.append(np.concatenate((s[counted], s[~counted][:max(0, short)])))
+                nodes.append(np.full(len(tokens[-1]), node_of(s)))
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        yield pa.RecordBatch.from_arrays([pa.array(join(tokens, np.uint64).view(np.int64)), pa.array(join(nodes, np.int64))],
+                                         ["token", "node"])
+
+
+def _shared_batches(batches):
+    """Rows (token, node), sorted, with the token's count, for tokens of more than one node.
+
+    Of a token no more than ``MANY`` nodes are held; the others are passed on at once.
+    """
+    token, held, many = None, [], False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tokens, nodes = (c.to_numpy() for c in batch.columns)
+        heads = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        ends = np.append(heads[1:], len(tokens))
+        visited = ends - heads > 1  # most tokens are seen once
+        visited[[0, -1]] = True
+        found: list[tuple[int, int, int]] = []
+        for k in np.flatnonzero(visited).tolist():
+            a, b = heads[k], ends[k]
+            if token is None or tokens[a] != token:
+                if len(held) > 1 and not many:
+                    found += [(token, d, len(held)) for d in held]
+                token, held, many = int(tokens[a]), [], False
+            last = held[-1] if held else None
+            held += [d for d in np.unique(nodes[a:b]).tolist() if d != last]
+            if many or len(held) > MANY:
+                found += [(token, d, MANY) for d in (held[1:] if many else held)]
+                many, held = True, held[-1:]  # the last one is kept to know it again
+        if found:
+            yield _counted_rows(*zip(*found))
+    if len(held) > 1 and not many:
+        yield _counted_rows(*zip(*[(token, d, len(held)) for d in held]))
+
+
+def _counted_rows(t, d, n):
+    return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(d, pa.int64()), pa.array(n, pa.int32())],
+                                      ["token", "node", "often"])
+
+
+def _prefix_batches(batches, percent):
+    """Index entries of each set from its shared tokens; all its other counted tokens come first."""
+    for batch in small_batches(batches):
+        rows, tokens, places = [], [], []
+        for i, (n, n_counted, lists) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
+            known = [((often, t % 2**64), t) for t, often in ((x["token"], x["often"]) for x in lists) if t % 2**64 % COUNTED == 0]
+            beyond = sorted(x["token"] % 2**64 for x in lists if x["token"] % 2**64 % COUNTED)
+            first = prefix_length(n, percent)
+            alone = n_counted - len(known)
+            taken = [(t, alone + k) for k, (_, t) in enumerate(sorted(known))]
+            if n_counted < first:  # their places are bounds: tokens seen once may stand between them
+                taken += [(t - 2**64 if t >= 2**63 else t, n_counted + k) for k, t in enumerate(beyond)]
+            taken = [(t, k) for t, k in taken if k < first]
+            rows.append(np.full(len(taken), i))
+            tokens += [t for t, _ in taken]
+            places += [k for _, k in taken]
+        at = pa.array(np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(lengths, pa.int32()), pa.array(d[:, 0]),
-             pa.array(d[:, 1]), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "n", "set_1", "set_2", "tokens"])
+            [pa.array(tokens, pa.int64()), batch.column(0).take(at), batch.column(1).cast(pa.int32()).take(at),
+             pa.array(places, pa.int32())], ["token", "node", "n", "pos"])
 
 
 def _can_reach(n, pos, n2, pos2, percent):
@@ -111,7 +164,7 @@ def _can_reach(n, pos, n2, pos2, percent):
 
 
 class Runs:
-    """Cuts sorted batches (token, doc_id, n, pos) into the lists of one token each.
+    """Cuts sorted batches (token, node, n, pos) into the lists of one token each.
 
     Whole lists of a batch are handed over together; of a list that goes on in the next
     batches only the parts that have come are held.
@@ -139,6 +192,10 @@ class Runs:
             yield np.concatenate(held)
 
 
+def _fits(n, pos, n2, pos2, percent):
+    return (percent * np.maximum(n, n2) <= 100 * np.minimum(n, n2)) & _can_reach(n, pos, n2, pos2, percent)
+
+
 def _first_batches(batches, percent, long_list):
     """Rows of kind 0: candidates (a, b). Of kind 1: entries of long lists, to be looked at again."""
     for rows in Runs(batches):
@@ -149,10 +206,9 @@ def _first_batches(batches, percent, long_list):
         rank = np.arange(len(rows)) - heads[run]
         pairs = []
         for k in range(int(min(length.max(), long_list)) - 1):  # with the k-th of the list
-            use = (rank > k) & (length[run] <= long_list) if k else rank > 0
-            y = np.flatnonzero(use)
+            y = np.flatnonzero((rank > k) & ((length[run] <= long_list) | (k == 0)))
             x = heads[run[y]] + k
-            ok = (percent * n[y] <= 100 * n[x]) & (doc[x] != doc[y]) & _can_reach(n[x], pos[x], n[y], pos[y], percent)
+            ok = (doc[x] != doc[y]) & _fits(n[x], pos[x], n[y], pos[y], percent)
             pairs.append(np.stack((np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])), axis=1)[ok])
         found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
         yield _pair_rows(0, found[:, 0], found[:, 1], np.zeros(len(found), np.int64), np.zeros(len(found), np.int64))
@@ -166,31 +222,48 @@ def _pair_rows(kind, a, b, n, pos):
                                       ["kind", "a", "b", "n", "pos"])
 
 
-def _rest_batches(batches, percent):
-    """Candidates of different groups within each list (token, doc_id, n, pos, component)."""
-    for rows in Runs(batches):
-        heads = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
-        for run in np.split(rows, heads[1:]):
-            _, doc, n, pos, group = run.T
-            if (group == group[0]).all():
-                continue
-            # blocks of one size: the first that is too large ends the search
-            ends = np.searchsorted(n, 100 * n // percent, side="right")
-            for i in range(len(run) - 1):
-                y = np.arange(i + 1, ends[i])
-                y = y[group[y] != group[i]]
-                y = y[_can_reach(n[i], pos[i], n[y], pos[y], percent)]
-                if len(y):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(doc[y], doc[i])), pa.array(np.maximum(doc[y], doc[i]))], ["a", "b"])
-
-
-def _whole_sets_batches(batches, size):
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections; tokens of one set alone are left out of the product."""
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[number] > 1
+    of, number = of[shared], number[shared]
+    _, number = np.unique(number, return_inverse=True)
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(number.max(initial=-1)) + 1, MATRIX_TOKENS):
+        part = (number >= low) & (number < low + MATRIX_TOKENS)
+        x = np.zeros((len(sets), MATRIX_TOKENS), np.float32)
+        x[of[part], number[part] - low] = 1
+        out += x @ x.T  # counts below 2**24 are exact
+    return out.astype(np.int64)
+
+
+def _compare_blocks(table: pa.Table, percent: int) -> pa.Table:
+    """Of two blocks of a family: each set that links beyond its group, with the least node it reaches."""
+    node, group = table["node"].to_numpy(), table["component"].to_numpy()
+    sets = [x.values.to_numpy() for x in table["tokens"]]
+    n = np.array([len(x) for x in sets])
+    both = _overlaps(sets)
+    linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (group[:, None] != group[None, :])
+    reach = node.copy()
+    while True:
+        step = np.minimum(reach, np.where(linked, reach[None, :], np.iinfo(np.int64).max).min(1))
+        if (step == reach).all():
+            break
+        reach = step
+    at = np.flatnonzero(reach != node)
+    return pa.table({"a": pa.array(node[at], pa.int64()), "b": pa.array(reach[at], pa.int64())})
+
+
+def _whole_sets_batches(batches, size, bloom):
+    """The sets of texts whose node may be wanted."""
     for batch in small_batches(batches):
-        sets = [shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
-        ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], ["id", "tokens"])
+        sets = [s for s in (shingles(t, size) for t in batch.column(0).to_pylist()) if len(s)]
+        nodes = np.array([node_of(s) for s in sets], np.int64)
+        may = np.flatnonzero(bloom.value.may_hold(nodes)).tolist() if len(nodes) else []
+        ends = pa.array(np.cumsum([0, *(len(sets[i]) for i in may)]), pa.int32())
+        flat = np.concatenate([sets[i] for i in may]).view(np.int64) if may else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[may]), pa.ListArray.from_arrays(ends, pa.array(flat))], ["id", "tokens"])
 
 
 def _verify_batches(batches, percent):
@@ -205,61 +278,86 @@ def _verify_batches(batches, percent):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
 
+def _sets_of(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """id and tokens of the wanted nodes; the sets of other texts are not moved."""
+    bloom = texts.sparkSession.sparkContext.broadcast(key_filter(ids))  # 8 MB at most
+    sets = map_arrow(texts, functools.partial(_whole_sets_batches, size=size, bloom=bloom), "id bigint, tokens array<bigint>")
+    return stored(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The candidate pairs that link, by their whole sets, which only candidates' texts yield."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = texts.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    sets = stored(map_arrow(needed, functools.partial(_whole_sets_batches, size=size), "id bigint, tokens array<bigint>"), "sets")
+    """The candidate pairs that link, by their whole sets."""
+    sets = _sets_of(stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"), texts, size)
     one = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left"))
     two = sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
-    return map_arrow(both, functools.partial(_verify_batches, percent=percent), "a bigint, b bigint")
+    return stored(map_arrow(both, functools.partial(_verify_batches, percent=percent), "a bigint, b bigint"), "links")
+
+
+def _family_links(lists: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between groups (a, b) within the families that lists (token, node, component) make."""
+    low = lists.groupBy("token").agg(F.min("node").alias("b"))
+    families = components(lists.join(low, "token").select(F.col("node").alias("a"), "b")).toDF("node", "family")
+    members = stored(families.join(lists.select("node", "component").distinct(), "node"), "families")
+    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    sets = _sets_of(members.select(F.col("node").alias("id")), texts, size).withColumnRenamed("id", "node")
+    own = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
+    dealt = (members.join(blocks, "family").join(sets, "node").withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+             .select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "component", "tokens"))
+
+    def compare(pair: pa.Table) -> pa.Table:
+        return _compare_blocks(pair, percent)
+
+    return stored(dealt.groupBy("family", "p", "q").applyInArrow(compare, "a bigint, b bigint"), "links")
+
+
+def _still_apart(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Lists (token, node) with the group of each entry, without those of one group."""
+    groups = components(links).withColumnRenamed("id", "node")
+    grouped = lists.join(groups, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+    grouped = stored(grouped, "grouped")
+    apart = (grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+             .filter("low < high").select("token"))
+    return stored(grouped.join(apart, "token", "left_semi"), "apart")
 
 
 def link_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_column: str = "doc_id",
                 text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    rows = stored(map_arrow(texts, functools.partial(_sets_batches, size=size, cells=CELLS), SETS), "sets")
-    cells = (rows.filter("doc_id is null and set_2 is null").groupBy("set_1")
-             .agg(F.sum("n_shingles").alias("n")).collect())  # at most CELLS rows, whatever the input
-    counts = np.zeros(CELLS, np.int64)
-    for r in cells:
-        counts[r.set_1] = r.n
-    shared = spark.sparkContext.broadcast(counts)
-    counted = rows.filter("set_2 is not null")
+    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    counted = stored(map_arrow(rows, functools.partial(_sets_batches, size=size), SETS), "sets")
     known = counted.filter("doc_id is not null and n_shingles > 0")
-
-    prefixes = map_arrow(texts.filter("doc_id is not null and text is not null"),
-                         functools.partial(_prefix_batches, size=size, percent=percent, shared=shared),
-                         "doc_id bigint, n int, set_1 bigint, set_2 bigint, tokens array<bigint>")
-    classes = known.groupBy("set_1", "set_2").agg(F.min("doc_id").alias("doc_id"))
-    first = prefixes.join(classes, ["set_1", "set_2", "doc_id"], "left_semi").dropDuplicates(["set_1", "set_2"])
-    entries = first.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "doc_id", "n", "pos")
-    lists = entries.repartition("token").sortWithinPartitions("token", "n", "pos", "doc_id")
+    classes = stored(known.groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("n_counted").alias("n_counted")), "classes")
+
+    texts = rows.filter("doc_id is not null and text is not null").select("text")
+    tokens = map_arrow(texts, functools.partial(_token_batches, size=size, percent=percent), "token bigint, node bigint")
+    shared = stored(map_arrow(tokens.repartition("token").sortWithinPartitions("token", "node"), _shared_batches,
+                              "token bigint, node bigint, often int"), "tokens")
+    by_node = shared.groupBy("node").agg(F.collect_list(F.struct("token", "often")).alias("lists"))  # within one set
+    joined = classes.join(by_node, "node").select("node", "n", "n_counted", "lists")
+    entries = map_arrow(joined, functools.partial(_prefix_batches, percent=percent), "token bigint, node bigint, n int, pos int")
+    lists = entries.repartition("token").sortWithinPartitions("token", "pos", "n", "node")
     seen = stored(map_arrow(lists, functools.partial(_first_batches, percent=percent, long_list=LONG_LIST),
                             "kind int, a bigint, b bigint, n int, pos int"), "lists")
-    pairs = seen.filter("kind = 0").select("a", "b").distinct()
-    links = stored(_verified(pairs, texts, size, percent), "links")
+    pairs = stored(seen.filter("kind = 0").select("a", "b").distinct(), "pairs")
+    links = _verified(pairs, texts, size, percent)
 
-    again = seen.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("doc_id"), "n", "pos")
+    again = seen.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"))
     if not again.isEmpty():
-        known_groups = components(links).withColumnRenamed("id", "doc_id")
-        grouped = stored(again.join(known_groups, "doc_id", "left").select(
-            "token", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("component")), "lists")
-        apart = (grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                 .filter("low < high").select("token"))
-        rest = (grouped.join(apart, "token").select("token", "doc_id", "n", "pos", "component")
-                .repartition("token").sortWithinPartitions("token", "n", "pos", "doc_id"))
-        more = stored(map_arrow(rest, functools.partial(_rest_batches, percent=percent), "a bigint, b bigint")
-                      .distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            links = links.union(_verified(more, texts, size, percent))
-    same = known.join(classes.withColumnRenamed("doc_id", "low"), ["set_1", "set_2"])
-    groups = components(links.union(same.filter("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))))
-    return (counted.join(groups, counted.doc_id == groups.id, "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+        apart = _still_apart(again, links)
+        if not apart.isEmpty():
+            links = links.union(_family_links(apart, texts, size, percent))
+    one = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").drop("z")
+    same_id = known.join(one, "doc_id").select("a", F.col("node").alias("b"))
+    groups = components(links.union(same_id))
+    named = classes.join(groups, classes.node == groups.id, "left").select("node", "doc_id", F.coalesce("component", "node").alias("group"))
+    least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    found = named.join(least, "group").select(F.col("node").alias("id"), "component_id")
+    linked = (F.col("doc_id").isNotNull()) & (F.col("n_shingles") > 0)
+    return (counted.join(found, (counted.node == found.id) & linked, "left")
+            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def keep_first(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_column: str = "doc_id",
