@@ -5,15 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..queries.registry import Builder, Query
-from . import decontaminate, jaccard, licences, mainhtml, pieces, quality, secretscan, substrings, tokenfile, vectors
+from ..queries.registry import Builder, Query, prepared
+from . import decontaminate, jaccard, licences, mainhtml, oracle_sql, pieces, quality, secretscan, substrings, tokenfile, vectors
 
 QUERIES: dict[str, Query] = {}
 
 
 def query(name: str, sql: str | None = None):
     def register(build: Builder) -> Builder:
-        QUERIES[name] = Query(build, sql)
+        QUERIES[name] = Query(prepared(build), sql)
         return build
 
     return register
@@ -23,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
-@query("op4_decontaminate")
+@query("op4_decontaminate", oracle_sql.DECONTAMINATE)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_passages(
         table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"),
@@ -50,13 +50,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
                                  public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op7_repeated_passages")
+@query("op7_repeated_passages", oracle_sql.REPEATED_PASSAGES)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     cut = substrings.remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-@query("op3_jaccard_join")
+@query("op3_jaccard_join", oracle_sql.JACCARD)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_groups(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -70,7 +70,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-@query("op1_embedding_neardup")
+@query("op1_embedding_neardup", oracle_sql.EMBEDDING_NEARDUP)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings", "vec_id", "embedding"))
 

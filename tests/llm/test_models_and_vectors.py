@@ -7,10 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
 from grainsift.llm import licences, mainhtml, quality, secretscan, vectors
 
-BIG = "/root/testdata/sf0.1"
+SF, BIG = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
 
 def test_quality_on_held_out_rows(spark):
