@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_arrow, small_batches
+from .common import few_hashes, map_arrow, small_batches
 
 MAX_LABELLED, MAX_LABELLED_CHARS = 400, 100_000
 
@@ -238,9 +238,11 @@ def layouts() -> list[str]:
 def train(pages: DataFrame, html_column: str = "html", id_column: str = "page_id", limit: int = MAX_LABELLED) -> dict[str, float]:
     """Weights from pages that mark their article, at most ``limit`` of bounded length, and the layouts."""
     source = F.col(html_column).cast("string")
-    marked = (pages.filter(source.rlike("(?i)<(article|main)[ >]") & (F.length(source) <= MAX_LABELLED_CHARS))
-              .select(F.xxhash64(F.col(id_column)).alias("h"), source.alias("s")).orderBy("h", "s").limit(limit))
-    return fit_weights([read_page(s) for s in [*layouts(), *(r.s for r in marked.collect())]])
+    marked = pages.filter(source.rlike("(?i)<(article|main)[ >]") & (F.length(source) <= MAX_LABELLED_CHARS))
+    few = F.broadcast(few_hashes(marked, id_column, limit))  # ``limit`` rows at most
+    some = (marked.select(F.xxhash64(id_column).alias("h"), source.alias("s")).join(few, "h")
+            .groupBy("h").agg(F.min("s").alias("s")).orderBy("h").collect())
+    return fit_weights([read_page(s) for s in [*layouts(), *(r.s for r in some)]])
 
 
 def _text_batches(batches, weights):

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import free_name, map_arrow, small_batches
+from .common import few_hashes, free_name, map_arrow, small_batches
 from .fingerprints import mixed
 
 BITS = 18
@@ -164,9 +164,10 @@ def _feature_batches(batches):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column: str = "doc_id", text_column: str = "text",
           limit: int = MAX_LABELLED) -> Model:
     """Fit on at most ``limit`` labelled documents; labels: the id column and ``label``."""
-    some = (labels.filter(F.col(label).isNotNull() & F.col(id_column).isNotNull())
-            .select(F.col(id_column).cast("bigint").alias("id"), F.col(label).cast("int").alias("label"))
-            .orderBy(F.xxhash64("id"), "id", "label").limit(limit))
+    given = (labels.filter(F.col(label).isNotNull() & F.col(id_column).isNotNull())
+             .select(F.col(id_column).cast("bigint").alias("id"), F.col(label).cast("int").alias("label")).distinct())
+    few = F.broadcast(few_hashes(given, "id", limit))  # ``limit`` rows at most
+    some = given.join(few, F.xxhash64("id") == F.col("h")).select("id", "label").orderBy(F.xxhash64("id"), "label").limit(limit)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     known = rows.join(F.broadcast(some), "id").select("id", "label", "text")  # at most ``limit`` rows are broadcast
     found = map_arrow(known, _feature_batches, "id bigint, label int, mark bigint, found array<int>")

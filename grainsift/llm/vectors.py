@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_arrow, ship, small_batches, stored
+from .common import few_hashes, map_arrow, ship, small_batches, stored
 from .components import components
 
 LEAST = 0.9
@@ -173,7 +173,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, cell_size: int = C
     if not n:
         return every.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"),
                             F.lit(True).alias("kept"))
-    sample = classes.select("node", "unit").orderBy("node").limit(MAX_SAMPLE)  # nodes are hashes: any vectors
+    few = F.broadcast(few_hashes(classes, "node", MAX_SAMPLE))  # MAX_SAMPLE rows at most
+    sample = classes.select(F.xxhash64("node").alias("h"), "unit").join(few, "h").orderBy("h")
     x = matrix([r.unit for r in sample.collect()], dim)
     centres = spherical_k_means(x, max(1, min(n // cell_size, len(x) // 4, MAX_CELLS)), ROUNDS)
     shared = spark.sparkContext.broadcast(centres)  # MAX_CELLS vectors at most
