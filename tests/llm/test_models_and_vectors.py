@@ -73,7 +73,7 @@ def plain_family(paragraph, model):
     best = int(logits.argmax())
     if model.families[best] == licences.UNKNOWN or 1 / np.exp(logits - logits.max()).sum() < licences.PROBABILITY:
         return None
-    triples = licences.n_grams(words, 3)
+    triples = licences.n_grams(words, 3) | licences.n_grams(words, 2)
     fits = any(len(triples & set(t)) >= licences.CONTAINMENT * len(t) for t in model.triples[model.families[best]])
     return model.families[best] if fits else None
 
