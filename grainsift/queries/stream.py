@@ -16,8 +16,10 @@ from .registry import query
 def _events(spark, folder):
     """Zone-less times become instants in the session zone and are cut into days there."""
     if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
-        spark = spark.newSession()  # the caller's own zone stays as it is
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        own, partitions = spark.newSession(), spark.conf.get("spark.sql.shuffle.partitions")
+        own.conf.set("spark.sql.session.timeZone", "UTC")  # the caller's own zone stays as it is
+        own.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark = own
     return table_stream(spark, folder, "events")
 
 
