@@ -5,7 +5,7 @@ templates. A multinomial logistic regression, fitted here to variants of the tem
 to a bounded sample of other paragraphs, gives each licence family and the class "unknown" a
 probability; a temperature, fitted to variants that were held back, calibrates them. A family
 counts if it is likely enough and the paragraph holds enough of the word triples of one of
-its templates.
+its templates (of a template of two words, the pair).
 
 Scoring is made of DataFrame functions alone and needs no shuffle. Most paragraphs are ruled
 out by a few words: for every template, key words are chosen such that a paragraph without
@@ -26,6 +26,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import few_hashes
+
 UNKNOWN = "unknown"
 CONTAINMENT, PROBABILITY = 0.6, 0.5
 MAX_OTHERS, MAX_OTHER_CHARS, VARIANTS, SEED = 1_500, 20_000, 40, 3
@@ -65,6 +67,10 @@ TEMPLATES = {
                     "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."),
 }
 
+# Words that are no use as key words, since other texts are full of them.
+COMMON = {"a", "all", "and", "any", "are", "as", "at", "be", "by", "conditions", "either", "following", "for", "general", "in", "is", "it",
+          "may", "mit", "not", "of", "on", "or", "purpose", "subject", "that", "the", "this", "to", "under", "use", "with", "without", "you"}
+
 SEPARATORS = "[^a-z0-9.+\\-]+|[.]+(?=[^a-z0-9]|$)"
 
 
@@ -92,13 +98,13 @@ def key_words(templates: dict[str, list[list[str]]]) -> list[str]:
     chosen: set[str] = set()
     for triples in (t for of_family in templates.values() for t in of_family):
         left = set(triples)
-        for w in sorted({w for t in triples for w in t.split()}, key=lambda w: (w not in chosen, -len(w), w)):
+        for w in sorted({w for t in triples for w in t.split()}, key=lambda w: (w in COMMON, w not in chosen, -len(w), w)):
             if len(left) < CONTAINMENT * len(triples):
                 break
             if any(w in t.split() for t in left):
                 chosen.add(w)
                 left = {t for t in left if w not in t.split()}
-    return sorted(w for w in chosen if not any(v != w and v in w for v in chosen))
+    return sorted(chosen)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -110,11 +116,11 @@ def fit(others: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES, ro
     """Fit to variants of the templates and to other paragraphs."""
     rng = random.Random(seed)
     families = [*templates, UNKNOWN]
-    triples = {f: [sorted(n_grams(words_of(t), 3)) for t in ts] for f, ts in templates.items()}
+    triples = {f: [sorted(n_grams(words_of(t), min(3, len(words_of(t))))) for t in ts] for f, ts in templates.items()}
     vocabulary = sorted({g for ts in templates.values() for t in ts for n in (1, 2) for g in n_grams(words_of(t), n)})
     number = {g: i for i, g in enumerate(vocabulary)}
     every = {g for ts in triples.values() for t in ts for g in t}
-    others = [o for o in others if len(n_grams(words_of(o), 3) & every) == 0]
+    others = [o for o in others if not (n_grams(words_of(o), 3) | n_grams(words_of(o), 2)) & every]
     plain = [w for o in others[:200] for w in words_of(o)[:5]] or ["some", "other", "words"]
     samples: list[tuple[list[str], int]] = []
     for k, ts in enumerate(templates.values()):
@@ -152,8 +158,10 @@ def fit(others: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES, ro
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", limit: int = MAX_OTHERS) -> Model:
     """Fit with the paragraphs of at most ``limit`` documents of bounded length as the unknown class."""
     text = F.col(text_column).cast("string")
-    some = (docs.filter(F.length(text) <= MAX_OTHER_CHARS).select(F.xxhash64(id_column).alias("h"), text.alias("t"))
-            .orderBy("h", "t").limit(limit).collect())
+    short = docs.filter(F.length(text) <= MAX_OTHER_CHARS)
+    few = F.broadcast(few_hashes(short, id_column, limit))  # ``limit`` rows at most
+    some = (short.select(F.xxhash64(id_column).alias("h"), text.alias("t")).join(few, "h")
+            .groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect())
     rng = random.Random(SEED)
     lines = [rng.choice([x for x in r.t.split("\n") if x.strip()] or ["empty"]) for r in some]
     return fit([x[:2000] for x in lines])
@@ -180,7 +188,7 @@ def paragraph_family(words: Column, model: Model) -> Column:
     seen = F.array_intersect(F.concat(words, _grams(words, 2)), _constant(sorted(model.weights), "array<string>"))
     logits = F.aggregate(seen, _constant(model.bias, "array<double>"),
                          lambda total, g: F.zip_with(total, F.element_at(weights, g), lambda a, b: a + b))
-    scored = F.struct(logits.alias("logits"), _grams(words, 3).alias("triples"))
+    scored = F.struct(logits.alias("logits"), F.concat(_grams(words, 3), _grams(words, 2)).alias("triples"))
 
     def judge(s: Column) -> Column:
         top = F.array_max(s["logits"])
@@ -199,20 +207,17 @@ def paragraph_family(words: Column, model: Model) -> Column:
 def scan(docs: DataFrame, model: Model, column: str = "licences", text_column: str = "text") -> DataFrame:
     """The documents with an array of struct(line, family, probability); ``column`` must clash with none of theirs."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    keys = "(?i)\\b(?:" + "|".join(re.escape(k) for k in model.keys) + ")\\b"
 
     def may_hold(c: Column) -> Column:
-        checks = [F.contains(c, F.lit(k)) for k in model.keys]
-        out = checks[0]
-        for check in checks[1:]:
-            out = out | check
-        return out
+        return c.rlike(keys)
 
     lines = F.transform(F.split(text, "\n"), lambda p, i: F.struct(i.alias("line"), p.alias("p")))
-    likely = F.filter(lines, lambda s: may_hold(low(s["p"])))
+    likely = F.filter(lines, lambda s: may_hold(s["p"]))
     judged = F.transform(likely, lambda s: F.struct(
         s["line"].alias("line"), paragraph_family(_words(s["p"]), model).alias("found")))
     found = F.transform(F.filter(judged, lambda s: s["found"].isNotNull()), lambda s: F.struct(
         s["line"].alias("line"), s["found"]["family"].alias("family"), s["found"]["probability"].alias("probability")))
-    return docs.withColumn(column, F.when(may_hold(low(text)), found).otherwise(F.array().cast(
+    return docs.withColumn(column, F.when(may_hold(text), found).otherwise(F.array().cast(
         "array<struct<line:int,family:string,probability:double>>")))
