@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline as P
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 
