@@ -23,41 +23,59 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import map_arrow, work_dir
+from .common import map_arrow, small_batches, work_dir
 
 END_ID = 1
 KEPT_WORDS, KEPT_LENGTH = 400_000, 64
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 SHARD_BYTES = 64 << 20
+MARKS = ".,;:!?*#&$%"
 
 SCHEMA = "doc_id bigint, n_tokens bigint, token_ids array<int>"
 CHECKED = "shard int, place bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint"
 ODD_SPACES = re.compile("[\x1c-\x1f]")  # white space in Python, not in the tokenizer's pattern
 
 
-class Words(dict):
+class Words:
     """Packed ids of words: the last ones used and, when these are many, those before."""
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.before = tokenizer, {}
+        self.tokenizer, self.now, self.before = tokenizer, {}, {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [t.split() for t in texts]
+        self.learn(set().union(*parts).difference(self.now))
+        packed = [b"".join(map(self.now.__getitem__, p)) for p in parts]
+        if len(self.now) > KEPT_WORDS:
+            self.now, self.before = {}, self.now
+        return packed
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words that are not known yet, all in one call."""
-        new = []
+        """Encode what is not known yet, all in one call.
+
+        Marks behind a letter or digit are tokens of their own, and A to Z are lower-cased by
+        the tokenizer, so many words share their ids with a plainer one.
+        """
+        parts, new = {}, set()
         for w in words:
             packed = self.before.get(w)
-            if packed is None:
-                new.append(w)
-            else:
-                self[w] = packed
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-    def shrink(self) -> None:
-        if len(self) > KEPT_WORDS:
-            self.before = {w: p for w, p in self.items() if len(w) <= KEPT_LENGTH}
-            self.clear()
+            if packed is not None:
+                self.now[w] = packed
+                continue
+            head = w.rstrip(MARKS)
+            if not head or not head[-1].lower()[-1].isalnum():
+                head = w
+            tail = w[len(head):]
+            if head.isascii() and "|" not in head:
+                head = head.lower()
+            parts[w] = (head, tail)
+            new.update(x for x in (head, tail) if x and x not in self.now and x not in self.before)
+        new = list(new)
+        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        roots = {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(new, encoded)}
+        known = lambda w: roots.get(w) or self.now.get(w) or self.before.get(w, b"")
+        self.now.update({w: known(head) + known(tail) for w, (head, tail) in parts.items()})
+        self.now.update((w, ids) for w, ids in roots.items() if len(w) <= KEPT_LENGTH)
 
 
 _WORDS: dict[int, Words] = {}
@@ -79,18 +97,14 @@ def _encode_batches(batches, shared, end_id):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     spec, by_word = shared.value
     words, end = _words(spec), struct.pack("<I", end_id)
-    for batch in batches:
+    for batch in small_batches(batches, 500):
+        texts = [t or "" for t in batch.column(1).to_pylist()]
         packed = []
-        for text in batch.column(1).to_pylist():
-            text = text or ""
-            if not by_word or ODD_SPACES.search(text):
-                ids = words.tokenizer.encode(text, add_special_tokens=False).ids
-                packed.append(struct.pack(f"<{len(ids)}I", *ids) + end)
-                continue
-            parts = text.split()
-            words.learn({p for p in parts if p not in words})
-            packed.append(b"".join(map(words.__getitem__, parts)) + end)
-            words.shrink()
+        if by_word and not ODD_SPACES.search("".join(texts)):
+            packed = [p + end for p in words.encode(texts)]
+        else:
+            for e in words.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                packed.append(struct.pack(f"<{len(e.ids)}I", *e.ids) + end)
         counts = [len(p) // 4 for p in packed]
         offsets = [0]
         for n in counts:
