@@ -2,18 +2,19 @@
 
 1. Equal vectors are one class with a size; a class is compared once.
 2. Centres are fitted by spherical k-means on at most ``MAX_SAMPLE`` vectors, one centre for
-   about ``CELL_SIZE`` vectors and ``MAX_CELLS`` at most. Every vector gets a home, the cell
-   of its nearest centre, and visits the cells of its next ``VISITS`` centres.
-3. Vectors close enough to their centre that any two of them must link (by the triangle
-   inequality of angles) form the core of a cell. They are counted, not compared.
-4. All other pairs of a cell are compared: visitors and the vectors beyond the core with all
-   that are at home. Both sides are cut into blocks of bounded size, and each pair of blocks
-   is a matrix product of its own, so a hot cell is spread over many tasks. A product yields
-   one row for each vector, its number of links and the least id of its group, never pairs.
+   about ``CELL_SIZE`` vectors and ``MAX_CELLS`` at most. Every vector belongs to the cell of
+   its nearest centre, in its core (within half the angle of ``least``) or beyond.
+3. Cores and the rest of cells are parts with a radius. By the triangle inequality of angles a
+   pair of parts is too far apart for any link, so close that all must link, or neither.
+   Vectors of the second kind are counted, not compared.
+4. All pairs of the third kind are compared. Parts are packed into blocks of bounded size, a
+   hot part is cut into several, and each pair of blocks with such a pair of parts is a task's
+   matrix products, tile by tile. It yields one row for each vector, its number of links and
+   the least id of its group, never pairs.
 5. Components of these groups give the smallest id that links reach.
 
-Every pair found has a cosine of at least ``least``, in double precision. A pair whose homes
-lie apart by more than the visits reach is missed; tests hold the recall against brute force.
+Every pair with a cosine of at least ``least``, in double precision, is found, and no other.
+Where vectors are spread so evenly that no parts can be ruled out, all blocks are compared.
 
 Vectors that are null, empty, zero or hold null or non-finite values link with nothing and
 stay; shorter vectors count as padded with zeros. A null id links with nothing. Rows that
@@ -34,11 +35,11 @@ from .components import components
 
 LEAST = 0.9
 CELL_SIZE, MAX_CELLS, MAX_SAMPLE = 256, 4096, 32_768
-VISITS, BLOCK, ROUNDS = 4, 2048, 8
+VISITS, BLOCK, TILE, ROUNDS = 4, 8192, 1024, 8
+BLOCK_CELLS, BLOCKS, SLACK = 1 << 22, 8, 1e-6  # numbers in a block, blocks of a small table, rounding of angles
 
 UNIT = "vec_id bigint, node bigint, unit binary"
-PLACED = "cell int, role int, node bigint, id bigint, size bigint, home int, visits array<int>, unit binary"
-HOME_CORE, HOME_LOOSE, VISITOR = 0, 1, 2
+PLACED = "part int, angle double, node bigint, id bigint, size bigint, unit binary"
 
 
 def _unit_batches(batches, dim):
@@ -95,22 +96,52 @@ def nearest(x: np.ndarray, centres: np.ndarray, n: int, block: int = 2048) -> tu
     return at, value
 
 
-def _place_batches(batches, shared, visits, least):
-    """Each class at home and as a visitor."""
+def _place_batches(batches, shared, least):
+    """Each class in its part (twice the cell, plus one beyond the core), with the angle to the centre."""
     centres = shared.value
-    core = math.sqrt((1 + least) / 2) + 1e-9  # the cosine of half the angle
     for batch in small_batches(batches):
-        at, cos = nearest(matrix(batch.column(3).to_pylist(), centres.shape[1]), centres, visits + 1)
-        rows = np.arange(len(at))
-        cell = np.concatenate([at[:, j] for j in range(at.shape[1])])
-        role = np.concatenate([np.where(cos[:, 0] >= core, HOME_CORE, HOME_LOOSE), np.full(len(cell) - len(at), VISITOR)])
-        take = pa.array(np.tile(rows, at.shape[1]))
-        others = pa.array(at[:, 1:].tolist(), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cell.astype(np.int32)), pa.array(role.astype(np.int32)), batch.column(0).take(take),
-             batch.column(1).take(take), batch.column(2).take(take), pa.array(at[:, 0].astype(np.int32)).take(take),
-             others.take(take), batch.column(3).take(take)],
-            ["cell", "role", "node", "id", "size", "home", "visits", "unit"])
+        at, cos = nearest(matrix(batch.column(3).to_pylist(), centres.shape[1]), centres, 1)
+        angle = np.arccos(np.clip(cos[:, 0], -1, 1))
+        part = 2 * at[:, 0] + (angle > math.acos(least) / 2 - SLACK)
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(angle), *batch.columns],
+                                         ["part", "angle", "node", "id", "size", "unit"])
+
+
+def part_pairs(centres: np.ndarray, radius: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of parts must be compared, and in which of them every vector links with every other."""
+    far = math.acos(least)
+    compare, whole = np.zeros((len(centres), len(centres)), bool), np.zeros((len(centres), len(centres)), bool)
+    for k in range(0, len(centres), 256):
+        between = np.arccos(np.clip(centres[k:k + 256] @ centres.T, -1, 1))
+        reach = radius[k:k + 256, None] + radius[None, :]
+        whole[k:k + 256] = between + reach <= far - SLACK
+        compare[k:k + 256] = (between - reach <= far + SLACK) & ~whole[k:k + 256]
+    own = np.arange(len(centres))  # no distance at all, whatever the rounding
+    whole[own, own] = 2 * radius <= far - SLACK
+    compare[own, own] = ~whole[own, own]
+    return compare | compare.T, whole & whole.T & ~(compare | compare.T)
+
+
+def _least_labels(linked: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The least label of the parts that links (a square matrix) reach."""
+    while True:
+        new = np.array([labels[row].min(initial=own) for row, own in zip(linked, labels)])
+        if (new == labels).all():
+            return labels
+        labels = new
+
+
+def pack(counts: list[int], block: int) -> tuple[list[int], list[int]]:
+    """The first block of each part, and over how many blocks of its own it is spread (1: shared)."""
+    first, spread, at, full = [], [], -1, block
+    for n in counts:
+        pieces = -(-n // block)
+        if pieces > 1 or full + n > block:
+            at, full = at + 1, 0
+        first.append(at)
+        spread.append(pieces)
+        at, full = at + pieces - 1, block if pieces > 1 else full + n
+    return first, spread
 
 
 def _groups(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,43 +156,63 @@ def _groups(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np
         left, right = new_left, new_right
 
 
-def _product(table: pa.Table, dim: int, least: float) -> pa.Table:
-    """One pair of blocks: rows that ask (side 1) against rows at home (side 0)."""
-    asks = np.array(table["side"].to_numpy() == 1)
-    column = lambda name, of: table[name].to_numpy()[of]
-    home_at, ask_at = np.flatnonzero(~asks), np.flatnonzero(asks)
-    out = {"node": [], "id": [], "least_id": [], "links": []}
-    if len(home_at) and len(ask_at):
-        units = table["unit"].combine_chunks()
-        x = matrix(units.take(pa.array(ask_at)).to_pylist(), dim)
-        y = matrix(units.take(pa.array(home_at)).to_pylist(), dim)
-        linked = x @ y.T >= least
-        linked &= column("node", ask_at)[:, None] != column("node", home_at)[None, :]
-        visiting = column("role", ask_at) == VISITOR
-        if visiting.any():  # a pair that meets in two cells counts in the smaller one
-            visits = table["visits"].combine_chunks()
-            home_visits = np.array(visits.take(pa.array(home_at)).to_pylist()).reshape(len(home_at), -1)
-            home, cell = column("home", ask_at), column("cell", ask_at)
-            back = (home_visits[None, :, :] == home[:, None, None]).any(2) if home_visits.size else np.zeros_like(linked)
-            linked &= ~(visiting[:, None] & back & (home < cell)[:, None])
-        a, b = np.nonzero(linked)
-        size_x, size_y = column("size", ask_at), column("size", home_at)
-        # a vector at home beyond the core asks itself; others at home only answer
-        both = visiting[a] | (column("role", home_at)[b] == HOME_CORE)
-        links_x = np.bincount(a, size_y[b], len(ask_at))
-        links_y = np.bincount(b[both], size_x[a[both]], len(home_at))
-        group_x, group_y = _groups(linked, column("id", ask_at), column("id", home_at))
-        for at, links, group, used in ((ask_at, links_x, group_x, linked.any(1)), (home_at, links_y, group_y, linked.any(0))):
-            out["node"].append(column("node", at)[used])
-            out["id"].append(column("id", at)[used])
-            out["least_id"].append(group[used])
-            out["links"].append(links[used].astype(np.int64))
-    return pa.table({k: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for k, v in out.items()})
+def _joined(n: int, edges: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray) -> np.ndarray:
+    """The least id that edges (of row numbers) reach from each row."""
+    a, b = (np.concatenate(x) for x in zip(*edges))
+    least = ids.copy()
+    while True:
+        new = least.copy()
+        np.minimum.at(new, a, least[b])
+        np.minimum.at(new, b, least[a])
+        if (new == least).all():
+            return least
+        least = new
+
+
+def _product(table: pa.Table, shared, dim: int, least: float) -> pa.Table:
+    """One pair of blocks (side 0 and 1), or the pairs inside one block (side 0 alone)."""
+    compare, whole, number = shared.value
+    table = table.sort_by([("side", "ascending"), ("part", "ascending"), ("node", "ascending")])
+    side, part = table["side"].to_numpy(), number[table["part"].to_numpy()]
+    ids, size = table["id"].to_numpy(), table["size"].to_numpy().astype(np.float64)
+    x = matrix(table["unit"].to_pylist(), dim)
+    links, edges = np.zeros(len(x)), []
+    half = int((side == 0).sum())
+    tiles = [(k, min(k + TILE, end)) for start, end in ((0, half), (half, len(x))) for k in range(start, end, TILE)]
+    inside = half == len(x) and table["p"][0].as_py() == table["q"][0].as_py() if len(x) else False
+    for a, b in tiles:
+        for c, d in tiles:
+            if (c < a) if inside else (a >= half or c < half):
+                continue
+            few_a, few_b = np.unique(part[a:b]), np.unique(part[c:d])
+            if not compare[np.ix_(few_a, few_b)].any():
+                continue
+            linked = x[a:b] @ x[c:d].T >= least
+            if whole[np.ix_(few_a, few_b)].any():  # counted already
+                linked &= compare[np.ix_(part[a:b], part[c:d])]
+            if a == c:
+                linked = np.triu(linked, 1)
+            left, right = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+            if not len(left):
+                continue
+            linked = linked[np.ix_(left, right)]
+            as_number = linked.astype(np.float64)
+            links[a + left] += as_number @ size[c + right]
+            links[c + right] += size[a + left] @ as_number
+            low_a, low_b = _groups(linked, a + left, c + right)  # the same vector may be on both sides of a tile
+            edges += [(a + left, low_a), (c + right, low_b)]
+    used = links > 0
+    group = _joined(len(x), edges, ids) if edges else ids
+    return pa.table({"node": table["node"].to_numpy()[used], "id": ids[used], "least_id": group[used],
+                     "links": links[used].astype(np.int64)})
 
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST, cell_size: int = CELL_SIZE, visits: int = VISITS,
                     block: int = BLOCK, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id and kept (it is the smallest of its component), one row per vector."""
+    """vec_id, n_links, component_id and kept (it is the smallest of its component), one row per vector.
+
+    ``visits`` is kept for callers; every cell that can hold a link is compared.
+    """
     spark = ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_column).cast("bigint").alias("vec_id"), F.col(vector_column).alias("embedding"))
     dim = max(1, rows.agg(F.max(F.size("embedding"))).first()[0] or 1)
@@ -179,32 +230,49 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, cell_size: int = C
     centres = spherical_k_means(x, max(1, min(n // cell_size, len(x) // 4, MAX_CELLS)), ROUNDS)
     shared = spark.sparkContext.broadcast(centres)  # MAX_CELLS vectors at most
     placed = stored(map_arrow(classes.select("node", "id", "size", "unit"), functools.partial(
-        _place_batches, shared=shared, visits=visits, least=least), PLACED), "cells")
-
-    cells = placed.groupBy("cell").agg(
-        F.sum((F.col("role") != VISITOR).cast("int")).alias("at_home"),
-        F.sum((F.col("role") != HOME_CORE).cast("int")).alias("asking"),
-        F.sum(F.when(F.col("role") == HOME_CORE, F.col("size"))).alias("core_size"),
-        F.min(F.when(F.col("role") == HOME_CORE, F.col("id"))).alias("core_id")).filter("at_home > 0")
-    cells = F.broadcast(cells.select(  # a row for each cell, MAX_CELLS at most
-        "cell", "core_size", "core_id", F.ceil(F.col("at_home") / block).cast("int").alias("n_home"),
-        F.ceil(F.col("asking") / block).cast("int").alias("n_ask")))
-    dealt = placed.join(cells, "cell")
-    pick = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
-    spread = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    asked = dealt.filter("n_ask > 0")
-    keep = ["cell", "role", "node", "id", "size", "home", "visits", "unit"]
-    home = asked.filter(F.col("role") != VISITOR).select(*keep, F.lit(0).alias("side"), pick("n_home").alias("p"), spread("n_ask").alias("q"))
-    asks = asked.filter(F.col("role") != HOME_CORE).select(*keep, F.lit(1).alias("side"), pick("n_ask").alias("q"), spread("n_home").alias("p"))
+        _place_batches, shared=shared, least=least), PLACED), "cells")
+
+    # a row for each part, twice MAX_CELLS at most; parts that lie close together share blocks
+    near = nearest(centres, spherical_k_means(centres, max(1, len(centres) // 16), ROUNDS), 1)[0][:, 0]
+    sums = placed.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("id").alias("id"),
+                                      F.max("angle").alias("radius")).collect()
+    sums = sorted(sums, key=lambda r: (r.part % 2, near[r.part // 2], r.part))
+    compare, whole = part_pairs(centres[[r.part // 2 for r in sums]], np.array([r.radius for r in sums]), least)
+    number = np.zeros(2 * len(centres), np.int64)
+    number[[r.part for r in sums]] = np.arange(len(sums))
+    block = max(1, min(block, BLOCK_CELLS // dim, -(-n // BLOCKS)))
+    first, pieces = pack([r.n for r in sums], block)
+    asked: dict[int, set[int]] = {}
+    for k in range(len(sums)):
+        for m in np.flatnonzero(compare[k]):
+            asked.setdefault(first[k], set()).add(first[m])
+    place = F.broadcast(spark.createDataFrame(
+        [(r.part, first[k], pieces[k]) for k, r in enumerate(sums)], "part int, first int, pieces int"))
+    spread_of = {f: s for f, s in zip(first, pieces)}
+    partners = F.broadcast(spark.createDataFrame(
+        [(f, [[m, spread_of[m]] for m in sorted(others)]) for f, others in asked.items()], "first int, others array<array<int>>"))
+    # each block with itself and every other one that it must be compared with
+    dealt = (placed.join(place, "part").join(partners, "first")
+             .withColumn("own", F.col("first") + F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+             .withColumn("o", F.explode("others"))
+             .withColumn("other", F.explode(F.sequence(F.col("o")[0], F.col("o")[0] + F.col("o")[1] - 1)))
+             .select("part", "node", "id", "size", "unit", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
+                     (F.col("own") > F.col("other")).cast("int").alias("side")))
+    pairs = spark.sparkContext.broadcast((compare, whole, number))
 
     def product(pair: pa.Table) -> pa.Table:
-        return _product(pair, dim, least)
+        return _product(pair, pairs, dim, least)
 
-    found = stored(home.unionByName(asks).groupBy("cell", "p", "q").applyInArrow(
+    found = stored(dealt.groupBy("p", "q").applyInArrow(
         product, "node bigint, id bigint, least_id bigint, links bigint"), "links")
 
-    core = dealt.filter(F.col("role") == HOME_CORE).select("node", "id", F.col("core_id").alias("least_id"),
-                                                           (F.col("core_size") - F.col("size")).alias("links"))
+    sizes = np.array([r.size for r in sums])
+    labels = _least_labels(whole, np.array([r.id for r in sums]))
+    counts = spark.createDataFrame(
+        [(r.part, int(labels[k]), int(sizes[whole[k]].sum()), bool(whole[k, k]))
+         for k, r in enumerate(sums) if whole[k].any()], "part int, least_id bigint, total bigint, own boolean")
+    core = placed.join(F.broadcast(counts), "part").select(
+        "node", "id", "least_id", (F.col("total") - F.when(F.col("own"), F.col("size")).otherwise(0)).alias("links"))
     parts = found.unionByName(core)
     links = parts.groupBy("node").agg(F.sum("links").alias("links"))
     twins = valid.join(classes.select("node", "id"), "node").filter("vec_id <> id").select(F.col("vec_id").alias("a"), F.col("id").alias("b"))

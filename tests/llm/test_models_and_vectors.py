@@ -196,6 +196,21 @@ def test_recall_of_vectors_in_a_table(spark):
     assert got >= 0.9 * ((x @ x.T >= 0.9).sum() - len(x))
 
 
+@pytest.mark.parametrize("noise", [0.005, 0.03])
+def test_every_link_of_a_large_group_of_near_vectors(spark, noise):
+    """Many centres fall inside one group whose vectors all link, so a pair's homes may be far from each other."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 32))
+    x[::3] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(300, 32)) * noise
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r for r in vectors.near_duplicates(table, cell_size=8, block=100).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    wanted = (x @ x.T >= 0.9).sum(1) - 1
+    assert wanted[::3].mean() > 250
+    assert [got[k].n_links for k in range(900)] == wanted.tolist()
+    assert {got[k].component_id for k in range(0, 900, 3)} == {0}
+
+
 def test_no_vectors(spark):
     table = spark.createDataFrame([(1, None), (None, None)], "vec_id bigint, embedding array<float>")
     assert vectors.near_duplicates(table).count() == 2
