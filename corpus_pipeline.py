@@ -27,8 +27,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    return jaccard.keep_first(docs)
+    """Of each group of documents linked by 80% of their five-word runs the one with the smallest id stays."""
+    return jaccard.keep_first(docs, size=5, percent=80)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

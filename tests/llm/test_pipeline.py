@@ -27,6 +27,14 @@ def test_pipeline(spark):
     assert P.run(spark, SF).count() == len(ids[-1])
 
 
+def test_near_copies_of_five_words_and_80_percent(spark):
+    words = [f"w{k}" for k in range(100)]
+    copy = words[:40] + [f"x{k}" for k in range(6)] + words[46:]  # one run changed: 86 of 106 five-word runs are shared
+    other = words[:40] + [f"y{k}" for k in range(8)] + words[48:]  # 84 of 108
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(other))], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in P.one_of_each_group(spark, docs, SF).collect()) == [1, 3]
+
+
 def test_names_of_stages_and_queries():
     import __spark_entry__ as E
 
