@@ -8,13 +8,15 @@ trained here on labelled findings: a bounded table of examples (text before, can
 behind, label), by default those of ``labelled_findings``.
 
 Null and empty texts hold no candidates. Rows are independent; repeated rows give repeated
-results. Texts are read whole. Overlapping candidates are joined before they are judged, the
-longer one speaks for both. Only id and text columns are read; others pass through.
+results. Texts are read whole. Every candidate is judged, also where some overlap; secrets that
+overlap are masked as one. A name in front of its value is context and no part of it. Only id
+and text columns are read; others pass through.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import math
 import random
@@ -33,7 +35,9 @@ THRESHOLD = 0.5
 MASK = "[secret]"
 
 RUN = re.compile(r"[A-Za-z0-9+/_\-.=]{16,}")
-ASSIGNED = re.compile(r"[:=]>?[ \t]*([\"'`]?)([^\s\"'`<>,;]{6,200})")
+ASSIGNED = re.compile(r"[:=]>?[ \t]*(?:([\"'`])([^\s\"'`]{6,})|([^\s\"'`<>,;]{6,}))")
+NEXT = re.compile(r"[&?][A-Za-z][\w.\-]{0,40}=")
+INNER = re.compile(r"[A-Za-z][\w.\-]{0,40}[:=]")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}KEY( BLOCK)?-----.*?(?:-----END [A-Z ]{0,40}KEY( BLOCK)?-----|\Z)", re.S)
 NAME = re.compile(r"([A-Za-z][\w.\-]{0,40})[\"'`\])]*\s*$")
 
@@ -53,39 +57,61 @@ PREFIXES = ("akia", "asia", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "sk_live_",
             "hf_", "ya29.")
 
 
+def _secret_name(text: str, end: int) -> bool:
+    before = NAME.search(text[max(0, end - 48):end])
+    return bool(before) and any(w in before[1].lower() for w in SECRET_WORDS)
+
+
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Values with a digit, in quotes or of a secret name; those of a&name=value each by itself."""
+    for m in ASSIGNED.finditer(text):
+        at, end = m.start(2 if m[1] else 3), m.end()
+        secret = _secret_name(text, m.start())
+        while at < end:
+            inner = None if m[1] or secret else INNER.match(text, at, end)
+            if inner and _secret_name(text, inner.end() - 1):  # name=token=value
+                at, secret = inner.end(), True
+            more = None if m[1] or secret else NEXT.search(text, at, end)
+            value = text[at:more.start() if more else end]
+            value = value.rstrip(".)]}") or value
+            if len(value) >= 6 and (m[1] or secret or any(c.isdigit() for c in value)):
+                yield at, at + len(value)
+            if not more:
+                break
+            at, secret = more.end(), _secret_name(text, more.end() - 1)
+
+
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Spans in order; of those that overlap the longest, the first if equal."""
+    """Spans in order, some may overlap; a run that is a name and its value is the value alone."""
     if not text:
         return []
-    spans = []
+    spans = set(_assigned(text))
+    starts = sorted(a for a, _ in spans)
     for m in RUN.finditer(text):
         run = m.group()
         kept = run.strip(".-=/") if not run.endswith("=") else run.lstrip(".-=/")
         if len(kept) >= 16 and (any(c.isdigit() for c in kept) or kept.lower() != kept and not kept[1:].islower() and not kept.isupper()):
             at = m.start() + run.index(kept)
-            spans.append((at, at + len(kept)))
-    for m in ASSIGNED.finditer(text):
-        value = m[2].rstrip(".)]}") or m[2]
-        if not m[1] and not any(c.isdigit() for c in value):
-            before = NAME.search(text[max(0, m.start() - 48):m.start()])
-            if not before or not any(w in before[1].lower() for w in SECRET_WORDS):
-                continue
-        spans.append((m.start(2), m.start(2) + len(value)))
+            k = bisect.bisect_right(starts, at)
+            if k < len(starts) and starts[k] < at + len(kept) and text[starts[k] - 1] == "=":
+                name = text[at:starts[k] - 1]
+                if len(name) < 16 or not any(c.isdigit() for c in name):  # the name is no candidate by itself
+                    continue
+            spans.add((at, at + len(kept)))
     if "-----BEGIN" in text:
-        spans += [m.span() for m in BLOCK.finditer(text)]
-    if len(spans) < 2:
-        return spans
-    spans.sort(key=lambda s: (s[0] - s[1], s[0]))
-    kept, covered = [], []
-    import bisect
-
-    for a, b in spans:
-        k = bisect.bisect_left(covered, (a, b))
-        if (k and covered[k - 1][1] > a) or (k < len(covered) and covered[k][0] < b):
-            continue
-        covered.insert(k, (a, b))
-        kept.append((a, b))
-    return sorted(kept)
+        spans.update(m.span() for m in BLOCK.finditer(text))
+    return sorted(spans)
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans that cover the same."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def describe(before: str, value: str, behind: str) -> list[float]:
@@ -166,6 +192,20 @@ def labelled_findings(n: int = 6_000, seed: int = SEED) -> list[tuple[str, str,
         quote = rng.choice(('"', "'", "", ""))
         before = prose() + " " + (name + rng.choice((" = ", "=", ": ")) + quote if name else "")
         out.append((before[-60:], value, ((quote if name else "") + " " + prose())[:60], 0))
+    for _ in range(n // 20):  # NAME=value without spaces
+        name, plain = rng.choice(SECRET_WORDS[:12]), rng.choice(("log_level", "max_size", "app_name", "version", "host", "path", "mode", "date", word()))
+        name, plain = rng.choice((name, word() + "_" + name, "--" + name)), rng.choice((plain, word() + "_" + plain, "--" + plain))
+        value = rng.choice((
+            lambda: pick(alnum, rng.randint(8, 40)), lambda: word()[:6].title() + pick("0123456789!@#", rng.randint(3, 6)), lambda: pick(hexa, 40),
+            lambda: "AKIA" + pick(alnum.upper()[:26] + "234567", 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk-" + pick(alnum, 48)))()
+        other = rng.choice((
+            lambda: word() + str(rng.randint(100, 999999)), lambda: "/".join(("", word(), word(), word() + str(rng.randint(1, 99)))), lambda: word() + "-" + word(),
+            lambda: pick("0123456789", rng.randint(6, 12)), lambda: ".".join(pick("123456789", 2) for _ in range(4))))()
+        if rng.random() < 0.5:
+            name, plain = name.upper(), plain.upper()
+        start = rng.choice(("", prose() + "\n", prose() + " "))[-30:]
+        for label, key, text in ((1, name, value), (0, plain, other), (0, name, rng.choice(("changeme", "your_token_here", "undefined", "${API_KEY}")))):
+            out.append((start + key + "=", text, "\n", label))
     return out
 
 
@@ -243,7 +283,7 @@ def judged(text: str | None, forest: list[Tree]) -> tuple[int, list[tuple[int, i
         return len(spans), []
     x = np.array([describe(text[max(0, a - 60):a], text[a:b], text[b:b + 60]) for a, b in spans])
     score = sum(t.predict(x) for t in forest) / len(forest)
-    return len(spans), [s for s, p in zip(spans, score) if p >= THRESHOLD]
+    return len(spans), joined([s for s, p in zip(spans, score) if p >= THRESHOLD])
 
 
 def masked(text: str, spans: list[tuple[int, int]]) -> str:
