@@ -1,9 +1,9 @@
-"""Removal of passages that repeat between documents, by prefix-partitioned suffix trees.
+"""Removal of passages that repeat between documents, by cells of minimizers and window hashes.
 
 A suffix begins at a word and is followed for ``width`` words, which is all that matters: a
 node at that depth with leaves in two documents is a repeat, and every longer (maximal)
-repeat is a run of such nodes. The tree of all suffixes is built in parts by their prefixes,
-and prefixes get longer where a part would hold too much:
+repeat is a run of such nodes. No tree is built: such a node is the hash of a window of
+``width`` words, and suffixes are dealt by minimizers of a fixed half of the width:
 
 1. Every suffix of full depth is filed under a prefix inside it: of all runs of half the
    width in it, the one with the least fingerprint. Neighbouring suffixes mostly share that
@@ -11,7 +11,7 @@ and prefixes get longer where a part would hold too much:
    partial aggregation; one that lies in a single document has no deep node and goes.
 2. Cells with the same words are aggregated to their smallest document. In any later document
    all suffixes of the cell are repeats, whatever the number of copies.
-3. Only where different cells share a prefix is the part of the tree split further: the first
+3. Only where different cells share a prefix are single suffixes looked at: the first
    copy of each such cell is spread into its suffixes, which are told apart by their full
    depth, aggregated to the smallest document and joined back.
 
