@@ -8,9 +8,9 @@ link when 100 * |intersection| >= percent * |union|.
    exactly over all documents (counts stop at ``MANY``) and goes first, rare ones before
    frequent ones; the others follow by fingerprint. Linked sets share a token among the first
    few of each (the prefix). A set whose prefix holds only tokens that occur once is done.
-3. The index lists of the prefix tokens are ordered by set size and position. Entries of one
-   size and position are a block: a block whose size or whose remaining tokens cannot reach
-   the overlap any more is skipped as a whole.
+3. The index lists of the prefix tokens are runs of entries. Each pair of entries that is
+   looked at is tested by size and position, and dropped if the overlap is out of reach; no
+   blocks are skipped as a whole, and one task holds the whole list of a token.
 4. In a long list all sets are compared with one of them, the one with the fewest tokens
    before the shared one, which tends to be the middle of a family of similar sets. Sets that
    belong to one group by then have their answers derived from it: they are not compared with
