@@ -23,8 +23,21 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Cut batches for Python workers by bytes: long texts would make 10,000 rows arbitrarily large.
+
+    A session that has chosen a size keeps it.
+    """
+    if not spark.sparkContext.getConf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def map_arrow(df: DataFrame, work: Callable, schema: str) -> DataFrame:
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.mapInArrow(work, schema)
 
 
