@@ -61,3 +61,70 @@ words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def _round(n: int) -> str:
+    """CTEs: assignment n (key, d, c) of the kept vectors v to centroids c<n>, and the centroids after it."""
+    return f"""m{n} AS (SELECT key, min(d * 16 + c) AS m FROM (
+  SELECT v.key, p.c, list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - p.e[i]) * (v.e[i] - p.e[i])))::BIGINT AS d
+  FROM v, c{n} p) AS q GROUP BY 1),
+a{n} AS (SELECT key, m // 16 AS d, m % 16 AS c FROM m{n}),
+s{n} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (
+  SELECT c, unnest(range(1, 65)) AS i, unnest(e) AS x FROM a{n} JOIN v USING (key)) AS q GROUP BY 1, 2),
+c{n + 1} AS (SELECT p.c, coalesce(q.e, p.e) AS e FROM c{n} p LEFT JOIN (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM s{n} GROUP BY 1) AS q ON q.c = p.c)"""
+
+
+CENTROID_CLUSTERS = f"""
+WITH k AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS (SELECT row_number() OVER () AS key, vec_id, list_transform(e, lambda x: CAST(floor(64 * x) AS BIGINT)) AS e FROM k
+  WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e FROM (
+  SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT 16) AS q),
+{_round(0)},
+{_round(1)},
+{_round(2)},
+{_round(3).split("," + chr(10) + "s3")[0]},
+t AS (SELECT c, sum(d)::BIGINT AS cluster_inertia FROM a3 GROUP BY 1)
+SELECT vec_id, a3.c::INTEGER AS cluster, a3.d AS distance, cluster_inertia,
+  (SELECT sum(cluster_inertia)::BIGINT FROM t) AS inertia,
+  sha256(array_to_string(c3.e, ',')) AS centroid_sha256
+FROM a3 JOIN v USING (key) JOIN t ON t.c = a3.c JOIN c3 ON c3.c = a3.c"""
+
+FILTER_AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format(text='text')} AS w FROM documents),
+low AS (SELECT t, min(doc_id) AS low FROM d GROUP BY 1),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+    100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 5 * length(d.t), regexp_matches(d.t, '[#$%&*|]'),
+    coalesce(d.doc_id > low.low, false)] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d JOIN low ON low.t = d.t LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, fails, len(list_filter(fails, lambda x: x)) AS n_fails, count(*) AS n, count(*) FILTER (good) AS n_good,
+  count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS o FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+st AS (SELECT o, step, [position(z IN 'ABCDE') FOR z IN string_split(o[:step - 1], '') IF z <> ''] AS before,
+  position(o[step] IN 'ABCDE') AS own FROM o, (SELECT unnest(range(1, 6)) AS step) AS u),
+e AS (SELECT part, o, step, own, n, n_good, n_toxic, n_fails, fails[own] AS bad,
+  len([z FOR z IN before IF fails[z]]) > 0 AS gone FROM c, st),
+r AS (SELECT part, o, step, own, sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN NOT gone AND bad THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN gone AND bad THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN bad AND n_fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN NOT gone AND bad THEN n_good ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN NOT gone AND bad THEN n_toxic ELSE 0 END)::BIGINT AS toxic_lost FROM e GROUP BY 1, 2, 3, 4)
+SELECT part, o AS filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+_BLANKS = " || ".join(f"chr({k})" for k in (32, 9, 10, 11, 12, 13))
+
+LINE_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT r, doc_id, t, unnest(s) AS line, unnest(range(1, len(s) + 1)) AS p FROM (
+  SELECT r, doc_id, t, string_split(t, chr(10)) AS s FROM d) AS q),
+k AS (SELECT *, translate(trim(line, {_BLANKS}), '{UPPER}', '{LOWER}') AS k FROM l),
+hot AS (SELECT k FROM k WHERE length(k) >= 1 GROUP BY k
+  HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 't' || t)) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(hot.k) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE hot.k IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN hot ON hot.k = k.k GROUP BY r, doc_id"""

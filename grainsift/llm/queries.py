@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..queries.registry import Builder, Query, prepared
-from . import decontaminate, jaccard, licences, mainhtml, oracle_sql, pieces, quality, secretscan, substrings, tokenfile, vectors
+from . import (clustering, decontaminate, filteraudit, jaccard, licences, linededup, mainhtml, oracle_sql, pieces, quality, secretscan,
+               substrings, tokenfile, vectors)
 
 QUERIES: dict[str, Query] = {}
 
@@ -99,3 +100,20 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.size("licences").cast("bigint").alias("n_licences"),
                         F.array_join(families, ",").alias("families"),
                         F.array_join(F.transform("licences", lambda s: s["line"].cast("string")), ",").alias("lines"))
+
+
+@query("op11_centroid_clusters", oracle_sql.CENTROID_CLUSTERS)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+@query("op12_filter_audit", oracle_sql.FILTER_AUDIT)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return filteraudit.audit(table(spark, folder, "documents", "doc_id", "source", "text"),
+                             table(spark, folder, "labels", "doc_id", "quality", "toxic"))
+
+
+@query("op13_line_dedup", oracle_sql.LINE_DEDUP)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = linededup.drop_lines(table(spark, folder, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
