@@ -38,7 +38,7 @@ def test_near_copies_of_five_words_and_80_percent(spark):
 def test_names_of_stages_and_queries():
     import __spark_entry__ as E
 
-    assert len(P.STAGES) == 5 and {n.split("_")[0] for n in E.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert len(P.STAGES) == 5 and {n.split("_")[0] for n in E.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in E.queries() and set(E.oracle_sql()) <= set(E.queries())
 
 
