@@ -138,6 +138,7 @@ def lineage(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     Cells of a column whose type changes are compared by value; the new type alone counts
     as a modification, not as changed cells. What a custom step does to cells is not known:
     its changed cells are NULL, and so is ``modified`` unless the number of rows changes.
+    An ``undo`` is modifying if there was a step to undo; it reports no changed cells.
 
     Consecutive column steps are counted together: each keeps its old column beside
     the new one, so one pass serves all steps up to the next one that removes rows.
@@ -251,7 +252,7 @@ class _Lineage:
         if kind == "custom":
             cells = F.lit(None).cast("bigint")  # the function may rewrite any cell
         if kind == UNDO:
-            rows_before = F.lit(-1).cast("bigint")
+            schema_changed = F.lit(self.before[i] != self.after[i])  # an undo of nothing changes nothing
         return F.struct(
             F.lit(i + 1).alias("step"),
             F.lit(self.steps[i].op).alias("op"),

@@ -330,8 +330,8 @@ WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 7 = 2) AS g
 SELECT 1 AS step, 'fill_missing' AS op, true AS modified, n AS rows_before, n AS rows_after, gaps AS cells_changed FROM n
 UNION ALL SELECT 2, 'fix_dtype', true, n, n, 0 FROM n
 UNION ALL SELECT 3, 'clip', above > 0, n, n, above FROM n
-UNION ALL SELECT 4, 'undo', true, -1, n, 0 FROM n
-UNION ALL SELECT 5, 'undo', true, -1, n, 0 FROM n""")
+UNION ALL SELECT 4, 'undo', true, n, n, 0 FROM n
+UNION ALL SELECT 5, 'undo', true, n, n, 0 FROM n""")
 def lineage_retyped(spark, folder):
     """Retyped columns are compared by value: only gaps and clipped cells count as changed."""
     orders = table(spark, folder, "orders")
@@ -382,19 +382,19 @@ log AS (
   UNION ALL SELECT 4, 'remove_duplicates', raw, uniq, 0 FROM n
   UNION ALL SELECT 5, 'fill_missing', uniq, uniq, gaps FROM n
   UNION ALL SELECT 6, 'remove_rows', uniq, uniq - neg, 0 FROM n
-  UNION ALL SELECT 7, 'undo', -1, uniq, 0 FROM n
+  UNION ALL SELECT 7, 'undo', uniq - neg, uniq, 0 FROM n
   UNION ALL SELECT 8, 'replace', uniq, uniq, 0 FROM n)"""
 
 
 @query("lineage_log", f"""WITH {_LOG}
-SELECT step, op, cells_changed > 0 OR rows_before <> rows_after AS modified, rows_before, rows_after,
+SELECT step, op, cells_changed > 0 OR rows_before <> rows_after OR op = 'undo' AS modified, rows_before, rows_after,
   cells_changed FROM log""")
 def lineage_log(spark, folder):
     return recipe.lineage(D.orders_dirty(spark, folder), LOGGED).drop("command")
 
 
 @query("lineage_summary", f"""WITH {_LOG}, f AS (
-  SELECT *, cells_changed > 0 OR rows_before <> rows_after AS modified FROM log)
+  SELECT *, cells_changed > 0 OR rows_before <> rows_after OR op = 'undo' AS modified FROM log)
 SELECT count(*) AS steps, count(*) FILTER (WHERE NOT modified) AS read_only_steps,
   count(*) FILTER (WHERE modified) AS modifying_steps, count(*) FILTER (WHERE op = 'undo') AS undo_steps,
   CAST(sum(CASE WHEN op <> 'undo' THEN rows_after - rows_before ELSE 0 END) AS BIGINT) AS row_delta FROM f""")

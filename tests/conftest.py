@@ -2,8 +2,6 @@ import pytest
 
 from grainsift.session import local_session
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -5,7 +5,7 @@ from grainsift.operators import compare, dedup, score as Q, skew
 from grainsift.operators.inject import pick_golden
 from grainsift.sources.tables import table
 
-from conftest import SF
+from sample_tables import SF
 
 
 @pytest.fixture(scope="module")

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF
+from sample_tables import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 

@@ -11,7 +11,7 @@ from grainsift.functions.numbers import number
 from grainsift.operators import columns as C, fill, profile, rows as R
 from grainsift.sources.tables import nan_to_null, table
 
-from conftest import SF
+from sample_tables import SF
 
 
 def column(df, name="c"):

@@ -9,7 +9,7 @@ from grainsift.sources import dirty as D
 from grainsift.sources.tables import table, table_stream
 from grainsift.streaming import streams as X
 
-from conftest import SF
+from sample_tables import SF
 
 STEPS = [
     step("profile"),
@@ -66,11 +66,22 @@ def test_log_with_branches_after_undo(spark):
     log = [tuple(r) for r in recipe.lineage(small(spark), steps).drop("command").orderBy("step").collect()]
     assert log == [
         (1, "clip", True, 3, 3, 2),
-        (2, "undo", True, -1, 3, 0),
+        (2, "undo", True, 3, 3, 0),
         (3, "clip", True, 3, 3, 1),
-        (4, "fix_dtype", True, 3, 3, 3),
+        (4, "fix_dtype", True, 3, 3, 0),  # 0.0, 5.0 and 7.0 keep their value
         (5, "replace", False, 3, 3, 0),
-        (6, "double", True, 3, 6, 0),
+        (6, "double", True, 3, 6, None),
+    ]
+
+
+def test_log_of_an_undo_of_nothing(spark):
+    steps = [step("undo"), step("remove_rows", column="x", condition="less_than", value=0), step("undo"), step("undo")]
+    log = [tuple(r) for r in recipe.lineage(small(spark), steps).drop("command").orderBy("step").collect()]
+    assert log == [
+        (1, "undo", False, 3, 3, 0),
+        (2, "remove_rows", True, 3, 2, 0),
+        (3, "undo", True, 2, 3, 0),
+        (4, "undo", False, 3, 3, 0),
     ]
 
 

@@ -6,7 +6,7 @@ from grainsift.sources import dirty as D
 from grainsift.sources.scenarios import SCENARIOS, prepare
 from grainsift.sources.tables import from_rows, table
 
-from conftest import SF
+from sample_tables import SF
 
 
 def people(spark):
