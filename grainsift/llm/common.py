@@ -35,10 +35,38 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 200  # of a worker's tables of words; a short key, its value and their slot
+CACHE_ENTRIES = CACHE_BYTES // ENTRY_BYTES
+
+_RELEASES: list[Callable[[], None]] = []
+_OWNER: list[str] = [""]
+
+
+def at_release(release: Callable[[], None]) -> None:
+    """Register how a module empties what it keeps in a worker between batches."""
+    _RELEASES.append(release)
+
+
+def own_caches(owner: str) -> None:
+    """Empty the tables that another operator has left in this (reused) worker."""
+    if _OWNER[0] != owner:
+        for release in _RELEASES:
+            release()
+        _OWNER[0] = owner
+        pa.default_memory_pool().release_unused()
+
+
+def _owned(batches: Iterator, work: Callable, owner: str) -> Iterator:
+    own_caches(owner)
+    yield from work(batches)
+
+
 def map_arrow(df: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """mapInArrow with batches bounded by bytes and with the worker's tables to itself."""
     ship(df.sparkSession)
     bound_batches(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    owner = getattr(work, "func", work).__module__
+    return df.mapInArrow(functools.partial(_owned, work=work, owner=owner), schema)
 
 
 def work_dir(spark: SparkSession, label: str) -> str:

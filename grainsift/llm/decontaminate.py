@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import free_name, map_arrow
+from .common import at_release, free_name, map_arrow
 
 WIDTH = 10
 MAX_BENCHMARK_BYTES = 16 << 20
@@ -90,6 +90,7 @@ class Windows:
 
 
 _WINDOWS: dict[tuple, Windows] = {}
+at_release(_WINDOWS.clear)
 
 
 def _find_batches(batches, shared, mark, width, text_at, drop_text):

@@ -33,7 +33,7 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_arrow, stored
+from .common import at_release, map_arrow, stored
 
 LETTERS = "ABCDE"
 COPY = 4  # the bit of the filter for copies, the only one that looks at other documents
@@ -113,6 +113,7 @@ class Packed:
 
 
 _PACKED: dict[str, Packed] = {}
+at_release(_PACKED.clear)
 
 
 def packed(letters: str) -> Packed:

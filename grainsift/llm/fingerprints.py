@@ -10,7 +10,8 @@ from hashlib import blake2b
 
 import numpy as np
 
-KEPT_WORDS = 1_000_000
+from .common import CACHE_ENTRIES, at_release
+
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -21,13 +22,14 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         if len(word) <= 64:
-            if len(self) >= KEPT_WORDS:
+            if len(self) >= CACHE_ENTRIES:
                 self.clear()
             self[word] = value
         return value
 
 
 _HASHES = WordHashes()
+at_release(_HASHES.clear)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

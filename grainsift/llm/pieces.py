@@ -25,12 +25,12 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_arrow
+from .common import CACHE_ENTRIES, at_release, map_arrow
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = "normal", "unknown", "control", "byte"
 MARKS = ".,;:!?*#&$%|)"  # an end of these is encoded apart where no entry spans the seam
-KEPT_PARTS, KEPT_PAIRS, KEPT_LENGTH = 400_000, 1_000_000, 48
+KEPT_PARTS, KEPT_PAIRS, KEPT_LENGTH = CACHE_ENTRIES // 2, CACHE_ENTRIES, 48
 
 SCHEMA = "key bigint, n_tokens bigint, ids binary, decoded string"
 
@@ -178,6 +178,7 @@ def read_model(path: str) -> tuple[list[tuple[str, float, str]], int, int, int]:
 
 
 _TABLES: dict[str, PieceTable] = {}
+at_release(_TABLES.clear)
 
 
 def table_of(model) -> PieceTable:

@@ -28,13 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import few_hashes, free_name, map_arrow, small_batches
+from .common import CACHE_ENTRIES, at_release, few_hashes, free_name, map_arrow, small_batches
 from .fingerprints import mixed
 
 BITS = 18
 MAX_LABELLED = 8_000
 THRESHOLD = 0.3
-KEPT_WORDS = 500_000
 
 
 def shape_of(word: str) -> str:
@@ -50,13 +49,14 @@ class Words(dict):
         part = lambda text, size: int.from_bytes(blake2b(text.encode(), digest_size=size).digest(), "little")
         value = part(word.lower(), 6) << 16 | part(shape_of(word), 2)
         if len(word) <= 64:
-            if len(self) >= KEPT_WORDS:
+            if len(self) >= CACHE_ENTRIES:
                 self.clear()
             self[word] = value
         return value
 
 
 _WORDS = Words()
+at_release(_WORDS.clear)
 
 
 def features(text: str | None) -> np.ndarray:

@@ -23,10 +23,10 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import map_arrow, small_batches, work_dir
+from .common import CACHE_ENTRIES, at_release, map_arrow, small_batches, work_dir
 
 END_ID = 1
-KEPT_WORDS, KEPT_LENGTH = 400_000, 64
+KEPT_WORDS, KEPT_LENGTH = CACHE_ENTRIES // 2, 64
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 SHARD_BYTES = 64 << 20
 MARKS = ".,;:!?*#&$%"
@@ -79,6 +79,7 @@ class Words:
 
 
 _WORDS: dict[int, Words] = {}
+at_release(_WORDS.clear)
 
 
 def _words(spec: str) -> Words:
