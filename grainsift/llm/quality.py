@@ -39,7 +39,7 @@ THRESHOLD = 0.3
 def shape_of(word: str) -> str:
     """Kinds of characters, runs as one: a, A, 0 and marks as they are."""
     kinds = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
-    return re.sub(r"(.)\1+", r"\1", kinds)[:12]
+    return re.sub(r"(.)\1+", r"\1", kinds)
 
 
 class Words(dict):
