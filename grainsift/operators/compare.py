@@ -12,6 +12,7 @@ from ..functions.frames import literal_rows, side_by_side
 from ..functions.schema import col, groupable, require, same_family, type_of
 from ..session import materialized
 from .dedup import remove_duplicates
+from .positions import with_source_ordinal
 from .ordinal import ROWS_PER_BUCKET, with_ordinal
 from .skew import join_unique
 
@@ -103,6 +104,17 @@ def accuracy_by_position(
     return _scored(left.join(right, "__ord"), current, truth, columns, options)
 
 
+def accuracy_by_source(current: DataFrame, truth: DataFrame, **options) -> DataFrame:
+    """The same for rows paired by their position in the files that the tables are read from.
+
+    Both tables must be as they are read (columns may be changed); no order is needed or made.
+    """
+    columns = common_columns(current, truth)
+    left = with_source_ordinal(current, "__ord")
+    right = with_source_ordinal(truth, "__ord").select("__ord", *_truth_cells(truth, columns))
+    return _scored(left.join(right, "__ord"), current, truth, columns, options)
+
+
 def golden_report(
     current: DataFrame, golden: DataFrame, key: str, columns: Sequence[str] | None = None,
     **options,

@@ -52,6 +52,7 @@ class _Bucketed:
     total: int
     several: bool  # more than one bucket
     collapsed: bool  # some rows stand for several copies
+    n_keys: int  # so many of the order's columns come first: the keys and the row's hash
 
 
 def _sortable(df: DataFrame, name: str) -> Column:
@@ -150,10 +151,11 @@ def _bucketed(
     flags = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])
     tied = df.withColumn(_TIE, F.xxhash64(flags, *cells))
     rest = [_sortable(df, c) for c in df.columns if c not in order_by]
-    order = [*_order_fields(order_by, nulls_last), F.col(_TIE), *rest]
+    keys = [*_order_fields(order_by, nulls_last), F.col(_TIE)]  # beyond these only copies are tied, but for clashes of hashes
+    order = [*keys, *rest]
     one = F.lit(1).cast("bigint")
     if buckets == 1:
-        return _Bucketed(tied.withColumns({_BUCKET: F.lit(0), _COPIES: one}), order, total, False, False)
+        return _Bucketed(tied.withColumns({_BUCKET: F.lit(0), _COPIES: one}), order, total, False, False, len(keys))
     keyed = tied.withColumn(_KEY, _bound_key(df, order_by, nulls_last))
     cut = _cut(keyed, buckets, total)
     # the hash of a hot key marks the rows that may be copies; at most 2 per bucket
@@ -161,7 +163,7 @@ def _bucketed(
     plain = all(not isinstance(f.dataType, T.MapType) for f in df.schema.fields)
     if not (hashes and plain):
         placed = _bucket_column(keyed, cut).withColumn(_COPIES, one)
-        return _Bucketed(placed.drop(_KEY), order, total, True, False)
+        return _Bucketed(placed.drop(_KEY), order, total, True, False, len(keys))
     # copies of hot rows collapse where they are read; all other rows pass with their own number
     hot = df.sparkSession.createDataFrame([(h, True) for h in hashes], f"{_TIE} bigint, __hot boolean")
     marked = keyed.join(F.broadcast(hot), _TIE, "left")
@@ -170,7 +172,7 @@ def _bucketed(
         marked.groupBy(*[col(c) for c in df.columns], _TIE, _KEY, own.alias("__own"))
         .agg(F.count(F.lit(1)).alias(_COPIES)).drop("__own")
     )
-    return _Bucketed(_bucket_column(counted, cut).drop(_KEY), order, total, True, True)
+    return _Bucketed(_bucket_column(counted, cut).drop(_KEY), order, total, True, True, len(keys))
 
 
 def _expand(df: DataFrame, first: str | None = None) -> DataFrame:
@@ -237,7 +239,22 @@ def forward_fill_column(
     require(df, column, *order_by, *partition_by)
     if not order_by:
         raise ValueError("order_by is empty")
-    cut = _bucketed(df, [*partition_by, *order_by], True, rows_per_bucket)
+    return _filled(df, _bucketed(df, [*partition_by, *order_by], True, rows_per_bucket), column, partition_by)
+
+
+def fill_in_order(df: DataFrame, column: str, position: str, *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Forward fill by a column of distinct positions from 0, such as an ordinal; NULL positions are refused.
+
+    Ranges are cut by division: no sample is taken and no row is hashed.
+    """
+    require(df, column, position)
+    bucket = F.floor(col(position) / rows_per_bucket)
+    rows = df.withColumns({_BUCKET: F.when(bucket.isNull(), F.raise_error(F.lit("a position is NULL"))).otherwise(bucket),
+                           _COPIES: F.lit(1).cast("bigint")})
+    return _filled(df, _Bucketed(rows, [col(position)], 0, True, False, 1), column, [])
+
+
+def _filled(df: DataFrame, cut: _Bucketed, column: str, partition_by: Sequence[str]) -> DataFrame:
     rows = cut.rows
     if cut.several:
         # one shuffle serves the windows and the join of the carried values below
@@ -255,7 +272,7 @@ def forward_fill_column(
         tails = cut.rows.groupBy(_BUCKET).agg(
             F.max_by(
                 F.when(present.isNotNull(), F.struct(part.alias("part"), cell.alias("value"))),
-                F.when(present.isNotNull(), F.struct(*cut.order)),
+                F.when(present.isNotNull(), F.struct(*cut.order[:cut.n_keys])),
             ).alias("__tail")
         )
         earlier = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -126,6 +127,45 @@ def top_values(df: DataFrame, column: str, n: int = TOP_VALUES) -> DataFrame:
     return counts.orderBy(F.desc("count"), F.asc("value")).limit(n)
 
 
+CANDIDATES = 10_000  # values that the summary of the first pass keeps
+
+
+def top_values_two_pass(
+    df: DataFrame, column: str, n: int = TOP_VALUES, *, candidates: int = CANDIDATES
+) -> DataFrame:
+    """The same values and counts as :func:`top_values`, mostly without a shuffle of all values.
+
+    The first pass keeps a bounded summary of frequent values (of long texts their digest). A
+    value that is missing in it occurs at most so often as its error bound allows, a known
+    share of the rows. The second pass counts the candidates exactly. If the n-th of them
+    occurs more often than the bound, or the candidates are all values there are, the result
+    is exact; else (a column of nearly unique values) all values are counted.
+    """
+    require(df, column)
+    text = _cell_text(df, column)
+    rows = df.select(text.alias("__key"), col(column).alias("value")).filter("__key is not null")
+    total, found = rows.agg(
+        F.count(F.lit(1)), F.expr(f"approx_top_k(__key, {candidates}, {candidates})")).first()
+    keys = [(r["item"],) for r in found or []]  # ``candidates`` short texts at most
+    if keys:
+        known = F.broadcast(df.sparkSession.createDataFrame(keys, "__key string"))
+        counted = rows.join(known, "__key", "left_semi").groupBy("__key").agg(
+            F.min("value").alias("value"), F.count(F.lit(1)).alias("count"))
+        exact = counted.orderBy(F.desc("count"), F.asc("value")).limit(n).select("value", "count")
+        best = exact.toArrow()
+        counts = best["count"].to_pylist()
+        covered = counted.agg(F.sum("count")).first()[0] == total if len(counts) < n else False
+        if covered or (len(counts) == n and counts[-1] > 2 * summary_error(candidates, total)):
+            return df.sparkSession.createDataFrame(best, exact.schema)
+    return top_values(df, column, n)
+
+
+def summary_error(candidates: int, rows: int) -> float:
+    """How far counts in a summary of frequent items can be off: 3.5 rows per slot of its table."""
+    slots = 2 ** math.ceil(math.log2(candidates / 0.75))
+    return 3.5 / slots * rows
+
+
 def missing_report(df: DataFrame) -> DataFrame:
     """Columns with missing cells, most first: count, share, and the table total."""
     counts = [F.count_if(missing(df, c)) for c in df.columns]
