@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import columns as C, rows as R, rules
 from ..session import new_work_dir
 from ..sources import dirty as D
-from ..sources.tables import table_stream
-from ..streaming import streams as X
+from ..sources.tables import table, table_stream
+from ..streaming import batches as B, streams as X
 from . import sql as S
 from .registry import query
 
@@ -78,3 +78,64 @@ def stream_rules_by_window(spark, folder):
     X.compact(spark, f"{work}/out", ["window_start", "rule_id"], f"{work}/compact")
     rows = X.latest(spark, f"{work}/compact", ["window_start", "rule_id"])
     return rows.withColumn("pass_rate", F.round("pass_rate", 6))
+
+
+def _in_batches(spark, df, part, n=3):
+    """The table as a stream of ``n`` batches: the rows with part = 0, 1, ... in turn."""
+    folder = new_work_dir(spark, "arriving")
+    for k in range(n):
+        df.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _written(spark, stream, writer_of):
+    work = new_work_dir(spark, "batches")
+    B.write_batches(stream, writer_of(f"{work}/out"), f"{work}/checkpoint").awaitTermination()
+    return f"{work}/out"
+
+
+@query("stream_both_halves", f"""WITH {S.EVENTS_DIRTY}
+SELECT event_id, value, concat_ws(',', CASE WHEN value < 0 OR value > 1000 THEN '0' END,
+  CASE WHEN value IS NULL THEN '1' END) AS violated_rules FROM events_dirty""")
+def stream_both_halves(spark, folder):
+    """Three batches split in one pass each; the halves together are the whole table."""
+    events = D.events_dirty(spark, folder)
+    out = _written(spark, _in_batches(spark, events, F.col("event_id") % 3), lambda p: B.quarantine_writer(p, D.EVENT_RULES))
+    as_text = F.concat_ws(",", F.transform("violated_rules", lambda i: i.cast("string")))
+    good = B.good_rows(spark, out).select("event_id", "value", F.lit("").alias("violated_rules"))
+    return good.union(B.bad_rows(spark, out).select("event_id", "value", as_text.alias("violated_rules")))
+
+
+@query("stream_rule_totals", f"""WITH {S.EVENTS_DIRTY},
+c AS (SELECT 0 AS rule_id, 'range' AS type, 'value' AS "column", count(value) AS checked,
+    count(*) FILTER (WHERE value < 0 OR value > 1000) AS violations FROM events_dirty
+  UNION ALL SELECT 1, 'not_null', 'value', count(*), count(*) FILTER (WHERE value IS NULL) FROM events_dirty)
+SELECT *, round((checked - violations) / CAST(checked AS DOUBLE), 6) AS pass_rate FROM c""")
+def stream_rule_totals(spark, folder):
+    """Counts observed while three batches were written, one row per batch and rule, summed."""
+    events = D.events_dirty(spark, folder)
+    out = _written(spark, _in_batches(spark, events, F.col("event_id") % 3), lambda p: B.quarantine_writer(p, D.EVENT_RULES))
+    return B.rule_totals(spark, out).withColumn("pass_rate", F.round("pass_rate", 6))
+
+
+@query("stream_duplicate_totals", f"""WITH {S.ORDERS_DIRTY}
+SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicates,
+  CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS members, count(CASE WHEN n > 1 THEN 1 END) AS groups,
+  round(sum(n - 1) * CAST(100 AS DOUBLE) / sum(n), 1) AS duplicate_pct
+FROM (SELECT count(*) AS n FROM orders_dirty GROUP BY o_custkey, o_orderpriority, o_totalprice) AS t""")
+def stream_duplicate_totals(spark, folder):
+    """Copies that arrive in different batches are found from the keys of earlier ones."""
+    orders, keys = D.orders_dirty(spark, folder), ["o_custkey", "o_orderpriority", "o_totalprice"]
+    stream = _in_batches(spark, orders, F.pmod(F.col("o_orderkey"), F.lit(3)))
+    return B.duplicate_totals(spark, _written(spark, stream, lambda p: B.dedup_writer(p, keys, ["o_orderkey"])))
+
+
+@query("stream_dedup_first", """
+SELECT o_custkey, o_orderstatus, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2""")
+def stream_dedup_first(spark, folder):
+    """The first order of each customer and status, over three batches in the order of the keys."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    top = orders.agg(F.max("o_orderkey")).first()[0] + 1
+    stream = _in_batches(spark, orders, F.floor(F.col("o_orderkey") * 3 / top))
+    out = _written(spark, stream, lambda p: B.dedup_writer(p, ["o_custkey", "o_orderstatus"], ["o_orderkey"]))
+    return B.first_rows(spark, out).select("o_custkey", "o_orderstatus", "o_orderkey")
