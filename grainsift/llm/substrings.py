@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_arrow, maybe_rows, small_batches, stored
-from .fingerprints import sliding, span_hashes, window_hashes, word_hashes
+from .fingerprints import sliding, span_hashes, text_hashes, window_hashes
 
 WIDTH = 50
 
@@ -64,10 +64,9 @@ def cells(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def _cell_batches(batches, width):
     for batch in small_batches(batches):
         rows, prefix, cell = [], [], []
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            words = words_of(text)
-            if len(words) >= width:
-                p, c, _, _ = cells(word_hashes(words), width)
+        for i, hashes in enumerate(text_hashes(batch.column(2).to_pylist())):
+            if len(hashes) >= width:
+                p, c, _, _ = cells(hashes, width)
                 c, one = np.unique(c, return_index=True)
                 rows.append(np.full(len(c), i))
                 prefix.append(p[one])
@@ -87,8 +86,7 @@ def _suffix_batches(batches, width):
     """The suffixes of the cells that are listed for a text."""
     for batch in small_batches(batches):
         rows, prefix, node, starts = [], [], [], []
-        for i, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
-            hashes = word_hashes(words_of(text))
+        for i, (hashes, wanted) in enumerate(zip(text_hashes(batch.column(2).to_pylist()), batch.column(3))):
             p, c, first, last = cells(hashes, width)
             nodes = window_hashes(hashes, width)
             for k in np.flatnonzero(np.isin(c.view(np.int64), wanted.values.to_numpy(zero_copy_only=False))):
@@ -139,12 +137,14 @@ def repeats(rows: DataFrame, width: int) -> DataFrame:
 def _cut_batches(batches, width):
     for batch in small_batches(batches):
         n_words, n_removed, kept = [], [], []
-        for text, gone, starts in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+        texts = batch.column(1).to_pylist()
+        hashed = text_hashes([t if gone.is_valid else None for t, gone in zip(texts, batch.column(2))])
+        for text, hashes, gone, starts in zip(texts, hashed, batch.column(2), batch.column(3)):
             words = words_of(text)
             n_words.append(len(words))
             change = np.zeros(len(words) + 1, np.int64)
             if gone.is_valid:
-                _, c, first, last = cells(word_hashes(words), width)
+                _, c, first, last = cells(hashes, width)
                 hit = np.isin(c.view(np.int64), gone.values.to_numpy(zero_copy_only=False))
                 np.add.at(change, first[hit], 1)
                 np.add.at(change, last[hit] + width, -1)
