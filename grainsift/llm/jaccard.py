@@ -8,17 +8,19 @@ link when 100 * |intersection| >= percent * |union|.
    exactly over all documents (counts stop at ``MANY``) and goes first, rare ones before
    frequent ones; the others follow by fingerprint. Linked sets share a token among the first
    few of each (the prefix). A set whose prefix holds only tokens that occur once is done.
-3. The index lists of the prefix tokens are runs of entries. Each pair of entries that is
-   looked at is tested by size and position, and dropped if the overlap is out of reach; no
-   blocks are skipped as a whole, and one task holds the whole list of a token.
+3. The index lists of the prefix tokens are sorted by position and size; long ones are dealt
+   into parts of ``LIST_PART`` entries on average, so no task holds a whole list. Each pair of
+   entries that is looked at is tested by size and position, and dropped if the overlap is
+   out of reach.
 4. In a long list all sets are compared with one of them, the one with the fewest tokens
    before the shared one, which tends to be the middle of a family of similar sets. Sets that
    belong to one group by then have their answers derived from it: they are not compared with
    each other again.
 5. Candidates are verified on the whole sets. Where long lists still hold several groups, the
-   sets of such lists form families. A family is cut into blocks of bounded size, and each
-   pair of blocks is compared in one task by a product of its membership matrices, which
-   yields a row for each set, never pairs. Groups are the connected components.
+   sets of such lists form families. A family is cut into blocks of bounded length by bands
+   of size, blocks whose sizes rule out a link are skipped as a whole, and each other pair
+   of blocks is compared in one task by a product of its membership matrices, which yields
+   a row for each set, never pairs. Groups are the connected components.
 
 No link between different groups is missed; links inside a group that follow from the group
 need not be verified, since the result is the group of each document.
@@ -32,6 +34,8 @@ Repeated rows give repeated results. Only id and text columns are read.
 from __future__ import annotations
 
 import functools
+import math
+from collections.abc import Iterator, Sequence
 from hashlib import blake2b
 
 import numpy as np
@@ -40,23 +44,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import free_name, key_filter, map_arrow, small_batches, stored
 from .components import components
-from .fingerprints import window_hashes, word_hashes
+from .fingerprints import distinct, text_hashes, window_hashes
 
 SIZE, PERCENT = 4, 85
 COUNTED = 4  # one token of so many is counted
 MANY = 1000
 LONG_LIST = 4
+LIST_PART = 1000
+SALTS = 64
 BLOCK, MATRIX_TOKENS = 256, 4096
 
 SETS = "doc_id bigint, n_shingles bigint, n_counted int, node bigint"
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct fingerprints of the n-grams of a text, lower-cased from A to Z."""
-    words = text.encode().lower().split() if text else []  # of bytes both are ASCII alone
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(window_hashes(word_hashes(words), min(size, len(words))))
+def shingle_sets(texts: Sequence[str | None], size: int) -> Iterator[np.ndarray]:
+    """Sorted distinct fingerprints of the n-grams of each text, lower-cased from A to Z."""
+    for words in text_hashes(texts, lower=True):
+        yield distinct(window_hashes(words, min(size, len(words)))) if len(words) else words
 
 
 def least_overlap(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -76,7 +80,7 @@ def node_of(s: np.ndarray) -> int:
 
 def _sets_batches(batches, size):
     for batch in small_batches(batches):
-        sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
+        sets = list(shingle_sets(batch.column(1).to_pylist(), size))
         n_counted = [int((s % np.uint64(COUNTED) == 0).sum()) for s in sets]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(n_counted, pa.int32()),
@@ -87,8 +91,7 @@ def _token_batches(batches, size, percent):
     """The counted tokens of each set and, if these are too few for its prefix, the next ones."""
     for batch in small_batches(batches):
         nodes, tokens = [], []
-        for text in batch.column(0).to_pylist():
-            s = shingles(text, size)
+        for s in shingle_sets(batch.column(0).to_pylist(), size):
             if len(s):
                 counted = s % np.uint64(COUNTED) == 0
                 short = prefix_length(len(s), percent) - int(counted.sum())
@@ -164,10 +167,11 @@ def _can_reach(n, pos, n2, pos2, percent):
 
 
 class Runs:
-    """Cuts sorted batches (token, node, n, pos) into the lists of one token each.
+    """Cuts sorted batches (token, part, ...) into the runs of one token and part each.
 
-    Whole lists of a batch are handed over together; of a list that goes on in the next
-    batches only the parts that have come are held.
+    Whole runs of a batch are handed over together; of a run that goes on in the next batches
+    only what has come is held: at most about ``LIST_PART`` entries, since longer lists are
+    dealt into parts.
     """
 
     def __init__(self, batches):
@@ -179,10 +183,10 @@ class Runs:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
             if not len(rows):
                 continue
-            if held and held[-1][-1, 0] != rows[0, 0]:
+            if held and (held[-1][-1, :2] != rows[0, :2]).any():
                 yield np.concatenate(held)
                 held = []
-            last = np.flatnonzero(rows[:, 0] != rows[-1, 0])
+            last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(1))
             cut = last[-1] + 1 if len(last) else 0
             if cut:
                 yield np.concatenate([*held, rows[:cut]])
@@ -197,23 +201,47 @@ def _fits(n, pos, n2, pos2, percent):
 
 
 def _first_batches(batches, percent, long_list):
-    """Rows of kind 0: candidates (a, b). Of kind 1: entries of long lists, to be looked at again."""
+    """Rows of kind 0: candidates (a, b). Of kind 1: entries of long lists, to be looked at again.
+
+    The last three columns hold the first entry of a list that is dealt into parts; all
+    entries of its parts are compared with that one, as those of a short list with their own.
+    """
     for rows in Runs(batches):
-        token, doc, n, pos = rows.T
-        heads = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        token, part, doc, n, pos, first_doc, first_n, first_pos = rows.T
+        heads = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1))))
         length = np.diff(np.append(heads, len(rows)))
         run = np.repeat(np.arange(len(heads)), length)
         rank = np.arange(len(rows)) - heads[run]
+        dealt = first_n > 0
+        long = dealt | (length[run] > long_list)
         pairs = []
         for k in range(int(min(length.max(), long_list)) - 1):  # with the k-th of the list
-            y = np.flatnonzero((rank > k) & ((length[run] <= long_list) | (k == 0)))
+            y = np.flatnonzero((rank > k) & ~dealt & (~long | (k == 0)))
             x = heads[run[y]] + k
             ok = (doc[x] != doc[y]) & _fits(n[x], pos[x], n[y], pos[y], percent)
             pairs.append(np.stack((np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])), axis=1)[ok])
-        found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        y = np.flatnonzero(dealt)
+        ok = (doc[y] != first_doc[y]) & _fits(n[y], pos[y], first_n[y], first_pos[y], percent)
+        pairs.append(np.stack((np.minimum(doc[y], first_doc[y]), np.maximum(doc[y], first_doc[y])), axis=1)[ok])
+        found = np.unique(np.concatenate(pairs), axis=0)
         yield _pair_rows(0, found[:, 0], found[:, 1], np.zeros(len(found), np.int64), np.zeros(len(found), np.int64))
-        again = rows[length[run] > long_list]
-        yield _pair_rows(1, again[:, 0], again[:, 1], again[:, 2], again[:, 3])
+        again = rows[long]
+        yield _pair_rows(1, again[:, 0], again[:, 2], again[:, 3], again[:, 4])
+
+
+def _dealt_lists(entries: DataFrame) -> DataFrame:
+    """The index lists in order of position and size, long ones in parts of bounded length.
+
+    A long list's first entry goes with all its parts. Rows of a list are counted where they
+    lie; the join that deals them has one row per long list on its other side.
+    """
+    long = (entries.groupBy("token").agg(F.count("*").alias("often"), F.min(F.struct("pos", "n", "node")).alias("first"))
+            .filter(F.col("often") > LIST_PART).select("token", F.ceil(F.col("often") / LIST_PART).alias("parts"), "first"))
+    met = entries.join(long, "token", "left")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
+    none = lambda c, t: F.coalesce(F.col(f"first.{c}"), F.lit(0)).cast(t).alias(f"first_{c}")
+    return (met.select("token", part.alias("part"), "node", "n", "pos", none("node", "bigint"), none("n", "int"), none("pos", "int"))
+            .repartition("token", "part").sortWithinPartitions("token", "part", "pos", "n", "node"))
 
 
 def _pair_rows(kind, a, b, n, pos):
@@ -258,7 +286,7 @@ def _compare_blocks(table: pa.Table, percent: int) -> pa.Table:
 def _whole_sets_batches(batches, size, bloom):
     """The sets of texts whose node may be wanted."""
     for batch in small_batches(batches):
-        sets = [s for s in (shingles(t, size) for t in batch.column(0).to_pylist()) if len(s)]
+        sets = [s for s in shingle_sets(batch.column(0).to_pylist(), size) if len(s)]
         nodes = np.array([node_of(s) for s in sets], np.int64)
         may = np.flatnonzero(bloom.value.may_hold(nodes)).tolist() if len(nodes) else []
         ends = pa.array(np.cumsum([0, *(len(sets[i]) for i in may)]), pa.int32())
@@ -294,16 +322,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return stored(map_arrow(both, functools.partial(_verify_batches, percent=percent), "a bigint, b bigint"), "links")
 
 
+def _salt():
+    return F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _stars(lists: DataFrame) -> DataFrame:
+    """Links (a, b) that join all nodes of a token: to the least of their salt, and these to the least of all."""
+    salted = lists.select("token", "node", _salt())
+    near = salted.groupBy("token", "salt").agg(F.min("node").alias("b"))
+    far = near.groupBy("token").agg(F.min("b").alias("least"))
+    return (salted.join(near, ["token", "salt"]).select(F.col("node").alias("a"), "b")
+            .union(near.join(far, "token").select(F.col("b").alias("a"), F.col("least").alias("b"))))
+
+
 def _family_links(lists: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between groups (a, b) within the families that lists (token, node, component) make."""
-    low = lists.groupBy("token").agg(F.min("node").alias("b"))
-    families = components(lists.join(low, "token").select(F.col("node").alias("a"), "b")).toDF("node", "family")
+    families = components(_stars(lists)).toDF("node", "family")
     members = stored(families.join(lists.select("node", "component").distinct(), "node"), "families")
-    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     sets = _sets_of(members.select(F.col("node").alias("id")), texts, size).withColumnRenamed("id", "node")
-    own = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
-    dealt = (members.join(blocks, "family").join(sets, "node").withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    unit = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9  # sets that link are at most one band apart
+    sized = stored(members.join(sets, "node").withColumn("band", F.floor(F.log(F.size("tokens")) / unit)), "sized")
+    counts = sized.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    blocks = counts.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("blocks"))  # some 100 bands
+    code = lambda band, k: F.struct(band.alias("band"), k.cast("bigint").alias("k"))
+
+    def blocks_of(band):
+        n = F.coalesce(F.try_element_at("blocks", band), F.lit(0))
+        return F.filter(F.transform(F.sequence(F.lit(0).cast("bigint"), n), lambda k: code(band, k)), lambda x: x["k"] < n)
+
+    near = F.flatten(F.transform(F.array(*[F.col("band") + d for d in (-1, 0, 1)]), blocks_of))
+    own = code(F.col("band"), F.pmod(F.xxhash64("node"), F.element_at("blocks", F.col("band"))))
+    dealt = (sized.join(blocks, "family").withColumn("own", own).withColumn("other", F.explode(near))
              .select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "component", "tokens"))
 
     def compare(pair: pa.Table) -> pa.Table:
@@ -319,7 +368,8 @@ def _still_apart(lists: DataFrame, links: DataFrame) -> DataFrame:
     grouped = stored(grouped, "grouped")
     apart = (grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .filter("low < high").select("token"))
-    return stored(grouped.join(apart, "token", "left_semi"), "apart")
+    every = apart.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return stored(grouped.withColumn("salt", _salt()).join(every, ["token", "salt"], "left_semi").drop("salt"), "apart")
 
 
 def link_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_column: str = "doc_id",
@@ -337,9 +387,9 @@ def link_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_co
                               "token bigint, node bigint, often int"), "tokens")
     by_node = shared.groupBy("node").agg(F.collect_list(F.struct("token", "often")).alias("lists"))  # within one set
     joined = classes.join(by_node, "node").select("node", "n", "n_counted", "lists")
-    entries = map_arrow(joined, functools.partial(_prefix_batches, percent=percent), "token bigint, node bigint, n int, pos int")
-    lists = entries.repartition("token").sortWithinPartitions("token", "pos", "n", "node")
-    seen = stored(map_arrow(lists, functools.partial(_first_batches, percent=percent, long_list=LONG_LIST),
+    entries = stored(map_arrow(joined, functools.partial(_prefix_batches, percent=percent),
+                               "token bigint, node bigint, n int, pos int"), "entries")
+    seen = stored(map_arrow(_dealt_lists(entries), functools.partial(_first_batches, percent=percent, long_list=LONG_LIST),
                             "kind int, a bigint, b bigint, n int, pos int"), "lists")
     pairs = stored(seen.filter("kind = 0").select("a", "b").distinct(), "pairs")
     links = _verified(pairs, texts, size, percent)

@@ -56,9 +56,11 @@ def test_jaccard_groups(docs, texts, size, percent):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == plain_groups(texts, size, percent)
 
 
-def test_jaccard_long_lists_are_compared_in_full(spark, monkeypatch):
+@pytest.mark.parametrize("part,block", [(1000, 256), (3, 4)])
+def test_jaccard_long_lists_are_compared_in_full(spark, monkeypatch, part, block):
     """Families that share most of the index lists but are only linked in chains."""
-    monkeypatch.setattr(jaccard, "LONG_LIST", 2)
+    for name, value in (("LONG_LIST", 2), ("LIST_PART", part), ("BLOCK", block), ("SALTS", 2)):
+        monkeypatch.setattr(jaccard, name, value)
     base = [f"b{i}" for i in range(40)]
     texts = []
     for k in range(24):
@@ -66,6 +68,7 @@ def test_jaccard_long_lists_are_compared_in_full(spark, monkeypatch):
         for j in range(k):
             w[j] = f"c{j}"
         texts.append((k, " ".join(w)))
+        texts.append((100 + k, " ".join(w + [f"more{i}" for i in range(5 * (k % 4))])))  # of several sizes
     got = jaccard.link_groups(spark.createDataFrame(texts, "doc_id bigint, text string"), 1, 85)
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == plain_groups(texts, 1, 85)
 
