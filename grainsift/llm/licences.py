@@ -1,19 +1,25 @@
 """Licence notices in documents: a paragraph classifier, confirmed by templates.
 
-A paragraph (a line) is described by its word n-grams (one and two) that also occur in the
-templates. A multinomial logistic regression, fitted here to variants of the templates and
-to a bounded sample of other paragraphs, gives each licence family and the class "unknown" a
-probability; a temperature, fitted to variants that were held back, calibrates them. A family
-counts if it is likely enough and the paragraph holds enough of the word triples of one of
-its templates (of a template of two words, the pair).
-
-Scoring is made of DataFrame functions alone and needs no shuffle. Most paragraphs are ruled
-out by a few words: for every template, key words are chosen such that a paragraph without
-any of them cannot hold enough of its triples. This changes no result.
+A paragraph is a run of lines that hold a letter or a digit, without the marks of comments
+around them, so notices that are wrapped over lines are whole. It is looked at in windows of
+8, 16, 32 ... words that overlap by half, up to twice the longest template: every template
+that occurs lies wholly in one of them, and several notices in one paragraph are all found.
+
+A window is described by its word n-grams (one and two) that also occur in the templates. A
+multinomial logistic regression, fitted here to variants of the templates and to a bounded
+sample of other paragraphs, gives each licence family and the class "unknown" a probability;
+a temperature, fitted to variants that were held back, calibrates them. A family is found if
+it is likely enough and the window holds enough of the word triples of one of its templates
+(of a template of two words, the pair). Of findings that overlap the one that holds the most
+triples stays, then the likelier and then the earlier one.
+
+Scoring is made of DataFrame functions alone and needs no shuffle. Most texts, paragraphs and
+windows are ruled out by a few words: for every template, key words are chosen such that words
+without any of them cannot hold enough of its triples. This changes no result.
 
 Null and empty texts have no licence. Rows are independent; repeated rows give repeated
-results. Texts are read whole. Equal families of one document are named once, counted each.
-Only id and text columns are read; others pass through.
+results. Texts are read whole, whatever their length. Each finding has the line of its first
+word. Only id and text columns are read; others pass through.
 """
 
 from __future__ import annotations
@@ -71,6 +77,10 @@ TEMPLATES = {
 COMMON = {"a", "all", "and", "any", "are", "as", "at", "be", "by", "conditions", "either", "following", "for", "general", "in", "is", "it",
           "may", "mit", "not", "of", "on", "or", "purpose", "subject", "that", "the", "this", "to", "under", "use", "with", "without", "you"}
 
+LEAD, TRAIL = "^[^A-Za-z0-9]*(?:(?:dnl|rem|REM)[ \\t]+)?", "[^A-Za-z0-9.]+$"  # marks of comments around a line
+LEAST_HALF = 4  # words; windows are twice as long and begin every so many words
+FINDINGS = "array<struct<held:int,probability:double,before:int,last:int,family:string,line:int>>"
+
 SEPARATORS = "[^a-z0-9.+\\-]+|[.]+(?=[^a-z0-9]|$)"
 
 
@@ -182,13 +192,30 @@ def _grams(words: Column, n: int) -> Column:
         lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
 
 
-def paragraph_family(words: Column, model: Model) -> Column:
-    """struct(family, probability) of a paragraph given by its words; null if it is no licence."""
+def line_words(line: str) -> list[str]:
+    """Words of a line without the marks of comments at both ends."""
+    return words_of(re.sub(TRAIL, "", re.sub(LEAD, "", line)))
+
+
+def sizes_of(n_words: int, longest: int) -> list[int]:
+    """Half lengths of the windows of a paragraph: doubled until one window holds it, or every template."""
+    sizes = [LEAST_HALF]
+    while 2 * sizes[-1] < n_words and sizes[-1] < longest:
+        sizes.append(2 * sizes[-1])
+    return sizes
+
+
+def window_finding(words: Column, lines: Column, start: Column, model: Model) -> Column:
+    """struct of the family, its probability, how many triples of a template the window holds and where.
+
+    Null if the window is no notice. ``words`` and ``lines`` (of each word) are those of the
+    window, ``start`` is its place in the paragraph.
+    """
     weights = _constant(model.weights, "map<string,array<double>>")
     seen = F.array_intersect(F.concat(words, _grams(words, 2)), _constant(sorted(model.weights), "array<string>"))
     logits = F.aggregate(seen, _constant(model.bias, "array<double>"),
                          lambda total, g: F.zip_with(total, F.element_at(weights, g), lambda a, b: a + b))
-    scored = F.struct(logits.alias("logits"), F.concat(_grams(words, 3), _grams(words, 2)).alias("triples"))
+    scored = F.struct(logits.alias("logits"), _grams(words, 3).alias("three"), _grams(words, 2).alias("two"))
 
     def judge(s: Column) -> Column:
         top = F.array_max(s["logits"])
@@ -196,28 +223,76 @@ def paragraph_family(words: Column, model: Model) -> Column:
         total = F.aggregate(s["logits"], F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
         family = F.element_at(_constant(model.families, "array<string>"), best.cast("int"))
         templates = F.element_at(_constant(model.triples, "map<string,array<array<string>>>"), family)
-        fits = F.exists(templates, lambda t: F.size(F.array_intersect(s["triples"], t)) >= F.lit(CONTAINMENT) * F.size(t))
+
+        def places(t: Column) -> Column:  # of a template's triples (or its pair) in the window, from 1
+            at = lambda g: F.greatest(F.array_position(s["three"], g), F.array_position(s["two"], g))
+            return F.filter(F.transform(t, at), lambda x: x > 0)
+
+        held = F.transform(templates, lambda t: F.struct(F.size(places(t)).alias("n"), F.size(t).alias("of"), places(t).alias("at")))
+        enough = F.filter(held, lambda h: h["n"] >= F.lit(CONTAINMENT) * h["of"])
+        most = F.array_max(F.transform(enough, lambda h: F.struct(h["n"].alias("n"), h["at"].alias("at"))))
         probability = F.lit(1.0) / total
-        return F.when((family != UNKNOWN) & (probability >= PROBABILITY) & F.coalesce(fits, F.lit(False)),
-                      F.struct(family.alias("family"), probability.alias("probability")))
+        first = F.array_min(most["at"]).cast("int") - 1
+        found = F.struct(
+            most["n"].alias("held"), F.round(probability, 9).alias("probability"), (-(start + first)).alias("before"),
+            (start + F.array_max(most["at"]).cast("int") + 1).alias("last"), family.alias("family"), F.get(lines, first).alias("line"))
+        return F.when((family != UNKNOWN) & (probability >= PROBABILITY) & most.isNotNull(), found)
 
     return F.element_at(F.transform(F.array(scored), judge), 1)
 
 
-def scan(docs: DataFrame, model: Model, column: str = "licences", text_column: str = "text") -> DataFrame:
-    """The documents with an array of struct(line, family, probability); ``column`` must clash with none of theirs."""
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+def _apart(findings: Column) -> Column:
+    """Of findings that overlap the one that holds the most triples, then the likelier, then the earlier one."""
+    overlap = lambda x, y: (-x["before"] <= y["last"]) & (-y["before"] <= x["last"])
+    kept = F.aggregate(
+        F.sort_array(F.array_distinct(findings), asc=False), F.array().cast(FINDINGS),
+        lambda acc, d: F.when(F.exists(acc, lambda e: overlap(e, d)), acc).otherwise(F.array_append(acc, d)))
+    return F.reverse(F.sort_array(F.transform(kept, lambda d: F.struct(
+        d["before"].alias("before"), d["line"].alias("line"), d["family"].alias("family"), d["probability"].alias("probability")))))
 
-    keys = "(?i)\\b(?:" + "|".join(re.escape(k) for k in model.keys) + ")\\b"
 
-    def may_hold(c: Column) -> Column:
-        return c.rlike(keys)
+def scan(docs: DataFrame, model: Model, column: str = "licences", text_column: str = "text") -> DataFrame:
+    """The documents with an array of struct(line, family, probability), in order of place.
 
-    lines = F.transform(F.split(text, "\n"), lambda p, i: F.struct(i.alias("line"), p.alias("p")))
-    likely = F.filter(lines, lambda s: may_hold(s["p"]))
-    judged = F.transform(likely, lambda s: F.struct(
-        s["line"].alias("line"), paragraph_family(_words(s["p"]), model).alias("found")))
-    found = F.transform(F.filter(judged, lambda s: s["found"].isNotNull()), lambda s: F.struct(
-        s["line"].alias("line"), s["found"]["family"].alias("family"), s["found"]["probability"].alias("probability")))
-    return docs.withColumn(column, F.when(may_hold(text), found).otherwise(F.array().cast(
+    A column of that name, whatever its case, is refused.
+    """
+    if column.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {column!r} already")
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    keys = "(?i)\\b(?:" + "|".join(re.escape(k) for k in model.keys) + ")\\b"
+    may_hold = lambda c: c.rlike(keys)
+    longest = max(len(t) + 2 for ts in model.triples.values() for t in ts)
+
+    # lines without a letter or digit part paragraphs; marks keep the number of each line
+    plain = F.translate(text, "\x01\x02", "  ")
+    cleaned = lambda p: F.regexp_replace(F.regexp_replace(p, LEAD, ""), TRAIL, "")
+    marked = F.transform(F.split(plain, "\n"), lambda p, i: F.when(
+        p.rlike("[A-Za-z0-9]"), F.concat(F.lit("\x01"), i.cast("string"), F.lit("\x02"), cleaned(p))).otherwise(""))
+    paragraphs = F.filter(F.split(F.array_join(marked, "\n"), "\n\n+"), may_hold)
+
+    def words_with_lines(line: Column) -> Column:
+        number = F.regexp_extract(line, "\x01(\\d+)\x02", 1).try_cast("int")
+        return F.transform(_words(F.substring_index(line, "\x02", -1)), lambda w: F.struct(number.alias("line"), w.alias("w")))
+
+    def findings(placed: Column) -> Column:
+        n = F.size(placed)
+
+        def windows(half: int, smaller: int | None) -> Column:
+            starts = F.sequence(F.lit(0), F.greatest(n - half - 1, F.lit(0)), F.lit(half))
+            wanted = F.lit(True) if smaller is None else n > 2 * smaller
+            own = F.when(wanted, F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(placed, s + 1, 2 * half).alias("p"))))
+            return F.coalesce(own, F.array().cast("array<struct<start:int,p:array<struct<line:int,w:string>>>>"))
+
+        halves = sizes_of(2**31, longest)
+        every = F.concat(*[windows(h, None if k == 0 else halves[k - 1]) for k, h in enumerate(halves)])
+        key_words = _constant(model.keys, "array<string>")
+        likely = F.filter(every, lambda x: F.arrays_overlap(F.transform(x["p"], lambda y: y["w"]), key_words))
+        found = F.transform(likely, lambda x: window_finding(
+            F.transform(x["p"], lambda y: y["w"]), F.transform(x["p"], lambda y: y["line"]), x["start"], model))
+        return _apart(F.filter(found, lambda f: f.isNotNull()))
+
+    placed = F.transform(paragraphs, lambda p: F.flatten(F.transform(F.split(p, "\n"), words_with_lines)))
+    found = F.flatten(F.transform(placed, findings))
+    named = F.transform(found, lambda f: F.struct(f["line"].alias("line"), f["family"].alias("family"), f["probability"].alias("probability")))
+    return docs.withColumn(column, F.when(may_hold(text), named).otherwise(F.array().cast(
         "array<struct<line:int,family:string,probability:double>>")))
