@@ -1,15 +1,18 @@
 """Main text of web pages as the maximum-scoring subsequence of words and tags.
 
-A page is read once as a sequence of words and tags. Words score by where they stand (inside
-a page's main element, outside one, on a page without one; inside an element that is named
-like a menu, form or advert, or not), tags score against. The weights are log ratios of how
-often each kind stands inside and outside the article on labelled pages: pages that mark
-their article themselves (at most ``MAX_LABELLED`` of them) and a few made-up layouts. One
-linear scan finds the contiguous region with the greatest sum. Blocks of the region that lie
-in menus, forms and the like are left out of its text.
-
-Blocks are cut at block elements; a line break is white space. Character references are
-decoded, white space becomes one space, blocks are joined by a line feed in page order.
+A page is read once as a sequence of words and tags. Words score by where they stand: inside
+a page's main element, outside of it or on a page without one, and in a block that is mostly
+links or not. Tags, and blocks inside elements that are named like a menu, form or advert,
+score against. The weights come from how often each kind stands inside and outside the
+article on labelled pages, as they are: pages that mark their article themselves (at most
+``MAX_LABELLED`` of them) and a few made-up layouts. One linear scan finds the contiguous
+region with the greatest sum. Blocks of the region that lie aside are left out of its text.
+An element that holds most of the words around it lies nowhere aside, whatever its name.
+
+Blocks are cut at block elements only: inline elements, whatever their names, stay in their
+block, and a line break is white space. Hidden inline elements are left out. Character
+references are decoded, white space becomes one space, blocks are joined by a line feed in
+page order.
 
 Null and empty pages, and pages whose best region is empty, give an empty text. Broken pages
 are read as far as they go: an open comment, script or tag takes the rest. Repeated rows give
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import few_hashes, map_arrow, small_batches
 
 MAX_LABELLED, MAX_LABELLED_CHARS = 400, 100_000
+FACTORS = (1.0, 0.5, 0.25, 0.12, 0.06, 0.03)
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^>]*(?:>|\Z)"
@@ -66,19 +70,41 @@ ASIDE_NAMES = {
 CONTENT_NAMES = {"article", "body", "content", "entry", "headline", "heading", "main", "post", "story", "text", "title"}
 
 
+@dataclass
+class Block:
+    """Words between block elements, the aside elements around them and how much of them is links."""
+
+    words: list[str]
+    asides: tuple[int, ...]
+    main: bool
+    headline: bool  # a heading whose only aside elements are headers
+    linked: bool
+
+
 @dataclass
 class Page:
-    """tokens: (kind, number of words, block) in page order; blocks: (words, lies aside)."""
+    """tokens: (tag or "", block or -1, aside elements, in a main element) in page order."""
 
-    tokens: list[tuple[str, int, int]] = field(default_factory=list)
-    blocks: list[tuple[list[str], bool]] = field(default_factory=list)
-    labelled: list[bool] = field(default_factory=list)  # whether each token lies in the main element
+    tokens: list[tuple[str, int, tuple[int, ...], bool]] = field(default_factory=list)
+    blocks: list[Block] = field(default_factory=list)
+    in_main: list[bool] = field(default_factory=list)  # of each aside element
     has_main: bool = False
 
+    def settle(self) -> set[int]:
+        """The aside elements that count.
 
-def _lies_aside(tag: str, attributes: str) -> bool:
-    if tag in ASIDE_TAGS:
-        return True
+        One that holds over half of the page's words (or, inside the main element, of its words)
+        is the page itself, whatever its name says.
+        """
+        held, total, main = Counter(), 0, 0
+        for b in self.blocks:
+            total += len(b.words)
+            main += len(b.words) if b.main else 0
+            held.update({a: len(b.words) for a in b.asides})
+        return {a for a, inside in enumerate(self.in_main) if 2 * held[a] <= (main if inside else total)}
+
+
+def _hidden(attributes: str) -> bool:
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return False
     for m in ATTRIBUTE.finditer(attributes):
@@ -87,6 +113,16 @@ def _lies_aside(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
+    return False
+
+
+def _lies_aside(tag: str, attributes: str) -> bool:
+    if tag in ASIDE_TAGS or _hidden(attributes):
+        return True
+    if not attributes or "=" not in attributes:
+        return False
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.lower() in ASIDE_ROLES:
             return True
         if name in ("class", "id") and tag not in ("html", "body"):
@@ -102,52 +138,56 @@ def _lies_aside(tag: str, attributes: str) -> bool:
 def read_page(source: str | None) -> Page:
     """The words and tags of a page, in one pass."""
     page = Page()
-    stack: list[tuple[str, bool, bool]] = []  # tag, lies aside, main element
-    words: list[str] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, number of the aside element or -1, main element
     text: list[str] = []
+    hidden: list[str] = []  # open inline elements from a hidden one on
+    chars, link_chars, in_link = 0, 0, False
     at, source = 0, source or ""
 
-    def flush_text() -> None:
-        if text:
-            words.extend(html.unescape("".join(text)).split())
-            text.clear()
+    def around() -> tuple[tuple[int, ...], bool]:
+        return tuple(a for _, a, _ in stack if a >= 0), any(m for _, _, m in stack)
 
     def flush_block() -> None:
-        flush_text()
+        nonlocal chars, link_chars
+        words = html.unescape("".join(text)).split()
+        text.clear()
         if words:
-            aside = any(a for _, a, _ in stack)
-            main = any(m for _, _, m in stack)
+            asides, main = around()
             heading = bool(stack) and stack[-1][0] in ("h1", "h2", "h3")
-            if aside and heading and main and all(t == "header" for t, a, _ in stack if a):
-                aside = False  # the article's own headline
-            page.blocks.append((list(words), aside))
-            page.tokens.append((("aside " if aside else "text ") + ("in" if main else "out"), len(words), len(page.blocks) - 1))
-            page.labelled.append(main and not aside)
-            words.clear()
-
-    def tag_token(tag: str) -> None:
-        page.tokens.append((f"<{tag}>", 0, -1))
-        page.labelled.append(any(m for _, _, m in stack) and not any(a for _, a, _ in stack))
+            headline = heading and main and all(t == "header" for t, a, _ in stack if a >= 0)
+            page.blocks.append(Block(words, asides, main, headline, 2 * link_chars >= max(1, chars)))
+            page.tokens.append(("", len(page.blocks) - 1, asides, main))
+        chars, link_chars = 0, 0
+
+    def add_text(chunk: str) -> None:
+        nonlocal chars, link_chars
+        if not hidden:
+            text.append(chunk)
+            n = len(chunk.strip())
+            chars += n
+            link_chars += n if in_link else 0
 
     for m in iter(lambda: TOKEN.search(source, at), None):
-        text.append(source[at:m.start()])
+        add_text(source[at:m.start()])
         at = m.end()
         opened, attributes = (m[2] or m[4] or "").lower(), m[3] or m[5] or ""
         closed = (m[1] or "").lower()
         tag = opened or closed
         if not tag:
             continue
-        if tag in INLINE:
+        if tag in INLINE:  # no inline element parts a block, whatever its name
             if tag == "br":
-                text.append(" ")
-            if opened and tag != "br" and _lies_aside(tag, attributes):
-                flush_block()
-                stack.append((tag, True, False))
-            elif closed and stack and stack[-1][0] == tag:
-                flush_block()
-                stack.pop()
-            tag_token(tag)
+                add_text(" ")
+            if tag == "a":
+                in_link = bool(opened)
+            if opened and tag not in VOID and (hidden or _hidden(attributes)):
+                hidden.append(tag)
+            elif closed and tag in hidden:
+                while hidden.pop() != tag:
+                    pass
+            page.tokens.append((f"<{tag}>", -1, *around()))
             continue
+        hidden.clear()
         flush_block()
         if opened in RAW:
             end = re.compile(rf"</\s*{re.escape(opened)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
@@ -158,10 +198,12 @@ def read_page(source: str | None) -> Page:
             if opened in ("body",) and any(t == "head" for t, _, _ in stack):
                 stack = [x for x in stack if x[0] != "head"]
             if opened not in VOID:
-                aside = _lies_aside(opened, attributes)
+                aside, asides = _lies_aside(opened, attributes), around()
                 main = opened in MAIN and not aside
-                page.has_main |= main and not any(a for _, a, _ in stack)
-                stack.append((opened, aside, main))
+                page.has_main |= main and not asides[0]
+                if aside:
+                    page.in_main.append(asides[1])
+                stack.append((opened, len(page.in_main) - 1 if aside else -1, main))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == closed:
@@ -169,37 +211,72 @@ def read_page(source: str | None) -> Page:
                     break
                 if stack[k][0] in ("article", "main", "body", "table") and closed in ("p", "li", "b", "div"):
                     break  # a stray end tag closes nothing around it
-        tag_token(tag)
-    text.append(source[at:])
+        page.tokens.append((f"<{tag}>", -1, *around()))
+    add_text(source[at:])
     flush_block()
     return page
 
 
-def kind_of(page: Page, kind: str) -> str:
-    return kind if kind[0] == "<" or page.has_main else kind.split()[0] + " alone"
+def kinds_of(page: Page, alone: bool) -> list[tuple[str, int, int, bool]]:
+    """(kind, weight of the token, block or -1, in the article) of each token.
+
+    A block counts each of its words, one that lies aside counts once. ``alone`` leaves out
+    what the main element says.
+    """
+    counted, out = page.settle(), []
+    for tag, number, asides, main in page.tokens:
+        aside = any(a in counted for a in asides)
+        if tag:
+            out.append((tag, 1, -1, main and not aside))
+            continue
+        block = page.blocks[number]
+        aside &= not block.headline
+        place = "alone" if alone else "in" if main else "out"
+        kind = f"{'aside' if aside else 'linked' if block.linked else 'text'} {place}"
+        out.append((kind, 1 if aside else len(block.words), number, main and not aside))
+    return out
 
 
 def fit_weights(pages: list[Page]) -> dict[str, float]:
-    """Log ratios of each kind inside and outside the labelled regions; tags score below zero."""
+    """Weights from how often each kind stands inside and outside of labelled articles.
+
+    Words score log(1 + inside / outside), which is positive and near zero for what is rare in
+    articles; tags and blocks that lie aside score -log(1 + outside / inside), all of them
+    times the factor of ``FACTORS`` that finds the articles best where the page does not say
+    where they are.
+    """
     inside, outside = Counter(), Counter()
     for page in pages:
-        for (kind, n, _), label in zip(page.tokens, page.labelled):
-            (inside if label else outside)[kind_of(page, kind)] += max(n, 1)
-            if n:  # pages without a main element know the two kinds of places only
-                (inside if label else outside)[kind.split()[0] + " alone"] += n
+        for alone in (False, True):  # also as if the page did not say where its article is
+            for kind, n, _, label in kinds_of(page, alone):
+                if kind[0] != "<" or not alone:
+                    (inside if label else outside)[kind] += n
     total_in, total_out = sum(inside.values()) + 1, sum(outside.values()) + 1
     weights = {}
     for kind in {*inside, *outside}:
-        w = math.log((inside[kind] + 0.5) / total_in) - math.log((outside[kind] + 0.5) / total_out)
-        if kind[0] == "<":
-            weights[kind] = min(max(w / 4, -0.5), -0.1)
-        elif kind == "text alone":
-            weights[kind] = 1.0  # nothing but names and tags tells the places of such a page apart
-        elif kind == "text in":
-            weights[kind] = max(w, 1.0)
-        else:
-            weights[kind] = min(w, -0.05) if kind == "text out" else -0.05
-    return weights
+        i, o = (inside[kind] + 0.5) / total_in, (outside[kind] + 0.5) / total_out
+        weights[kind] = -math.log1p(o / i) if against(kind) else math.log1p(i / o)
+    scaled = [{k: w * factor if against(k) else w for k, w in weights.items()} for factor in FACTORS]
+    marked = [kinds_of(page, True) for page in pages if page.has_main]
+    return max(scaled, key=lambda w: (found_share(marked, w), -scaled.index(w)))
+
+
+def against(kind: str) -> bool:
+    return kind[0] == "<" or kind.startswith("aside")
+
+
+def found_share(pages: list[list[tuple[str, int, int, bool]]], weights: dict[str, float]) -> float:
+    """Mean agreement (intersection over union, in words) of the regions with the articles."""
+    shares = []
+    for tokens in pages:
+        start, end = best_region([weights[kind] * n for kind, n, _, _ in tokens])
+        both = union = 0
+        for k, (kind, n, _, label) in enumerate(tokens):
+            if not against(kind):
+                both += n if label and start <= k < end else 0
+                union += n if label or start <= k < end else 0
+        shares.append(both / union if union else 1.0)
+    return round(sum(shares) / max(1, len(shares)), 6)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -214,25 +291,34 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return best_at
 
 
+def scored_tokens(page: Page, weights: dict[str, float]) -> list[tuple[float, int]]:
+    """(score, block to be shown or -1) of each token; kinds that were never seen count as equally often in both places."""
+    unseen = lambda kind: -math.log(2) * FACTORS[2] if against(kind) else math.log(2)
+    return [(weights.get(kind, unseen(kind)) * n, -1 if kind.startswith("aside") else number)
+            for kind, n, number, _ in kinds_of(page, not page.has_main)]
+
+
 def main_text(source: str | None, weights: dict[str, float]) -> str:
     page = read_page(source)
-    scores = [weights.get(kind_of(page, kind), -0.2 if kind[0] == "<" else 1.0 if kind.startswith("text") else -0.05) * max(n, 1)
-              for kind, n, _ in page.tokens]
-    start, end = best_region(scores)
-    blocks = [page.blocks[b] for _, n, b in page.tokens[start:end] if n]
-    return "\n".join(" ".join(words) for words, aside in blocks if not aside)
+    tokens = scored_tokens(page, weights)
+    start, end = best_region([s for s, _ in tokens])
+    return "\n".join(" ".join(page.blocks[b].words) for _, b in tokens[start:end] if b >= 0)
 
 
 def layouts() -> list[str]:
     """A few made-up pages of known layout, so that common parts have weights in any corpus."""
     body = "".join(f"<p>{'word ' * n}</p>" for n in (40, 25, 60))
+    inner = ("<h2>part two</h2><p>as <a href='/z'>they</a> say <b>word</b> for <i>word</i></p>"
+             "<ul><li>first point</li><li>second point of it</li><li>third</li></ul>"
+             "<table><tr><td>one</td><td>two</td></tr></table><blockquote>said it</blockquote>")
     aside = ("<header><a href='/'>site</a></header><nav><ul>" + "<li><a href='/x'>one</a></li>" * 6 + "</ul></nav>"
              "<div class='cookie-notice'>we use cookies <button>ok</button></div>")
+    plain = "<div>" + "<a href='/x'>some</a> " * 5 + "</div><div><ul>" + "<li><a href='/x'>more of that</a></li>" * 6 + "</ul></div>"
     after = ("<aside class='sidebar'><h3>more</h3><ul>" + "<li><a href='/y'>two three</a></li>" * 5 + "</ul></aside>"
              "<form><label>mail</label><input></form><section class='comments'><p>nice words here</p></section>"
              "<footer>all rights</footer>")
-    return [f"<html><body>{aside}<{tag}><h1>a title</h1>{body}<div class='ad'>buy now</div>{body}</{tag}>{after}</body></html>"
-            for tag in ("article", "main")]
+    return [f"<html><body>{before}<{tag}><h1>a title</h1>{body}<div class='ad'>buy now</div>{middle}{body}</{tag}>{end}</body></html>"
+            for tag in ("article", "main") for before, end in ((aside, after), (plain, plain)) for middle in ("", inner)]
 
 
 def train(pages: DataFrame, html_column: str = "html", id_column: str = "page_id", limit: int = MAX_LABELLED) -> dict[str, float]:

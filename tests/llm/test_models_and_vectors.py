@@ -214,6 +214,39 @@ def test_main_text_of_layouts(spark):
     assert mainhtml.extract(table.limit(0), weights).count() == 0
 
 
+def test_blocks_and_names():
+    weights = mainhtml.fit_weights([mainhtml.read_page(p) for p in mainhtml.layouts()])
+    body = "<p>" + "word " * 30 + "</p>"
+    plain = " ".join(["word"] * 30)
+    cases = {
+        "<p>Hello <span class='share'>world</span> again</p>": "Hello world again",  # inline names part no block
+        "<div>Hel<b>lo</b> <i style='display:none'>gone <b>too</b></i>there<a href='#'>fore</a></div>": "Hello therefore",
+        f"<div class='comment-free-article'>{body}{body}</div><nav>a b</nav>": f"{plain}\n{plain}",  # most of the page
+        f"<main><section class='related-work'>{body}</section></main><div class='related'>{body}</div>": plain,
+        f"<form id='aspnetForm'>{body}<div class='sidebar'>side</div></form>": plain,
+        f"<div><a>Home</a> <a>News</a> <a>Contact</a></div><div><h2>Head</h2>{body}<p>see <a>that</a> here</p></div>": f"Head\n{plain}\nsee that here",
+    }
+    for source, text in cases.items():
+        assert mainhtml.main_text(source, weights) == text
+
+
+def test_the_region_is_the_best_of_all():
+    """The scan finds the greatest sum of all contiguous runs of the page's scored tokens."""
+    rng = random.Random(2)
+    weights = mainhtml.fit_weights([mainhtml.read_page(p) for p in mainhtml.layouts()])
+    part = lambda: rng.choice(["<p>some words here", "<ul><li><a href='x'>link here</a></li></ul>", "<div class='ad'>buy</div>", "<nav>a b c</nav>",
+                               "<div>", "</div>", "<table><tr><td>cell</td></tr></table>", "<h2>head</h2>", "one <b>two</b> three<br>", "</p>"])
+    for _ in range(200):
+        source = "".join(part() for _ in range(rng.randrange(1, 14)))
+        page = mainhtml.read_page(source)
+        tokens = mainhtml.scored_tokens(page, weights)
+        sums = {(a, b): sum(s for s, _ in tokens[a:b]) for a in range(len(tokens)) for b in range(a + 1, len(tokens) + 1)}
+        best = max([0.0, *sums.values()])
+        texts = {"\n".join(" ".join(page.blocks[k].words) for _, k in tokens[a:b] if k >= 0)
+                 for (a, b), s in sums.items() if s > best - 1e-9} if best > 0 else {""}
+        assert mainhtml.main_text(source, weights) in texts
+
+
 def test_main_text_of_marked_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in mainhtml.extract(pages, mainhtml.train(pages)).collect()}
