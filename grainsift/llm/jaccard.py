@@ -18,9 +18,10 @@ link when 100 * |intersection| >= percent * |union|.
    each other again.
 5. Candidates are verified on the whole sets. Where long lists still hold several groups, the
    sets of such lists form families. A family is cut into blocks of bounded length by bands
-   of size, blocks whose sizes rule out a link are skipped as a whole, and each other pair
-   of blocks is compared in one task by a product of its membership matrices, which yields
-   a row for each set, never pairs. Groups are the connected components.
+   of size. Blocks whose sizes rule out a link are skipped as a whole, and so are pairs of
+   blocks of the family's largest group. Each other pair of blocks is compared in one task by
+   a product of its membership matrices, which yields a row for each set, never pairs. Groups
+   are the connected components.
 
 No link between different groups is missed; links inside a group that follow from the group
 need not be verified, since the result is the group of each document.
@@ -341,17 +342,26 @@ def _family_links(lists: DataFrame, texts: DataFrame, size: int, percent: int) -
     members = stored(families.join(lists.select("node", "component").distinct(), "node"), "families")
     sets = _sets_of(members.select(F.col("node").alias("id")), texts, size).withColumnRenamed("id", "node")
     unit = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9  # sets that link are at most one band apart
-    sized = stored(members.join(sets, "node").withColumn("band", F.floor(F.log(F.size("tokens")) / unit)), "sized")
-    counts = sized.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-    blocks = counts.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("blocks"))  # some 100 bands
-    code = lambda band, k: F.struct(band.alias("band"), k.cast("bigint").alias("k"))
-
-    def blocks_of(band):
-        n = F.coalesce(F.try_element_at("blocks", band), F.lit(0))
-        return F.filter(F.transform(F.sequence(F.lit(0).cast("bigint"), n), lambda k: code(band, k)), lambda x: x["k"] < n)
-
-    near = F.flatten(F.transform(F.array(*[F.col("band") + d for d in (-1, 0, 1)]), blocks_of))
-    own = code(F.col("band"), F.pmod(F.xxhash64("node"), F.element_at("blocks", F.col("band"))))
+    groups = members.groupBy("family", "component").agg(F.count("*").alias("n"))
+    largest = groups.groupBy("family").agg(F.max(F.struct("n", "component")).alias("largest")).select("family", "largest.component")
+    band = F.floor(F.log(F.size("tokens")) / unit)
+    rest = (F.col("component") != F.col("largest")).cast("bigint")  # 0 in the largest group of the family
+    sized = stored(members.join(largest.withColumnRenamed("component", "largest"), "family").join(sets, "node")
+                   .select("family", "node", "component", "tokens", band.alias("band"), rest.alias("rest")), "sized")
+    counts = sized.groupBy("family", (F.col("band") * 2 + F.col("rest")).alias("kind")).agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    blocks = counts.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("blocks"))  # some 200 kinds
+    code = lambda kind, k: F.struct(kind.alias("kind"), k.cast("bigint").alias("k"))
+
+    def blocks_of(kind):
+        n = F.coalesce(F.try_element_at("blocks", kind), F.lit(0))
+        return F.filter(F.transform(F.sequence(F.lit(0).cast("bigint"), n), lambda k: code(kind, k)), lambda x: x["k"] < n)
+
+    # two blocks of the largest group are skipped: their sets are one group already
+    kinds = [(F.col("band") + d) * 2 + r for d in (-1, 0, 1) for r in (0, 1)]
+    wanted = F.filter(F.array(*kinds), lambda kind: (F.col("rest") == 1) | (F.pmod(kind, F.lit(2)) == 1))
+    near = F.flatten(F.transform(wanted, blocks_of))
+    kind = F.col("band") * 2 + F.col("rest")
+    own = code(kind, F.pmod(F.xxhash64("node"), F.element_at("blocks", kind)))
     dealt = (sized.join(blocks, "family").withColumn("own", own).withColumn("other", F.explode(near))
              .select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "component", "tokens"))
 
