@@ -94,6 +94,13 @@ def free_name(columns: Sequence[str], wanted: str) -> str:
     return wanted
 
 
+def refuse_clash(columns: Sequence[str], *names: str) -> None:
+    """Raise if a result column has the name of a column that is passed through."""
+    taken = {c.lower() for c in columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are there already; choose other names for the result")
+
+
 def small_batches(batches: Iterable, rows: int = 1000) -> Iterator:
     """The same rows in batches of at most ``rows``, which bounds what a task holds at once."""
     for batch in batches:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import at_release, free_name, map_arrow
+from .common import at_release, free_name, map_arrow, refuse_clash
 
 WIDTH = 10
 MAX_BENCHMARK_BYTES = 16 << 20
@@ -133,8 +133,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, tex
                   block_bytes: int = MAX_BENCHMARK_BYTES, drop_text: bool = False) -> DataFrame:
     """The documents' columns and, named by ``names``: number of words, positions of hit words, items.
 
-    The items are ids as text, sorted. ``names`` must clash with no column of the documents.
+    The items are ids as text, sorted. ``names`` that a column of the documents has are refused.
     """
+    refuse_clash(docs.columns, *names)
     spark = docs.sparkSession
     out = docs.withColumns({names[0]: F.lit(0).cast("bigint"), names[1]: F.array().cast("array<int>"),
                             names[2]: F.array().cast("array<string>")})

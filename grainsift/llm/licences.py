@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import few_hashes
+from .common import few_hashes, refuse_clash
 
 UNKNOWN = "unknown"
 CONTAINMENT, PROBABILITY = 0.6, 0.5
@@ -256,8 +256,7 @@ def scan(docs: DataFrame, model: Model, column: str = "licences", text_column: s
 
     A column of that name, whatever its case, is refused.
     """
-    if column.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"there is a column {column!r} already")
+    refuse_clash(docs.columns, column)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     keys = "(?i)\\b(?:" + "|".join(re.escape(k) for k in model.keys) + ")\\b"
     may_hold = lambda c: c.rlike(keys)

@@ -13,7 +13,7 @@ comp AS (SELECT id, min(other) AS component FROM reach GROUP BY 1)"""
 EMBEDDING_NEARDUP = f"""
 WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v
-  WHERE e IS NOT NULL AND list_dot_product(e, e) > 0),
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
 links AS (SELECT x.id AS a, y.id AS b FROM u x, u y WHERE x.id < y.id AND list_dot_product(x.e, y.e) >= 0.9),
 n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) AS q GROUP BY 1),
 {_reach('v', 'links')}

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import CACHE_ENTRIES, at_release, few_hashes, free_name, map_arrow, small_batches
+from .common import CACHE_ENTRIES, at_release, few_hashes, free_name, map_arrow, refuse_clash, small_batches
 from .fingerprints import mixed
 
 BITS = 18
@@ -187,8 +187,9 @@ def _score_batches(batches, shared, text_at, drop_text, column):
 
 
 def score(docs: DataFrame, model: Model, column: str = "score", text_column: str = "text", drop_text: bool = False) -> DataFrame:
-    """The documents with a column of scores; ``column`` must clash with none of theirs."""
+    """The documents with a column of scores; a name that one of theirs has is refused."""
     spark = docs.sparkSession
+    refuse_clash(docs.columns, column)
     text_at = docs.columns.index(text_column)
     fields = [f for f in docs.schema.fields if not (drop_text and f.name == text_column)]
     work = functools.partial(_score_batches, shared=spark.sparkContext.broadcast(model), text_at=text_at,

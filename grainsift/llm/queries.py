@@ -85,7 +85,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_secret_scan")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    found = secretscan.scan(table(spark, folder, "documents", "doc_id", "text"), secretscan.train())
+    forest = secretscan.train(words=secretscan.dictionary(public_tokenizers.path("word_bpe_49k.json")))
+    found = secretscan.scan(table(spark, folder, "documents", "doc_id", "text"), forest)
     spans = F.transform(F.arrays_zip("starts", "ends"), lambda s: F.concat_ws("-", s["starts"], s["ends"]))
     return found.select(
         "doc_id", "n_candidates", F.size("starts").cast("bigint").alias("n_secrets"), F.array_join(spans, ",").alias("spans"),

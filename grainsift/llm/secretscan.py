@@ -18,17 +18,20 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import json
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import map_arrow, small_batches
+from .common import at_release, map_arrow, refuse_clash, small_batches
 
 TREES, DEPTH, MAX_FINDINGS, SEED = 40, 9, 20_000, 5
 THRESHOLD = 0.5
@@ -38,6 +41,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_\-.=]{16,}")
 ASSIGNED = re.compile(r"[:=]>?[ \t]*(?:([\"'`])([^\s\"'`]{6,})|([^\s\"'`<>,;]{6,}))")
 NEXT = re.compile(r"[&?][A-Za-z][\w.\-]{0,40}=")
 INNER = re.compile(r"[A-Za-z][\w.\-]{0,40}[:=]")
+LOGIN = re.compile(r"[a-z][a-z0-9+.\-]{1,20}://[^\s:/@\"'`<>]*:([^\s/@\"'`<>]{3,})@[^\s\"'`<>]*")
+SCHEME = re.compile(r"(?i)(?:bearer|basic|token|digest|negotiate|apikey)[ \t]+([A-Za-z0-9+/_\-.=~]{6,})")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}KEY( BLOCK)?-----.*?(?:-----END [A-Z ]{0,40}KEY( BLOCK)?-----|\Z)", re.S)
 NAME = re.compile(r"([A-Za-z][\w.\-]{0,40})[\"'`\])]*\s*$")
 
@@ -67,6 +72,9 @@ def _assigned(text: str) -> Iterator[tuple[int, int]]:
     for m in ASSIGNED.finditer(text):
         at, end = m.start(2 if m[1] else 3), m.end()
         secret = _secret_name(text, m.start())
+        scheme = SCHEME.match(text, at) if secret else None
+        if scheme:  # Authorization: Bearer value
+            at, end = scheme.span(1)
         while at < end:
             inner = None if m[1] or secret else INNER.match(text, at, end)
             if inner and _secret_name(text, inner.end() - 1):  # name=token=value
@@ -85,13 +93,17 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
     """Spans in order, some may overlap; a run that is a name and its value is the value alone."""
     if not text:
         return []
-    spans = set(_assigned(text))
+    logins = [m for m in LOGIN.finditer(text)] if "://" in text else []
+    spans = {s for s in _assigned(text) if not any(m.start() <= s[1] and s[0] <= m.end() for m in logins)}
+    spans.update(m.span(1) for m in logins)  # of an address with a login the password alone
     starts = sorted(a for a, _ in spans)
     for m in RUN.finditer(text):
         run = m.group()
         kept = run.strip(".-=/") if not run.endswith("=") else run.lstrip(".-=/")
         if len(kept) >= 16 and (any(c.isdigit() for c in kept) or kept.lower() != kept and not kept[1:].islower() and not kept.isupper()):
             at = m.start() + run.index(kept)
+            if any(x.start() <= at < x.end() for x in logins):
+                continue
             k = bisect.bisect_right(starts, at)
             if k < len(starts) and starts[k] < at + len(kept) and text[starts[k] - 1] == "=":
                 name = text[at:starts[k] - 1]
@@ -114,22 +126,42 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def describe(before: str, value: str, behind: str) -> list[float]:
-    """The numbers that the forest sees; before and behind: up to 60 characters of context."""
-    short = value[:200]
-    low, n = short.lower(), max(1, len(short))
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "o" for c in short]
+def automaton(words: Iterable[str]) -> ahocorasick.Automaton:
+    """Finds all words inside a text; case is the caller's."""
+    found = ahocorasick.Automaton()
+    for w in {*words}:
+        found.add_word(w, len(w))
+    found.make_automaton()
+    return found
+
+
+COMMON = automaton(COMMON_WORDS)
+
+
+def dictionary(tokenizer_path: str) -> tuple[str, ...]:
+    """Words of four letters and more, in lower case, of a public tokenizer's vocabulary (some 10,000 to 50,000)."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    entries = vocabulary if isinstance(vocabulary, dict) else [e[0] for e in vocabulary]
+    words = {re.sub(r"^[^\w]+", "", str(e)).lower() for e in entries}
+    return tuple(sorted({w for w in words if len(w) >= 4 and w.isalpha()} | set(COMMON_WORDS)))
+
+
+def describe(before: str, value: str, behind: str, words: ahocorasick.Automaton | None = None) -> list[float]:
+    """The numbers that the forest sees; before and behind: up to 60 characters of context.
+
+    The candidate is described whole. ``words`` is the dictionary whose coverage counts.
+    """
+    low, n = value.lower(), max(1, len(value))
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "o" for c in value]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
     counts: dict[str, int] = {}
-    for c in short:
+    for c in value:
         counts[c] = counts.get(c, 0) + 1
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     covered = bytearray(len(low))
-    for w in COMMON_WORDS:
-        at = low.find(w)
-        while at >= 0:
-            covered[at:at + len(w)] = b"\1" * len(w)
-            at = low.find(w, at + 1)
+    for end, size in (words or COMMON).iter(low):
+        covered[end + 1 - size:end + 1] = b"\1" * size
     vowels = sum(c in "aeiouyáéíóúäöüèê" for c in low)
     letters = sum(k in "lu" for k in kinds)
     name = NAME.search(re.sub(r"[\s\"'`]*[:=]>?[\s\"'`]*$", "", before))
@@ -142,7 +174,7 @@ def describe(before: str, value: str, behind: str) -> list[float]:
         float(all(c in "0123456789abcdef" for c in low)), float(kinds.count("d") == len(kinds)),
         float(low.startswith(PREFIXES)), float("-----begin" in low),
         float("://" in before[-12:] or before.endswith(("/", "\\", "@", "#")) or low.startswith("http") or low.count("/") >= 2),
-        float(short.count("-") == 4 and len(short) == 36), float(bool(re.search(r"[:=]>?[\s\"'`]*$", before))),
+        float(value.count("-") == 4 and len(value) == 36), float(bool(re.search(r"[:=]>?[\s\"'`]*$", before))),
         float(bool(re.search(r"[\"'`]$", before) and re.match(r"[\"'`]", behind))), has(SECRET_WORDS), has(OTHER_WORDS),
         float(bool(re.search(r"\$\{|\{\{|<[a-z]|\(\)|\*\*\*|xxx|\.\.\.", low)) or "$" in before[-2:]),
     ]
@@ -259,29 +291,66 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int = DE
     return Tree(*map(np.array, (at, cut, below, share)))
 
 
+@dataclass
+class Forest:
+    """Trees and the words of the dictionary that they were trained with (none: a short built-in list)."""
+
+    trees: list[Tree]
+    words: tuple[str, ...] = ()
+
+    def __post_init__(self):
+        self.mark = blake2b("\n".join(self.words).encode(), digest_size=16).hexdigest()
+
+    def __len__(self) -> int:
+        return len(self.trees)
+
+    def __iter__(self) -> Iterator[Tree]:
+        return iter(self.trees)
+
+    def known(self) -> ahocorasick.Automaton:
+        """The automaton of the words, built once in each worker."""
+        if not self.words:
+            return COMMON
+        if self.mark not in _AUTOMATA:
+            _AUTOMATA.clear()
+            _AUTOMATA[self.mark] = automaton(self.words)
+        return _AUTOMATA[self.mark]
+
+
+_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
+at_release(_AUTOMATA.clear)
+
+
 def train(findings: list[tuple[str, str, str, int]] | DataFrame | None = None, trees: int = TREES, seed: int = SEED,
-          limit: int = MAX_FINDINGS) -> list[Tree]:
-    """A forest from labelled findings; a table of them has the columns before, candidate, behind and label."""
+          limit: int = MAX_FINDINGS, words: tuple[str, ...] = ()) -> Forest:
+    """A forest from labelled findings; a table of them has the columns before, candidate, behind and label.
+
+    Of a table at most ``limit`` rows are taken, those with the least hash.
+    """
     if findings is None:
         findings = labelled_findings()
     elif isinstance(findings, DataFrame):
         rows = findings.select("before", "candidate", "behind", "label").dropna(subset=["candidate", "label"])
         findings = [(r.before or "", r.candidate, r.behind or "", r.label)
-                    for r in rows.orderBy("candidate", "before", "behind", "label").limit(limit).collect()]
+                    for r in rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(limit).collect()]
+    forest = Forest([], words)
     if not findings:
-        return []
-    x = np.array([describe(b, v, a) for b, v, a, _ in findings])
+        return forest
+    known = forest.known()
+    x = np.array([describe(b, v, a, known) for b, v, a, _ in findings])
     y = np.array([float(label) for *_, label in findings])
     rng = np.random.default_rng(seed)
-    return [grow(x, y, rng) for _ in range(trees)]
+    forest.trees = [grow(x, y, rng) for _ in range(trees)]
+    return forest
 
 
-def judged(text: str | None, forest: list[Tree]) -> tuple[int, list[tuple[int, int]]]:
+def judged(text: str | None, forest: Forest) -> tuple[int, list[tuple[int, int]]]:
     """Number of candidates and the spans of those that are secrets."""
     spans = candidates(text)
     if not spans or not forest:
         return len(spans), []
-    x = np.array([describe(text[max(0, a - 60):a], text[a:b], text[b:b + 60]) for a, b in spans])
+    known = forest.known()
+    x = np.array([describe(text[max(0, a - 60):a], text[a:b], text[b:b + 60], known) for a, b in spans])
     score = sum(t.predict(x) for t in forest) / len(forest)
     return len(spans), joined([s for s, p in zip(spans, score) if p >= THRESHOLD])
 
@@ -311,12 +380,13 @@ def _scan_batches(batches, shared, text_at, names) -> Iterator[pa.RecordBatch]:
             [*batch.schema.names, *names])
 
 
-def scan(docs: DataFrame, forest: list[Tree], text_column: str = "text",
+def scan(docs: DataFrame, forest: Forest, text_column: str = "text",
          names: tuple[str, str, str] = ("n_candidates", "starts", "ends")) -> DataFrame:
     """The documents with masked texts, the number of candidates and where secrets were (in the text before).
 
-    ``names`` must clash with none of the documents' columns.
+    ``names`` that a column of the documents has are refused.
     """
+    refuse_clash(docs.columns, *names)
     work = functools.partial(_scan_batches, shared=docs.sparkSession.sparkContext.broadcast(forest),
                              text_at=docs.columns.index(text_column), names=names)
     places = T.ArrayType(T.IntegerType())
