@@ -39,7 +39,8 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; n_chars follows."""
     names = tuple(free_name(docs.columns, n) for n in ("n_candidates", "starts", "ends"))
-    found = secretscan.scan(docs, secretscan.train(), names=names)
+    words = secretscan.dictionary(public_tokenizers.path("word_bpe_49k.json"))
+    found = secretscan.scan(docs, secretscan.train(words=words), names=names)
     changed = F.size(names[1]) > 0
     return found.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).drop(*names)
 
