@@ -41,12 +41,12 @@ def _parse_one(text: Column, fmt: str) -> Column:
     else:
         # the date parser does not touch the session time zone
         parsed = F.try_to_date(text, fmt).cast("timestamp_ntz")
-    shape = _shape(fmt)
+    shape = format_shape(fmt)
     # a failed parse costs an exception inside the JVM; the shape test is far cheaper
     return F.when(text.rlike(shape), parsed) if shape else parsed
 
 
-def _shape(fmt: str) -> str | None:
+def format_shape(fmt: str) -> str | None:
     """The format as a regular expression; None when it has letters not listed above."""
     out = []
     for match in re.finditer(r"'([A-Za-z]+)'|([A-Za-z])\2*|[^A-Za-z]", fmt):
