@@ -9,6 +9,7 @@ from ..session import new_work_dir
 from ..sources import dirty as D
 from ..sources.tables import table, table_stream
 from ..streaming import batches as B, streams as X
+from ..streaming.fill import fill_forward_stream
 from . import sql as S
 from .registry import query
 
@@ -139,3 +140,16 @@ def stream_dedup_first(spark, folder):
     stream = _in_batches(spark, orders, F.floor(F.col("o_orderkey") * 3 / top))
     out = _written(spark, stream, lambda p: B.dedup_writer(p, ["o_custkey", "o_orderstatus"], ["o_orderkey"]))
     return B.first_rows(spark, out).select("o_custkey", "o_orderstatus", "o_orderkey")
+
+
+@query("stream_fill_forward", f"""WITH {S.EVENTS_DIRTY}
+SELECT event_id, user_id, last_value(value IGNORE NULLS) OVER (
+  PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value, false AS late FROM events_dirty""")
+def stream_fill_forward(spark, folder):
+    """Four batches in the order of time; the last value of each user is carried from batch to batch."""
+    events = D.events_dirty(spark, folder).select("event_id", "ts", "user_id", "value")
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(second), F.max(second)).first()
+    stream = _in_batches(spark, events, F.floor((second - low) * 4 / (high - low + 1)), 4)
+    filled = fill_forward_stream(stream, "value", ["user_id"], "ts", ["event_id"])
+    return _stored(spark, filled.drop("ts"))
