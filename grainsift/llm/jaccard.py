@@ -327,6 +327,12 @@ def _salt():
     return F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
 
 
+def _join_few(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Inner join with a table of one row per key; a key's rows are spread over ``SALTS`` tasks by their node."""
+    every = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", _salt()).join(every, [key, "salt"]).drop("salt")
+
+
 def _stars(lists: DataFrame) -> DataFrame:
     """Links (a, b) that join all nodes of a token: to the least of their salt, and these to the least of all."""
     salted = lists.select("token", "node", _salt())
@@ -346,7 +352,7 @@ def _family_links(lists: DataFrame, texts: DataFrame, size: int, percent: int) -
     largest = groups.groupBy("family").agg(F.max(F.struct("n", "component")).alias("largest")).select("family", "largest.component")
     band = F.floor(F.log(F.size("tokens")) / unit)
     rest = (F.col("component") != F.col("largest")).cast("bigint")  # 0 in the largest group of the family
-    sized = stored(members.join(largest.withColumnRenamed("component", "largest"), "family").join(sets, "node")
+    sized = stored(_join_few(members, largest.withColumnRenamed("component", "largest"), "family").join(sets, "node")
                    .select("family", "node", "component", "tokens", band.alias("band"), rest.alias("rest")), "sized")
     counts = sized.groupBy("family", (F.col("band") * 2 + F.col("rest")).alias("kind")).agg(F.ceil(F.count("*") / BLOCK).alias("n"))
     blocks = counts.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("blocks"))  # some 200 kinds
@@ -362,7 +368,7 @@ def _family_links(lists: DataFrame, texts: DataFrame, size: int, percent: int) -
     near = F.flatten(F.transform(wanted, blocks_of))
     kind = F.col("band") * 2 + F.col("rest")
     own = code(kind, F.pmod(F.xxhash64("node"), F.element_at("blocks", kind)))
-    dealt = (sized.join(blocks, "family").withColumn("own", own).withColumn("other", F.explode(near))
+    dealt = (_join_few(sized, blocks, "family").withColumn("own", own).withColumn("other", F.explode(near))
              .select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "component", "tokens"))
 
     def compare(pair: pa.Table) -> pa.Table:
@@ -378,8 +384,7 @@ def _still_apart(lists: DataFrame, links: DataFrame) -> DataFrame:
     grouped = stored(grouped, "grouped")
     apart = (grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .filter("low < high").select("token"))
-    every = apart.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return stored(grouped.withColumn("salt", _salt()).join(every, ["token", "salt"], "left_semi").drop("salt"), "apart")
+    return stored(_join_few(grouped, apart, "token"), "apart")
 
 
 def link_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_column: str = "doc_id",
