@@ -157,9 +157,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
      .option("parquet.page.row.count.limit", PAGE_ROWS).parquet(folder))
 
 
-def _with_start(rows: DataFrame) -> DataFrame:
-    """Put the running sum of n_tokens over (shard, place) in the place of these two."""
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))  # a row for each shard
+def _with_start(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Put the running sum of n_tokens over (shard, place) in the place of these two.
+
+    Totals of the shards come from ``sizes`` (shard, n_tokens), which need not read the tokens.
+    """
+    totals = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("total"))  # a row for each shard
     before = totals.select(
         "shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("place")) - F.col("n_tokens")
@@ -169,7 +172,8 @@ def _with_start(rows: DataFrame) -> DataFrame:
 
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (tokens before the document) and n_tokens; no token is read."""
-    return _with_start(spark.read.parquet(folder).select("shard", "place", "doc_id", "n_tokens"))
+    rows = spark.read.parquet(folder).select("shard", "place", "doc_id", "n_tokens")
+    return _with_start(rows, rows)
 
 
 def read_tokens(spark: SparkSession, folder: str, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -195,8 +199,9 @@ def _check_batches(batches):
 
 def read_checksums(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32, all from the ids that the files hold."""
-    rows = spark.read.parquet(folder).select("shard", "place", "doc_id", "token_ids")
-    return _with_start(map_arrow(rows, _check_batches, CHECKED))
+    files = spark.read.parquet(folder)
+    checked = map_arrow(files.select("shard", "place", "doc_id", "token_ids"), _check_batches, CHECKED)
+    return _with_start(checked, files.select("shard", "n_tokens"))
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shards: int | None = None,

@@ -201,3 +201,39 @@ def test_empty_tables(docs, run):
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_layout_of_token_files(spark, monkeypatch):
+    """Delta pages, several row groups with page indexes, and filters that leave row groups unread."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from grainsift.session import new_work_dir
+
+    monkeypatch.setattr(tokenfile, "ROW_GROUP_BYTES", 64 << 10)
+    monkeypatch.setattr(tokenfile, "PAGE_BYTES", 8 << 10)
+    folder = new_work_dir(spark, "layout")
+    rows = [(i, " ".join(f"word{(i * 7 + k) % 997}" for k in range(120))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tokenfile.write_tokens(docs, folder, WORDS, shards=4)
+    groups = [(f, k) for f in glob.glob(f"{folder.removeprefix('file:')}/*.parquet") for k in range(pq.ParquetFile(f).num_row_groups)]
+    assert len(groups) > 8
+    ranges = []
+    for f, k in groups:
+        group = pq.ParquetFile(f).metadata.row_group(k)
+        columns = {group.column(c).path_in_schema.split(".")[0]: group.column(c) for c in range(group.num_columns)}
+        assert "DELTA_BINARY_PACKED" in columns["token_ids"].encodings and "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
+        assert columns["doc_id"].has_offset_index and columns["doc_id"].has_column_index
+        ranges.append((columns["doc_id"].statistics.min, columns["doc_id"].statistics.max, columns["token_ids"].total_compressed_size))
+    ranges.sort()
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))  # row groups hold ranges of ids
+    wanted = sum(size for low, high, size in ranges if high >= 100 and low <= 110)
+    assert wanted < 0.2 * sum(size for *_, size in ranges)
+    some = tokenfile.read_tokens(spark, folder, 100, 110)
+    assert sorted(r.doc_id for r in some.collect()) == list(range(100, 111))
+    plan = some._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(doc_id,100)" in plan and "LessThanOrEqual(doc_id,110)" in plan
+    meta = tokenfile.read_metadata(spark, folder)
+    assert "token_ids" not in meta._jdf.queryExecution().executedPlan().toString()
+    assert [r.start for r in meta.orderBy("doc_id").limit(2).collect()][0] == 0
