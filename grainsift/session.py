@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,16 +45,34 @@ def name_local_folder(spark: SparkSession) -> None:
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="grainsift-"))
 
 
+_MADE: list[str] = []  # work folders named by this driver, oldest first
+
+
 def new_work_dir(spark: SparkSession, label: str) -> str:
     """A fresh, unused folder below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def work_folders() -> list[str]:
+    """The work folders named so far; what is beyond an earlier length was made since then."""
+    return list(_MADE)
+
+
+def delete_folders(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete work folders that no table still in use is read from; only ones named by this driver."""
+    for path in paths:
+        if path in _MADE:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _MADE.remove(path)
 
 
 def materialized(df: DataFrame, label: str = "table") -> DataFrame:
     """The table written once to the shared folder and read back.
 
     Cuts the lineage before a table is used several times; later reads fetch only
-    the columns they need. The folder is left for the caller's clean-up.
+    the columns they need. The folder stays until :func:`delete_folders` is given it.
     """
     path = new_work_dir(df.sparkSession, label)
     df.write.parquet(path)

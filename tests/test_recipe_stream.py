@@ -141,3 +141,15 @@ def test_windowed_rules_over_several_batches(spark, rows_of):
     total = got.groupBy("rule_id").agg(F.sum("checked"), F.sum("violations"))
     report = R.rules_report(events, D.EVENT_RULES).select("rule_id", "checked", "violations")
     assert rows_of(total) == rows_of(report)
+
+
+def test_work_folders_are_deleted_on_request(spark, rows_of):
+    from grainsift.session import delete_folders, materialized, work_folders
+
+    before = len(work_folders())
+    first = materialized(small(spark), "one")
+    second = materialized(first, "two")
+    one, two = work_folders()[before:]
+    delete_folders(spark, [one, one, "/tmp/never-made-here"])
+    assert rows_of(second) == rows_of(small(spark)) and work_folders()[before:] == [two]
+    assert not any(one in f for f in second.inputFiles())
