@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from grainsift.llm import decontaminate, jaccard, pieces, quality, secretscan
 from grainsift.llm.common import free_name, stored
 from grainsift.queries.registry import Query
+from grainsift.session import delete_folders, work_folders
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,13 +62,15 @@ STAGES = [
     ("SentencePiece encoding", encode),
 ]
 
-ORACLE_SQL = None  # learned models and a tokenizer; tests hold it against a plain version
+ORACLE_SQL = None  # learned models and a tokenizer; tests/llm/test_pipeline.py holds each stage against a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before = len(work_folders())
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        delete_folders(spark, work_folders()[before:-1])  # all but the result, which is the last one made
     return docs
 
 
