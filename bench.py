@@ -24,6 +24,8 @@ HEADLINE = [
     "inject_logic_errors", "scenario_dirty",
     "score_accuracy_keyed", "score_accuracy_positional", "score_golden", "score_composite",
     "recipe_run", "lineage_log", "stream_rules_by_window",
+    "near_duplicate_pairs", "snap_to_dictionary", "profile_state_merged", "distinct_keys_merged", "profile_topk_events",
+    "row_ordinal_source", "fill_forward_source", "sql_clean",
 ]
 RUNS = 2
 
