@@ -152,11 +152,10 @@ def top_values_two_pass(
         counted = rows.join(known, "__key", "left_semi").groupBy("__key").agg(
             F.min("value").alias("value"), F.count(F.lit(1)).alias("count"))
         exact = counted.orderBy(F.desc("count"), F.asc("value")).limit(n).select("value", "count")
-        best = exact.toArrow()
-        counts = best["count"].to_pylist()
+        counts = [r["count"] for r in exact.collect()]
         covered = counted.agg(F.sum("count")).first()[0] == total if len(counts) < n else False
         if covered or (len(counts) == n and counts[-1] > 2 * summary_error(candidates, total)):
-            return df.sparkSession.createDataFrame(best, exact.schema)
+            return exact
     return top_values(df, column, n)
 
 
