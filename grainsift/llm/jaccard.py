@@ -53,7 +53,7 @@ MANY = 1000
 LONG_LIST = 4
 LIST_PART = 1000
 SALTS = 64
-BLOCK, MATRIX_TOKENS = 256, 4096
+BLOCK, BLOCK_TOKENS, MATRIX_TOKENS = 1024, 1 << 20, 2048  # sets of a block, tokens of all of them
 
 SETS = "doc_id bigint, n_shingles bigint, n_counted int, node bigint"
 
@@ -354,7 +354,8 @@ def _family_links(lists: DataFrame, texts: DataFrame, size: int, percent: int) -
     rest = (F.col("component") != F.col("largest")).cast("bigint")  # 0 in the largest group of the family
     sized = stored(_join_few(members, largest.withColumnRenamed("component", "largest"), "family").join(sets, "node")
                    .select("family", "node", "component", "tokens", band.alias("band"), rest.alias("rest")), "sized")
-    counts = sized.groupBy("family", (F.col("band") * 2 + F.col("rest")).alias("kind")).agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    counts = sized.groupBy("family", (F.col("band") * 2 + F.col("rest")).alias("kind")).agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("tokens")) / BLOCK_TOKENS)).alias("n"))
     blocks = counts.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("blocks"))  # some 200 kinds
     code = lambda kind, k: F.struct(kind.alias("kind"), k.cast("bigint").alias("k"))
 
