@@ -142,7 +142,7 @@ def fit(found: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int
     rows = []
     for f in found:
         x = ratios[f]
-        rows.append((f, x / (math.sqrt(float(x @ x)) or 1.0)))
+        rows.append((f, (x / (math.sqrt(float(x @ x)) or 1.0)).astype(np.float32)))  # the driver holds all of them
     y = np.where(labels == 1, 1.0, -1.0)
     learn = np.flatnonzero(~apart)
     w, bias = descend([rows[i] for i in learn], y[learn], c, epochs, size, seed)
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column:
     known = rows.join(F.broadcast(some), "id").select("id", "label", "text")  # at most ``limit`` rows are broadcast
     found = map_arrow(known, _feature_batches, "id bigint, label int, mark bigint, found array<int>")
     table = found.orderBy(F.xxhash64("id"), "id", "label", "mark").limit(limit).toArrow().combine_chunks()
-    lists = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in table["found"]]
+    lists = [x.values.to_numpy(zero_copy_only=False) for x in table["found"]]  # views of one buffer
     return fit(lists, table["label"].to_numpy().astype(np.int64))
 
 

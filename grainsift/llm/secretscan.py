@@ -338,6 +338,7 @@ def train(findings: list[tuple[str, str, str, int]] | DataFrame | None = None, t
         return forest
     known = forest.known()
     x = np.array([describe(b, v, a, known) for b, v, a, _ in findings])
+    _AUTOMATA.clear()  # the driver needs it no more
     y = np.array([float(label) for *_, label in findings])
     rng = np.random.default_rng(seed)
     forest.trees = [grow(x, y, rng) for _ in range(trees)]
