@@ -39,14 +39,14 @@ def segment_keys(text: Column, distance: int) -> Column:
     return F.array(*keys)
 
 
-def substring_keys(text: Column, distance: int) -> Column:
-    """The keys of the texts that may be found: those of an equal length or up to ``distance`` shorter.
+def substring_keys(text: Column, distance: int, least: int = 0, most: int | None = None) -> Column:
+    """The keys of the texts that may be found: those ``least`` to ``most`` (``distance``) characters shorter.
 
     The i-th segment of a shorter text can only be where i edits before it and the others
     behind it may have moved it, which bounds the substrings to look at.
     """
     length, keys = F.char_length(text), []
-    for less in range(distance + 1):
+    for less in range(least, (distance if most is None else most) + 1):
         short = length - less
         for i in range(distance + 1):
             start, size = _segment(short, i, distance + 1)

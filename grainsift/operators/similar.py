@@ -5,17 +5,24 @@ texts within the distance share a segment; segments are equi-join keys, and what
 together is measured by ``levenshtein`` with a threshold inside the join. Equal texts are one
 node with a count before anything is compared, and copies are never expanded into pairs.
 
-A segment that many texts share (a common prefix) is dealt into blocks on both sides, so one
-task compares at most ``BLOCK_ROWS`` with ``BLOCK_ROWS`` texts whatever the frequency. The
-number of comparisons under such a segment still grows with its square: name columns that
-must agree (``within``) where there are any.
+A segment that many texts share (a common prefix) would bring all of them together. Texts of
+one length and at most ``WORD_CHARS`` characters that hold such a segment are therefore met by
+what is left of them without the one or two places of an edit (distance 1 or 2): whatever
+meets so is within the distance, and texts in which one or two characters differ are counted
+per group without a pair being made. Only places in which texts of that length differ at all
+are taken out.
+
+For longer texts, texts of different lengths and larger distances, such a segment is dealt
+into blocks on both sides, so one task compares at most ``BLOCK_ROWS`` with ``BLOCK_ROWS``
+texts whatever the frequency. The number of comparisons under it still grows with its square:
+name columns that must agree (``within``) where there are any.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.edits import deletion_keys, segment_keys, substring_keys, within_distance
 from ..functions.frames import literal_rows
@@ -24,7 +31,8 @@ from ..session import materialized
 from .skew import join_unique, key_hash
 
 BLOCK_ROWS = 2_000
-WORD_CHARS = 32  # dictionary values up to this length are found by deletions, longer ones by segments
+DENSE_TEXTS = 200  # a segment in more texts than this is shared by many
+WORD_CHARS = 32  # texts up to this length are found by deletions (dictionaries, shared segments), longer ones by segments
 
 
 def _text(df: DataFrame, column: str, fold: bool) -> Column:
@@ -39,23 +47,33 @@ def _folded(c: Column) -> Column:
 
 
 def _nodes(df: DataFrame, column: str, key: str, within: Sequence[str], fold: bool) -> DataFrame:
-    """One row per distinct text (and cells of ``within``): __t, __w0 ..., least key, number of rows."""
+    """One row per distinct text (and cells of ``within``): __t, __w0 ..., least key, number of rows, __id.
+
+    The numbers in __id hold once the table is stored.
+    """
     cells = [col(c).alias(f"__w{i}") for i, c in enumerate(within)]
     rows = df.select(col(key).alias("__key"), _text(df, column, fold).alias("__t"), *cells)
     rows = rows.filter("__key is not null and __t is not null")
     group = ["__t", *[f"__w{i}" for i in range(len(within))]]
-    return rows.groupBy(*group).agg(F.min("__key").alias("__low"), F.count(F.lit(1)).alias("__n"))
+    nodes = rows.groupBy(*group).agg(F.min("__key").alias("__low"), F.count(F.lit(1)).alias("__n"))
+    return nodes.withColumn("__id", F.monotonically_increasing_id())
+
+
+def _shared(index: DataFrame, probe: DataFrame, rows: int) -> DataFrame:
+    """Keys that more than ``rows`` rows of a side hold: __hot and the counts __i and __j.
+
+    Counted in one aggregate over both sides: a join of the counts would move every key.
+    """
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    both = index.select("__k", one.alias("__i"), none.alias("__j")).unionAll(probe.select("__k", none.alias("__i"), one.alias("__j")))
+    counts = both.groupBy(F.col("__k").alias("__hot")).agg(F.sum("__i").alias("__i"), F.sum("__j").alias("__j"))
+    return counts.filter((F.greatest("__i", "__j") > rows) & (F.least("__i", "__j") > 0))
 
 
-def _dealt(index: DataFrame, probe: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+def _dealt(index: DataFrame, probe: DataFrame, shared: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with a block (__p, __q): each pair of rows with equal __k meets in one block."""
-    count = lambda df, n: df.groupBy("__k").agg(F.count(F.lit(1)).alias(n))
     blocks = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
-    hot = (
-        count(index, "__i").join(count(probe, "__j"), "__k")
-        .filter((F.col("__i") > block_rows) | (F.col("__j") > block_rows))
-        .select(F.col("__k").alias("__hot"), blocks("__i").alias("__ps"), blocks("__j").alias("__qs"))
-    )
+    hot = shared.filter(F.greatest("__i", "__j") > block_rows).select("__hot", blocks("__i").alias("__ps"), blocks("__j").alias("__qs"))
     own = lambda parts: F.pmod(F.xxhash64("__t", "__low"), F.coalesce(parts, F.lit(1)))
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))
 
@@ -67,13 +85,20 @@ def _dealt(index: DataFrame, probe: DataFrame, block_rows: int) -> tuple[DataFra
     return deal(index, "__p", "__ps", "__q", "__qs"), deal(probe, "__q", "__qs", "__p", "__ps")
 
 
-def _met(index: DataFrame, probe: DataFrame, same: Column, distance: int, block_rows: int) -> DataFrame:
+def _second(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{c}2" for c in df.columns})
+
+
+def _met(index: DataFrame, probe: DataFrame, same: Column, distance: int, block_rows: int,
+         shared: DataFrame | None = None) -> DataFrame:
     """Rows of both sides (probe columns end in 2) that share a key and lie within the distance."""
-    index, probe = _dealt(index, probe, block_rows)
-    probe = probe.withColumnsRenamed({c: f"{c}2" for c in probe.columns})
+    shared = materialized(_shared(index, probe, block_rows), "shared") if shared is None else shared
+    index, probe = _dealt(index, probe, shared, block_rows)
+    probe = _second(probe)
     keys = (F.col("__k") == F.col("__k2")) & (F.col("__p") == F.col("__p2")) & (F.col("__q") == F.col("__q2"))
     d = within_distance(F.col("__t"), F.col("__t2"), distance)
-    return index.join(probe, keys & same & d.isNotNull()).withColumn("__d", d)
+    # never a broadcast: Spark guesses a size from before the keys and blocks were made
+    return index.hint("merge").join(probe, keys & same & d.isNotNull()).withColumn("__d", d)
 
 
 def _keyed(nodes: DataFrame, keys: Column, within: int) -> DataFrame:
@@ -107,26 +132,143 @@ def near_pairs(
     groupable(df, [key, *within])
     _checked(distance)
     nodes = materialized(_nodes(df, column, key, within, fold), "texts")
-    return _node_pairs(nodes, distance, len(within), block_rows)
+    met, dense = _compared(nodes, distance, len(within), block_rows)
+    pairs = met.select(*PAIR, "__t", "__t2", "__d", *_cells(within))
+    if dense is not None:
+        pairs = pairs.unionAll(_changed_pairs(dense, distance, _cells(within)).select(*pairs.columns))
+        if distance == 2:
+            pairs = pairs.unionAll(_moved_pairs(dense, _cells(within)).select(*pairs.columns))
+    # of two texts of one length the smaller comes first, else the shorter
+    return pairs.select(
+        F.col("__low").alias("key_a"), F.col("__t").alias("text_a"), F.col("__n").alias("rows_a"),
+        F.col("__low2").alias("key_b"), F.col("__t2").alias("text_b"), F.col("__n2").alias("rows_b"),
+        F.col("__d").alias("distance"), *_cells(within))
 
 
-def _node_pairs(nodes: DataFrame, distance: int, within: int, block_rows: int) -> DataFrame:
-    length = F.char_length("__t")
+PAIR = ["__id", "__low", "__n", "__id2", "__low2", "__n2"]
+
+
+def _cells(within: Sequence[str]) -> list[str]:
+    return [f"__w{i}" for i in range(len(within))]
+
+
+def _agree(names: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}2"))
+    return same
+
+
+def _compared(nodes: DataFrame, distance: int, within: int, block_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of nodes within the distance, and the nodes whose pairs of one length are not among them.
+
+    These hold a segment that many texts share (or there are none). Every pair comes once.
+    """
+    names, length, other = _cells(range(within)), F.char_length("__t"), F.char_length("__t2")
+    if not distance:  # different texts are never at distance 0
+        return nodes.crossJoin(_second(nodes)).filter(F.lit(False)).withColumn("__d", F.lit(0)), None
     short = F.when(length <= distance, deletion_keys(F.col("__t"), distance))
-    index = _keyed(nodes, F.coalesce(short, segment_keys(F.col("__t"), distance)), within)
-    near_short = F.when(length <= 2 * distance, deletion_keys(F.col("__t"), distance))
-    found = F.concat(substring_keys(F.col("__t"), distance), F.coalesce(near_short, F.array().cast("array<bigint>")))
-    probe = _keyed(nodes, F.array_distinct(found), within)
-    other = F.char_length("__t2")
-    same = (length < other) | ((length == other) & (F.col("__t") < F.col("__t2")))
-    for i in range(within):
-        same = same & F.col(f"__w{i}").eqNullSafe(F.col(f"__w{i}2"))
-    pairs = _met(index, probe, same, distance, block_rows).select(
-        F.col("__low").alias("key_a"), F.col("__t").alias("text_a"), F.col("__n").alias("rows_a"),
-        F.col("__low2").alias("key_b"), F.col("__t2").alias("text_b"), F.col("__n2").alias("rows_b"),
-        F.col("__d").alias("distance"), *[F.col(f"__w{i}") for i in range(within)])
+    near_short = F.coalesce(F.when(length <= 2 * distance, deletion_keys(F.col("__t"), distance)), F.array().cast("array<bigint>"))
+    cut = F.coalesce(short, segment_keys(F.col("__t"), distance))
+    found = lambda least, most: F.array_distinct(F.concat(substring_keys(F.col("__t"), distance, least, most), near_short))
+
+    # texts of different lengths: only lengths that have a neighbour take part
+    lengths = nodes.select(length.alias("__len")).distinct()
+    steps = lambda sign: F.explode(F.sequence(F.col("__len") + sign, F.col("__len") + sign * distance))
+    near = lambda sign: nodes.join(
+        lengths.select(steps(sign).alias("__len")).distinct(), length == F.col("__len"), "left_semi")
+    met = _met(_keyed(near(-1), cut, within), _keyed(near(1), found(1, distance), within),
+               (length < other) & _agree(names), distance, block_rows)
+
+    # texts of one length
+    index, probe = _keyed(nodes, cut, within), _keyed(nodes, found(0, 0), within)
+    limit = min(block_rows, DENSE_TEXTS) if distance <= 2 else block_rows
+    shared = materialized(_shared(index, probe, limit), "shared")
+    dense, same = None, (length == other) & (F.col("__t") < F.col("__t2")) & _agree(names)
+    if distance <= 2 and not shared.isEmpty():
+        holds = lambda df: df.filter(length <= WORD_CHARS).join(
+            shared, df["__k"] == F.col("__hot"), "left_semi").select("__id")
+        held = holds(index).unionAll(holds(probe)).distinct().select("__id", F.lit(True).alias("__v"))
+        nodes = materialized(nodes.join(held.hint("merge"), "__id", "left"), "texts")
+        dense = nodes.filter("__v").drop("__v")
+        free = lambda df: df.join(shared, (df["__k"] == F.col("__hot")) & (length <= WORD_CHARS), "left_anti")
+        index, probe = free(_keyed(nodes, cut, within)), free(_keyed(nodes, found(0, 0), within))
+        same = same & (F.col("__v").isNull() | F.col("__v2").isNull())
+    level = _met(index, probe, same, distance, block_rows, shared)
+    columns = [*PAIR, "__t", "__t2", "__d", *names]
     # a pair that shares several segments was found several times
-    return pairs.dropDuplicates()
+    return met.select(*columns).unionAll(level.select(*columns)).dropDuplicates(["__id", "__id2"]), dense
+
+
+def _with_places(dense: DataFrame) -> DataFrame:
+    """The nodes with __at: the places (from 0) in which texts of that length differ."""
+    length = F.char_length("__t")
+    chars = dense.filter(length > 0).select(
+        length.alias("__len"), F.posexplode(F.transform(F.sequence(F.lit(1), length), lambda i: F.substr("__t", i, F.lit(1)))))
+    differ = chars.groupBy("__len", "pos").agg(F.min("col").alias("low"), F.max("col").alias("high")).filter("low <> high")
+    places = differ.groupBy("__len").agg(F.sort_array(F.collect_list("pos")).alias("__at"))  # at most WORD_CHARS rows
+    return dense.join(F.broadcast(places), length == F.col("__len")).drop("__len")
+
+
+def _without(t: str, p: str) -> Column:
+    return F.expr(f"concat(left({t}, {p}), substr({t}, {p} + 2))")
+
+
+def _masked(dense: DataFrame, distance: int) -> DataFrame:
+    """A row per node and one (__p = __q) or two places, with the rest of the text in __rest."""
+    rows = _with_places(dense).withColumn("__p", F.explode("__at"))
+    rows = rows.withColumn("__q", F.expr("explode(filter(__at, q -> q >= __p))") if distance == 2 else F.col("__p"))
+    two = F.expr("concat(left(__t, __p), substr(__t, __p + 2, __q - __p - 1), substr(__t, __q + 2))")
+    return rows.withColumn("__rest", F.when(F.col("__p") == F.col("__q"), _without("__t", "__p")).otherwise(two))
+
+
+def _differ(place: str) -> Column:
+    return F.expr(f"substr(__t, {place} + 1, 1) <> substr(__t2, {place} + 1, 1)")
+
+
+def _changed_pairs(dense: DataFrame, distance: int, names: Sequence[str]) -> DataFrame:
+    """Pairs of texts of one length in which one or two characters differ."""
+    rows = _masked(dense, distance).drop("__at")
+    keys = (F.col("__p") == F.col("__p2")) & (F.col("__q") == F.col("__q2")) & (F.col("__rest") == F.col("__rest2")) & _agree(names)
+    met = rows.hint("merge").join(_second(rows), keys & (F.col("__t") < F.col("__t2")) & _differ("__p") & _differ("__q"))
+    return met.withColumn("__d", F.when(F.col("__p") == F.col("__q"), 1).otherwise(2))
+
+
+def _moved_pairs(dense: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Pairs of texts of one length that are equal without a character each, but differ in more than two.
+
+    The texts agree before the first and behind the last of the places without which they are
+    equal. A pair that is equal in both directions (0101 and 1010) is taken in one.
+    """
+    rows = _with_places(dense).withColumn("__p", F.explode("__at")).drop("__at").withColumn("__rest", _without("__t", "__p"))
+    first, last = "least(__p, __p2)", "greatest(__p, __p2)"
+    between = F.expr(f"substr(__t, {first} + 2, {last} - {first} - 1) <> substr(__t2, {first} + 2, {last} - {first} - 1)")
+    once = (F.col("__p") < F.col("__p2")) | (_without("__t", "__p2") != _without("__t2", "__p"))
+    same = (F.col("__rest") == F.col("__rest2")) & _agree(names) & (F.col("__t") < F.col("__t2")) & (F.col("__p") != F.col("__p2"))
+    met = rows.hint("merge").join(_second(rows), same & _differ(first) & _differ(last) & between & once)
+    return met.withColumn("__d", F.lit(2))
+
+
+def _changed_links(dense: DataFrame, distance: int, names: Sequence[str]) -> DataFrame:
+    """__id, __links and __first from the texts of one length in which one or two characters differ.
+
+    No pair is made. A group without one place holds texts in which nothing or that place
+    differs, one without two places also those in which only one of them does; with n places
+    each of the latter is in n - 1 groups of two and counts once.
+    """
+    group = Window.partitionBy("__p", "__q", "__rest", *names)
+    met = _masked(dense, distance).select(
+        "__id", (F.sum("__n").over(group) - F.col("__n")).alias("__others"), F.min("__low").over(group).alias("__first"),
+        (F.lit(2) - F.size("__at") if distance == 2 else F.lit(1)).alias("__times"), (F.col("__p") == F.col("__q")).alias("__one"))
+    weight = F.when(F.col("__one"), F.col("__times")).otherwise(1)
+    return met.groupBy("__id").agg(F.sum(F.col("__others") * weight).alias("__links"), F.min("__first").alias("__first"))
+
+
+def _pair_links(pairs: DataFrame) -> DataFrame:
+    ends = F.array(F.struct(F.col("__id"), F.col("__n2").alias("__links"), F.col("__low2").alias("__first")),
+                   F.struct(F.col("__id2").alias("__id"), F.col("__n").alias("__links"), F.col("__low").alias("__first")))
+    rows = pairs.select(F.explode(ends).alias("e")).select("e.*")
+    return rows.groupBy("__id").agg(F.sum("__links").alias("__links"), F.min("__first").alias("__first"))
 
 
 def near_duplicates(
@@ -145,20 +287,21 @@ def near_duplicates(
     for name in ("n_links", "first_key"):
         if name in df.columns:
             raise ValueError(f"there is a column {name!r} already")
-    names = [f"__w{i}" for i in range(len(within))]
+    names = _cells(within)
     nodes = materialized(_nodes(df, column, key, within, fold), "texts")
-    pairs = materialized(_node_pairs(nodes, distance, len(within), block_rows), "pairs")
-    ends = [
-        pairs.select(F.col(f"text_{a}").alias("__t"), *names, F.col(f"rows_{b}").alias("__links"), F.col(f"key_{b}").alias("__first"))
-        for a, b in (("a", "b"), ("b", "a"))
-    ]
-    links = ends[0].union(ends[1]).groupBy("__t", *names).agg(F.sum("__links").alias("__links"), F.min("__first").alias("__first"))
-    per_text = join_unique(nodes, links, ["__t", *names], "left").select(
+    met, dense = _compared(nodes, distance, len(within), block_rows)
+    links = _pair_links(met)
+    if dense is not None:
+        links = links.unionAll(_changed_links(dense, distance, names))
+        if distance == 2:
+            links = links.unionAll(_pair_links(_moved_pairs(dense, names)))
+    links = links.groupBy("__id").agg(F.sum("__links").alias("__links"), F.min("__first").alias("__first"))
+    per_text = nodes.join(links.hint("merge"), "__id", "left").select(
         "__t", *names, (F.coalesce("__links", F.lit(0)) + F.col("__n") - 1).alias("__links"),
         F.least("__low", "__first").alias("__first"))
     rows = df.withColumns({"__t": F.when(col(key).isNotNull(), _text(df, column, fold)),
                            **{n: col(c) for n, c in zip(names, within)}})
-    return join_unique(rows, per_text, ["__t", *names], "left").select(
+    return join_unique(rows, per_text.hint("merge"), ["__t", *names], "left").select(
         *[col(c) for c in df.columns], F.coalesce("__links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("__first", col(key)).alias("first_key"))
 

@@ -104,3 +104,25 @@ def test_snap_keeps_rows_and_other_columns(spark):
     odd = similar.snap_to_dictionary(df.withColumnRenamed("value", "v").withColumnRenamed("seg", "value"), "value", ["BUILDING"], 1)
     assert [r.value for r in odd.orderBy("v").collect()] == ["BUILDING", "building ", None, "TRUCK", "BUILDING", "BUILDING"]
     assert sorted(map(tuple, similar.snap_to_dictionary(df, "seg", df.limit(0).select("seg"), 1).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def numbered(spark, n):
+    rows = [(i, f"Customer#{i:09d}") for i in range(n)] + [(n + i, f"customer#{i:09d}") for i in range(0, n, 40)]
+    return rows, spark.createDataFrame(rows, "k int, name string")
+
+
+def test_texts_behind_one_prefix_are_counted_whole(spark):
+    rows, df = numbered(spark, 1200)
+    got = {r.k: (r.n_links, r.first_key) for r in similar.near_duplicates(df, "name", "k", 2).collect()}
+    assert len(got) == len(rows)
+    for k, name in (rows[0], rows[1010], rows[1199], rows[-2]):
+        near = [j for j, other in rows if j != k and distance(name, other) <= 2]
+        assert got[k] == (len(near), min([k, *near]))
+
+
+def test_rows_made_from_texts_are_never_broadcast(spark):
+    _, df = numbered(spark, 300)
+    for d in (1, 2, 3):
+        plan = similar.near_pairs(df, "name", "k", d)._jdf.queryExecution().sparkPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line and "levenshtein" in line]
+        assert joins and not [line for line in joins if "Broadcast" in line]
