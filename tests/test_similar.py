@@ -126,3 +126,13 @@ def test_rows_made_from_texts_are_never_broadcast(spark):
         plan = similar.near_pairs(df, "name", "k", d)._jdf.queryExecution().sparkPlan().toString()
         joins = [line for line in plan.splitlines() if "Join" in line and "levenshtein" in line]
         assert joins and not [line for line in joins if "Broadcast" in line]
+
+
+def test_a_segment_shared_by_many_texts_joins_none_of_them(spark):
+    rows, df = numbered(spark, 300)
+    nodes = similar.materialized(similar._nodes(df, "name", "k", [], False), "texts")
+    met, dense = similar._compared(nodes, 1, 0, similar.BLOCK_ROWS)
+    assert dense.count() == 300 and met.count() < 100  # the few in lower case are compared, no others
+    pairs = similar.near_pairs(df, "name", "k", 1).collect()
+    wanted = sum(distance(a, b) <= 1 for _, a in rows[:40] for _, b in rows[:40] if a < b)
+    assert sum(p.key_a < 40 and p.key_b < 40 for p in pairs) == wanted and all(p.text_a < p.text_b for p in pairs)
