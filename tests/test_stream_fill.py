@@ -53,6 +53,25 @@ def test_state_expires(spark):
     assert got[6] == (1.0, False)
 
 
+def test_keys_share_calls_and_states(spark):
+    keys = [f"k{i}" for i in range(60)] + [None, ""]
+    first = [(i, k, i % 5, float(i) if i % 3 else None) for i, k in enumerate(keys)]
+    second = [(100 + i, k, 30 + i % 7, None) for i, k in enumerate(keys)] + [(900, "k1", 0, None)]
+    one = run(spark, [first, second], parts=1)  # all keys in one state
+    assert one == run(spark, [first, second])
+    for i in range(len(keys)):
+        assert one[i] == one[100 + i] == (float(i) if i % 3 else None, False)
+    assert one[900] == (None, True)
+
+
+def test_expiry_is_by_key_in_a_shared_state(spark):
+    day = 24 * 60
+    got = run(spark, [
+        [(1, "a", 0, 5.0), (2, "b", 0, 6.0)], [(3, "b", 3 * day, None)], [(4, "b", 3 * day + 1, 1.0)],
+        [(5, "a", 3 * day + 2, None), (6, "b", 3 * day + 2, None)]], expire_seconds=86400, parts=1)
+    assert got[5] == (None, False) and got[6] == (1.0, False)
+
+
 def test_refusals(spark):
     stream = spark.readStream.format("rate").load().withColumn("late", F.lit(1))
     with pytest.raises(ValueError, match="already"):
