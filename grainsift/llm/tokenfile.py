@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import CACHE_ENTRIES, at_release, map_arrow, small_batches, work_dir
 
 END_ID = 1
-KEPT_WORDS, KEPT_LENGTH = CACHE_ENTRIES // 2, 64
+KEPT_WORDS, KEPT_LENGTH = CACHE_ENTRIES * 3 // 4, 64  # two tables, some 60 MB: most of these words are short
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 SHARD_BYTES = 64 << 20
 MARKS = ".,;:!?*#&$%"
@@ -36,46 +36,82 @@ CHECKED = "shard int, place bigint, doc_id bigint, n_tokens bigint, ids_crc32 bi
 ODD_SPACES = re.compile("[\x1c-\x1f]")  # white space in Python, not in the tokenizer's pattern
 
 
-class Words:
-    """Packed ids of words: the last ones used and, when these are many, those before."""
+# letters that NFC leaves alone and that have one lower case each, and the marks behind them
+LETTERS = re.compile(f"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([{re.escape(MARKS)}]*)")
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.now, self.before = tokenizer, {}, {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        self.learn(set().union(*parts).difference(self.now))
-        packed = [b"".join(map(self.now.__getitem__, p)) for p in parts]
-        if len(self.now) > KEPT_WORDS:
-            self.now, self.before = {}, self.now
-        return packed
+def _byte_letters() -> dict[int, str]:
+    """Latin letters as the characters that stand for their bytes in a byte-level model."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    signs = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+    return {c: "".join(signs[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+class Words(dict):
+    """Packed ids of words: the last ones used and, when these are many, those before.
 
-    def learn(self, words: set[str]) -> None:
-        """Encode what is not known yet, all in one call.
-
-        Marks behind a letter or digit are tokens of their own, and A to Z are lower-cased by
-        the tokenizer, so many words share their ids with a plainer one.
-        """
-        parts, new = {}, set()
-        for w in words:
-            packed = self.before.get(w)
-            if packed is not None:
-                self.now[w] = packed
-                continue
-            head = w.rstrip(MARKS)
-            if not head or not head[-1].lower()[-1].isalnum():
-                head = w
-            tail = w[len(head):]
-            if head.isascii() and "|" not in head:
+    Marks behind a letter or digit are tokens of their own, and A to Z are lower-cased by the
+    tokenizer, so many words share their ids with a plainer one. With ``by_letters`` a word of
+    letters is one piece for the library's model, which is given it without the steps before.
+    """
+
+    def __init__(self, tokenizer, by_letters: bool = False, before: dict[str, bytes] | None = None):
+        self.tokenizer, self.by_letters, self.before = tokenizer, by_letters, {} if before is None else before
+        self.tokenize = tokenizer.model.tokenize if by_letters else None
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self.before.get(word)
+        if packed is None:
+            letters = LETTERS.fullmatch(word) if self.by_letters else None
+            if letters is None:
+                packed = self.other(word)
+            else:
+                head, tail = letters.groups()
                 head = head.lower()
-            parts[w] = (head, tail)
-            new.update(x for x in (head, tail) if x and x not in self.now and x not in self.before)
-        new = list(new)
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        roots = {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(new, encoded)}
-        known = lambda w: roots.get(w) or self.now.get(w) or self.before.get(w, b"")
-        self.now.update({w: known(head) + known(tail) for w, (head, tail) in parts.items()})
-        self.now.update((w, ids) for w, ids in roots.items() if len(w) <= KEPT_LENGTH)
+                packed = self.get(head) or self.before.get(head)
+                if packed is None:
+                    found = self.tokenize(head if head.isascii() else head.translate(BYTE_LETTERS))
+                    packed = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+                if tail:
+                    if len(head) <= KEPT_LENGTH:
+                        self[head] = packed
+                    packed += self.root(tail)
+        if len(word) <= KEPT_LENGTH:
+            self[word] = packed
+        return packed
+
+    def other(self, word: str) -> bytes:
+        head = word.rstrip(MARKS)
+        if not head or not head[-1].lower()[-1].isalnum():
+            head = word
+        tail = word[len(head):]
+        if head.isascii() and "|" not in head:
+            head = head.lower()
+        return self.root(head) + (self.root(tail) if tail else b"")
+
+    def root(self, word: str) -> bytes:
+        packed = self.get(word)
+        if packed is None:
+            packed = self.before.get(word)
+        if packed is None:
+            ids = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= KEPT_LENGTH:
+            self[word] = packed
+        return packed
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [b"".join(map(self.__getitem__, t.split())) for t in texts]
+
+    def renewed(self) -> Words:
+        """This table or, when it is full, an empty one that looks words up in this one."""
+        if len(self) <= KEPT_WORDS:
+            return self
+        self.before = {}  # of two tables at most
+        return Words(self.tokenizer, self.by_letters, self)
 
 
 _WORDS: dict[int, Words] = {}
@@ -84,11 +120,13 @@ at_release(_WORDS.clear)
 
 def _words(spec: str) -> Words:
     mark = zlib.crc32(spec.encode())
+    if mark in _WORDS:
+        _WORDS[mark] = _WORDS[mark].renewed()
     if mark not in _WORDS:
         from tokenizers import Tokenizer
 
         _WORDS.clear()
-        _WORDS[mark] = Words(Tokenizer.from_str(spec))
+        _WORDS[mark] = Words(Tokenizer.from_str(spec), pieces_are_letters(spec))
     return _WORDS[mark]
 
 
@@ -97,8 +135,9 @@ def _encode_batches(batches, shared, end_id):
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     spec, by_word = shared.value
-    words, end = _words(spec), struct.pack("<I", end_id)
+    end = struct.pack("<I", end_id)
     for batch in small_batches(batches, 500):
+        words = _words(spec)
         texts = [t or "" for t in batch.column(1).to_pylist()]
         packed = []
         if by_word and not ODD_SPACES.search("".join(texts)):
@@ -137,6 +176,30 @@ def drops_white_space(spec: str) -> bool:
     return bool(spaceless and added and set(kinds) <= {"NFC", "Replace", "Lowercase"})
 
 
+def pieces_are_letters(spec: str) -> bool:
+    """Whether a run of letters is one piece for the model, lower-cased and byte by byte.
+
+    So it is in a byte-level BPE whose pattern takes all letters at once, if no alternative
+    before that one can begin with a letter.
+    """
+    import json
+
+    t = json.loads(spec)
+    model, steps = t["model"], (t.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if model.get("type") != "BPE" or model.get("dropout") or [p["type"] for p in steps] != ["Split", "ByteLevel"]:
+        return False
+    turns = (t.get("normalizer") or {}).get("normalizers", [])
+    normal = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} for n in turns)
+    lowered = any(n["type"] == "Lowercase" for n in turns)
+    cut, signs = steps
+    parts = cut.get("pattern", {}).get("Regex", "").split("|")
+    at = parts.index("[\\p{L}]+") if "[\\p{L}]+" in parts else -1
+    whole = at >= 0 and all(re.fullmatch("'[a-z]+", p) for p in parts[:at])
+    plain = not signs.get("add_prefix_space") and not signs.get("use_regex", True)
+    marked = not any(LETTERS.fullmatch(a["content"]) for a in t.get("added_tokens", []))
+    return bool(normal and lowered and whole and plain and marked and cut.get("behavior") == "Removed" and cut.get("invert"))
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID,
                  shards: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encode all texts and write the files below ``folder``."""

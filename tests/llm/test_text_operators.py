@@ -237,3 +237,29 @@ def test_layout_of_token_files(spark, monkeypatch):
     meta = tokenfile.read_metadata(spark, folder)
     assert "token_ids" not in meta._jdf.queryExecution().executedPlan().toString()
     assert [r.start for r in meta.orderBy("doc_id").limit(2).collect()][0] == 0
+
+
+def test_words_of_letters_skip_the_steps_before_the_model(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    with open(WORDS, encoding="utf-8") as f:
+        spec = f.read()
+    library = Tokenizer.from_str(spec)
+    texts = ["Straße ÀÉÎ,. ÿÆæŒ œuvre", "don't it's L'été", "µm ªº ×÷ ñ Ñandú!?", "A1b2 x|y <|endoftext|> naïve… İstanbul ΣΑΣ été",
+             "word Word, WORD!? word", "12 3.5, #tag o'clock'S 'tis", "", "x" * 100, "e\u0301te\u0301 École"]
+    monkeypatch.setattr(tokenfile, "KEPT_WORDS", 5)  # tables are renewed all the time
+    tokenfile._WORDS.clear()
+    asked = []
+    for _ in range(3):
+        words = tokenfile._words(spec)
+        assert words.by_letters and len(words.before) <= 40
+        tokenizer, words.tokenizer = words.tokenizer, type("Asked", (), {
+            "encode_batch_fast": lambda self, w, **kw: asked.extend(w) or library.encode_batch_fast(w, **kw)})()
+        for text in texts:
+            ids = library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            assert words.encode([text]) == [b"".join(i.to_bytes(4, "little") for i in ids)]
+        words.tokenizer = tokenizer
+    assert not {"straße", "word", "naïve", "x" * 100} & set(asked)
+    tokenfile._WORDS.clear()
+    for change in ('"[\\\\p{L}]+', "NFKC"):
+        assert not tokenfile.pieces_are_letters(spec.replace("[\\\\p{L}]+", "[\\\\p{L}]{1,3}") if "p{L}" in change else spec.replace('"NFC"', '"NFKC"'))
