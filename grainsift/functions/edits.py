@@ -58,12 +58,8 @@ def substring_keys(text: Column, distance: int, least: int = 0, most: int | None
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
-def deletions(text: Column, distance: int) -> Column:
-    """The text and all that is left of it without up to ``distance`` of its characters.
-
-    Two texts within the distance share one of these. The number grows with the length to
-    the power of the distance: for words, not for documents.
-    """
+def _layers(text: Column, distance: int) -> list[Column]:
+    """What is left of the text without 0, 1, ... ``distance`` of its characters."""
 
     def shorter(texts: Column) -> Column:
         cut = lambda t: F.transform(
@@ -74,8 +70,26 @@ def deletions(text: Column, distance: int) -> Column:
     layers = [F.array(text)]
     for _ in range(distance):
         layers.append(shorter(layers[-1]))
-    return F.array_distinct(F.concat(*layers))
+    return layers
+
+
+def deletions(text: Column, distance: int) -> Column:
+    """The text and all that is left of it without up to ``distance`` of its characters.
+
+    Two texts within the distance share one of these. The number grows with the length to
+    the power of the distance: for words, not for documents.
+    """
+    return F.array_distinct(F.concat(*_layers(text, distance)))
 
 
 def deletion_keys(text: Column, distance: int) -> Column:
     return F.transform(deletions(text, distance), lambda t: F.xxhash64(F.lit(2), t))
+
+
+def whole_deletion_keys(text: Column, distance: int) -> Column:
+    """The keys of what is left without exactly ``distance`` characters.
+
+    A longer text within the distance has one of these in common with the ``deletion_keys`` of
+    the shorter one for ``distance`` - 1: a character that both keep can be taken out of both.
+    """
+    return F.transform(_layers(text, distance)[-1], lambda t: F.xxhash64(F.lit(2), t))

@@ -10,12 +10,14 @@ one length and at most ``WORD_CHARS`` characters that hold such a segment are th
 what is left of them without the one or two places of an edit (distance 1 or 2): whatever
 meets so is within the distance, and texts in which one or two characters differ are counted
 per group without a pair being made. Only places in which texts of that length differ at all
-are taken out.
-
-For longer texts, texts of different lengths and larger distances, such a segment is dealt
-into blocks on both sides, so one task compares at most ``BLOCK_ROWS`` with ``BLOCK_ROWS``
-texts whatever the frequency. The number of comparisons under it still grows with its square:
-name columns that must agree (``within``) where there are any.
+are taken out. Texts of different lengths that share such a segment, the shorter one with at
+most ``WORD_CHARS`` characters, meet by what is left of the longer without one (two) characters:
+at distance 1 that is the shorter text itself, at distance 2 also that without a character.
+
+For longer texts and larger distances, such a segment is dealt into blocks on both sides, so
+one task compares at most ``BLOCK_ROWS`` with ``BLOCK_ROWS`` texts whatever the frequency. The
+number of comparisons under it still grows with its square: name columns that must agree
+(``within``) where there are any.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.edits import deletion_keys, segment_keys, substring_keys, within_distance
+from ..functions.edits import deletion_keys, segment_keys, substring_keys, whole_deletion_keys, within_distance
 from ..functions.frames import literal_rows
 from ..functions.schema import col, groupable, is_text, require, type_of
 from ..session import materialized
@@ -60,13 +62,16 @@ def _nodes(df: DataFrame, column: str, key: str, within: Sequence[str], fold: bo
 
 
 def _shared(index: DataFrame, probe: DataFrame, rows: int) -> DataFrame:
-    """Keys that more than ``rows`` rows of a side hold: __hot and the counts __i and __j.
+    """Keys that more than ``rows`` rows of a side hold: __hot, the counts __i and __j, and __most.
 
-    Counted in one aggregate over both sides: a join of the counts would move every key.
+    ``__most`` is the length of the longest text of the index with that key. Counted in one
+    aggregate over both sides: a join of the counts would move every key.
     """
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    both = index.select("__k", one.alias("__i"), none.alias("__j")).unionAll(probe.select("__k", none.alias("__i"), one.alias("__j")))
-    counts = both.groupBy(F.col("__k").alias("__hot")).agg(F.sum("__i").alias("__i"), F.sum("__j").alias("__j"))
+    both = index.select("__k", one.alias("__i"), none.alias("__j"), F.char_length("__t").alias("__most")).unionAll(
+        probe.select("__k", none.alias("__i"), one.alias("__j"), F.lit(0).alias("__most")))
+    counts = both.groupBy(F.col("__k").alias("__hot")).agg(
+        F.sum("__i").alias("__i"), F.sum("__j").alias("__j"), F.max("__most").alias("__most"))
     return counts.filter((F.greatest("__i", "__j") > rows) & (F.least("__i", "__j") > 0))
 
 
@@ -93,9 +98,13 @@ def _met(index: DataFrame, probe: DataFrame, same: Column, distance: int, block_
          shared: DataFrame | None = None) -> DataFrame:
     """Rows of both sides (probe columns end in 2) that share a key and lie within the distance."""
     shared = materialized(_shared(index, probe, block_rows), "shared") if shared is None else shared
-    index, probe = _dealt(index, probe, shared, block_rows)
-    probe = _second(probe)
-    keys = (F.col("__k") == F.col("__k2")) & (F.col("__p") == F.col("__p2")) & (F.col("__q") == F.col("__q2"))
+    return _joined(*_dealt(index, probe, shared, block_rows), same, distance, ["__p", "__q"])
+
+
+def _joined(index: DataFrame, probe: DataFrame, same: Column, distance: int, blocks: Sequence[str] = ()) -> DataFrame:
+    probe, keys = _second(probe), F.col("__k") == F.col("__k2")
+    for c in blocks:
+        keys = keys & (F.col(c) == F.col(f"{c}2"))
     d = within_distance(F.col("__t"), F.col("__t2"), distance)
     # never a broadcast: Spark guesses a size from before the keys and blocks were made
     return index.hint("merge").join(probe, keys & same & d.isNotNull()).withColumn("__d", d)
@@ -177,12 +186,18 @@ def _compared(nodes: DataFrame, distance: int, within: int, block_rows: int) ->
     steps = lambda sign: F.explode(F.sequence(F.col("__len") + sign, F.col("__len") + sign * distance))
     near = lambda sign: nodes.join(
         lengths.select(steps(sign).alias("__len")).distinct(), length == F.col("__len"), "left_semi")
-    met = _met(_keyed(near(-1), cut, within), _keyed(near(1), found(1, distance), within),
-               (length < other) & _agree(names), distance, block_rows)
+    limit = min(block_rows, DENSE_TEXTS) if distance <= 2 else block_rows
+    index, probe = _keyed(near(-1), cut, within), _keyed(near(1), found(1, distance), within)
+    shared, below = materialized(_shared(index, probe, limit), "shared"), (length < other) & _agree(names)
+    many = shared.filter(F.col("__most") <= WORD_CHARS)
+    found_apart = None
+    if distance <= 2 and not many.isEmpty():
+        found_apart = _shortened_pairs(_holding(nodes, index, many), _holding(nodes, probe, many), below, distance, within, block_rows)
+        index, probe = _keyed_apart(index, many), _keyed_apart(probe, many)
+    met = _met(index, probe, below, distance, block_rows, shared)
 
     # texts of one length
     index, probe = _keyed(nodes, cut, within), _keyed(nodes, found(0, 0), within)
-    limit = min(block_rows, DENSE_TEXTS) if distance <= 2 else block_rows
     shared = materialized(_shared(index, probe, limit), "shared")
     dense, same = None, (length == other) & (F.col("__t") < F.col("__t2")) & _agree(names)
     if distance <= 2 and not shared.isEmpty():
@@ -196,8 +211,30 @@ def _compared(nodes: DataFrame, distance: int, within: int, block_rows: int) ->
         same = same & (F.col("__v").isNull() | F.col("__v2").isNull())
     level = _met(index, probe, same, distance, block_rows, shared)
     columns = [*PAIR, "__t", "__t2", "__d", *names]
-    # a pair that shares several segments was found several times
-    return met.select(*columns).unionAll(level.select(*columns)).dropDuplicates(["__id", "__id2"]), dense
+    pairs = met.select(*columns).unionAll(level.select(*columns))
+    if found_apart is not None:
+        pairs = pairs.unionAll(found_apart.select(*columns))
+    return pairs.dropDuplicates(["__id", "__id2"]), dense  # a pair that shares several segments was found several times
+
+
+def _holding(nodes: DataFrame, keyed: DataFrame, shared: DataFrame) -> DataFrame:
+    """The nodes that hold one of the shared keys."""
+    held = keyed.join(shared, keyed["__k"] == F.col("__hot"), "left_semi").select("__id").distinct()
+    return nodes.join(held.hint("merge"), "__id", "left_semi")
+
+
+def _keyed_apart(keyed: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows without one of the shared keys."""
+    return keyed.join(shared, keyed["__k"] == F.col("__hot"), "left_anti")
+
+
+def _shortened_pairs(shorter: DataFrame, longer: DataFrame, same: Column, distance: int, within: int, block_rows: int) -> DataFrame:
+    """Pairs of a shorter and a longer text within distance 1 or 2, by what is left of them without characters."""
+    index = _keyed(shorter, deletion_keys(F.col("__t"), distance - 1), within)
+    probe = _keyed(longer, whole_deletion_keys(F.col("__t"), distance), within)
+    if distance == 1:  # one text at most is what is left of the others, so no key needs blocks
+        return _joined(index, probe, same, distance)
+    return _met(index, probe, same, distance, block_rows)
 
 
 def _with_places(dense: DataFrame) -> DataFrame:

@@ -136,3 +136,22 @@ def test_a_segment_shared_by_many_texts_joins_none_of_them(spark):
     pairs = similar.near_pairs(df, "name", "k", 1).collect()
     wanted = sum(distance(a, b) <= 1 for _, a in rows[:40] for _, b in rows[:40] if a < b)
     assert sum(p.key_a < 40 and p.key_b < 40 for p in pairs) == wanted and all(p.text_a < p.text_b for p in pairs)
+
+
+@pytest.mark.parametrize("d", [1, 2])
+def test_texts_of_different_lengths_behind_one_segment_are_not_compared_all(spark, monkeypatch, d):
+    rows = [(i, f"Customer#{i // 4:06d}_{(0, 1, 10, 100)[i % 4]}") for i in range(1200)]
+    rows += [(2000 + i, "y" * 28 + f"{i // 3:03d}" + "x" * (i % 3)) for i in range(750)]  # 31 to 33 characters
+    df, met, join = spark.createDataFrame(rows, "k int, name string"), [], similar._met
+
+    def counted(index, probe, *more):
+        longer = probe.select("__k", F.char_length("__t").alias("__len"))
+        met.append(index.join(longer, "__k").filter((F.char_length("__t") < F.col("__len")) & (F.char_length("__t") <= 32)).count())
+        return join(index, probe, *more)
+
+    monkeypatch.setattr(similar, "_met", counted)
+    got = sorted((min(r.key_a, r.key_b), max(r.key_a, r.key_b), r.distance) for r in similar.near_pairs(df, "name", "k", d).collect())
+    other, n = df.toDF("k2", "name2"), F.levenshtein("name", "name2")
+    assert got == sorted(map(tuple, df.join(other, (F.col("k") < F.col("k2")) & (n <= d)).select("k", "k2", n).collect()))
+    assert sum(len(dict(rows)[a]) != len(dict(rows)[b]) for a, b, _ in got) > 900
+    assert sum(met) < 50 * len(rows)
