@@ -328,9 +328,12 @@ def _salt():
 
 
 def _join_few(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """Inner join with a table of one row per key; a key's rows are spread over ``SALTS`` tasks by their node."""
+    """Inner join with a table of one row per key; a key's rows are spread over ``SALTS`` tasks by their node.
+
+    Never a broadcast, which the driver builds: Spark guesses the size of the table from before its rows are repeated.
+    """
     every = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", _salt()).join(every, [key, "salt"]).drop("salt")
+    return rows.withColumn("salt", _salt()).join(every.hint("merge"), [key, "salt"]).drop("salt")
 
 
 def _stars(lists: DataFrame) -> DataFrame:

@@ -73,6 +73,14 @@ def test_jaccard_long_lists_are_compared_in_full(spark, monkeypatch, part, block
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == plain_groups(texts, 1, 85)
 
 
+def test_jaccard_rows_repeated_for_a_join_are_never_broadcast(spark):
+    rows = spark.range(200).selectExpr("id % 5 as token", "id as node")
+    met = jaccard._join_few(rows, spark.range(5).filter("id % 2 = 1").selectExpr("id as token", "id * 10 as mark"), "token")
+    assert rows_of(met, "token", "node", "mark") == sorted(((k % 5, k, k % 5 * 10) for k in range(200) if k % 5 in (1, 3)), key=repr)
+    joins = [x for x in met._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x]
+    assert joins and not [x for x in joins if "Broadcast" in x]
+
+
 def test_jaccard_keeps_one_of_each_group(docs, texts):
     kept = jaccard.keep_first(docs)
     assert kept.columns == docs.columns
